@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sitesift.constants import FNV_OFFSET, FNV_PRIME, HASH_DIM, MASK32, NGRAM_MAX, NGRAM_MIN
 from sitesift.functions.normalize import fold_text
@@ -113,7 +114,7 @@ def bucket_lists(urls: list, titles: list, dim: int) -> pa.Array:
 
 
 def hashed_buckets(url: Column, title: Column, dim: int = HASH_DIM) -> Column:
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ArrayType(IntegerType()))
     def buckets(urls: pa.Array, titles: pa.Array) -> pa.Array:
         return bucket_lists(urls.to_pylist(), titles.to_pylist(), dim)
 

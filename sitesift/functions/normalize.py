@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Code points that NFKC leaves alone and that never join a following one: ASCII, the composed
 # Latin letters, plain Cyrillic, dashes and quotes, CJK ideographs.
@@ -21,7 +22,7 @@ STABLE_TEXT = (
 )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc_lower(values: pa.Array) -> pa.Array:
     return pa.array(
         [v if v is None else unicodedata.normalize("NFKC", v).lower() for v in values.to_pylist()],
