@@ -199,6 +199,25 @@ def percentile_interval(frame: DataFrame, value: str, keys: Sequence[str] = ())
     ).select(*keys, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p2_5", "p50", "p97_5"))])
 
 
+def interpolated_percentiles(
+    frame: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Linear-interpolated percentiles of any number of rows, from ranks instead of one buffer."""
+    last = F.col("n") - 1
+    indexes = {}
+    for name, share in shares.items():
+        indexes[f"{name}_low"] = F.floor(last * share)
+        indexes[f"{name}_high"] = F.ceil(last * share)
+    picked = value_at_rank(frame, value, indexes, keys)
+
+    def blend(name: str, share: float) -> Column:
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        at = last * share
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
+
+    return picked.select(*keys, *[blend(n, s) for n, s in shares.items()])
+
+
 def window_count_stats(counts: DataFrame, value: str = "windows") -> DataFrame:
     return counts.agg(
         F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"),

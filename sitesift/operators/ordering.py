@@ -63,7 +63,11 @@ def running_totals(
     """
     keys = list(keys)
     n = buckets or bucket_count(counts)
-    parts = counts.withColumn("_bucket", _bucket(_edges(source or counts, order, n), F.col(order), n))
+    parts = (
+        counts.withColumn("_edges", _edges(source or counts, order, n))
+        .withColumn("_bucket", _bucket(F.col("_edges"), F.col(order), n))
+        .drop("_edges")
+    )
     if descending:
         parts = parts.withColumn("_bucket", -F.col("_bucket"))
     before = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket").rowsBetween(
