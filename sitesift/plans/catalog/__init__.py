@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from sitesift.plans.catalog import html_queries, metric_queries, url_queries, vector_queries  # noqa: F401
+from sitesift.plans.catalog import (
+    group_queries, html_queries, metric_queries, url_queries, vector_queries,  # noqa: F401
+)  # noqa: F401
 from sitesift.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
