@@ -9,28 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.operators.metrics import average_precision, percentile_interval, ratio, score_prefix_sums
-from sitesift.operators.ordering import ranked_positions, seeded_hash
+from sitesift.operators.metrics import average_precision, percentile_interval, score_counts
+from sitesift.operators.ordering import ranked_positions, running_totals, seeded_hash
 
-MASK31 = 2147483647
-MIX = 73244475
 MAX_BROADCAST_ROWS = 1_000_000  # three numbers per row: about 24 MB
 
 
-def mix31(x: Column) -> Column:
-    """A 31-bit integer mixing function; products stay below 2^59."""
-    for _ in range(2):
-        x = ((x.bitwiseXOR(F.shiftright(x, 16))) * F.lit(MIX).cast("long")).bitwiseAND(
-            F.lit(MASK31).cast("long")
-        )
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def draw_position(seed: int, replicate: Column, draw: Column, rows: Column) -> Column:
-    key = mix31((replicate.cast("long") + F.lit(seed * 1000003)).bitwiseAND(F.lit(MASK31).cast("long")))
-    low = mix31(key.bitwiseXOR(draw.cast("long").bitwiseAND(F.lit(MASK31).cast("long"))))
-    high = mix31(low.bitwiseXOR(F.shiftright(draw.cast("long"), 31)) + 1)
-    return F.pmod(high * F.lit(MASK31 + 1).cast("long") + low, rows)
+def draw_position(seed: int, replicate: Column, draw: Column, rows: int) -> Column:
+    """60 bits of a seeded md5, modulo the row count."""
+    digest = seeded_hash(seed, replicate, draw)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(rows).cast("long"))
 
 
 def bootstrap_draws(paired: DataFrame, replicates: int, seed: int = 42, id_column: str = "sample_id") -> DataFrame:
@@ -49,8 +37,8 @@ def bootstrap_draws(paired: DataFrame, replicates: int, seed: int = 42, id_colum
     width = max(spark.sparkContext.defaultParallelism, -(-replicates * rows // 5_000_000))
     draws = (
         spark.range(0, replicates * rows, numPartitions=width)
-        .select(F.floor(F.col("id") / rows).alias("replicate"), F.pmod("id", F.lit(rows)).alias("_k"))
-        .select("replicate", draw_position(seed, F.col("replicate"), F.col("_k"), F.lit(rows)).alias("_pos"))
+        .select(F.expr(f"id div {rows}").alias("replicate"), F.expr(f"id % {rows}").alias("_k"))
+        .select("replicate", draw_position(seed, F.col("replicate"), F.col("_k"), rows).alias("_pos"))
     )
     side = F.broadcast(positioned) if rows <= MAX_BROADCAST_ROWS else positioned
     return draws.join(side, "_pos").drop("_pos")
@@ -61,28 +49,27 @@ def replicate_differences(
     id_column: str = "sample_id",
 ) -> DataFrame:
     """(replicate, ap_diff, f1_diff)."""
-    drawn = bootstrap_draws(paired, replicates, seed, id_column)
-    sides = drawn.select(
-        "replicate", "label",
-        F.explode(
-            F.array(
-                F.struct(F.lit("left").alias("side"), F.col("left_score").alias("score"),
-                         F.lit(float(left_threshold)).alias("threshold")),
-                F.struct(F.lit("right").alias("side"), F.col("right_score").alias("score"),
-                         F.lit(float(right_threshold)).alias("threshold")),
-            )
-        ).alias("s"),
-    ).select("replicate", "label", "s.*")
+    def both_sides(frame: DataFrame, *kept: str) -> DataFrame:
+        return frame.select(
+            *kept, "label",
+            F.explode(
+                F.array(
+                    F.struct(F.lit("left").alias("side"), F.col("left_score").alias("score")),
+                    F.struct(F.lit("right").alias("side"), F.col("right_score").alias("score")),
+                )
+            ).alias("s"),
+        ).select(*kept, "label", "s.*")
+
     keys = ["replicate", "side"]
-    ap = average_precision(score_prefix_sums(sides, keys=keys, buckets=16), keys)
-    hit = F.col("score") >= F.col("threshold")
-    f1 = sides.groupBy(*keys).agg(
-        F.count_if(hit & (F.col("label") == 1)).alias("tp"),
-        F.count_if(hit).alias("flagged"),
-        F.count_if(F.col("label") == 1).alias("p"),
-    ).select(*keys, ratio(2 * F.col("tp"), F.col("flagged") + F.col("p")).alias("f1"))
+    drawn = bootstrap_draws(paired, replicates, seed, id_column)
+    counts = score_counts(both_sides(drawn, "replicate"), keys=keys)
+    prefix = running_totals(
+        counts, "score", ["tp", "fp"], keys, descending=True, source=both_sides(paired), buckets=16
+    )
+    limit = F.when(F.col("side") == "left", float(left_threshold)).otherwise(float(right_threshold))
+    merged = average_precision(prefix, keys, limit)
     signed = F.when(F.col("side") == "left", 1.0).otherwise(-1.0)
-    return ap.join(f1, keys).groupBy("replicate").agg(
+    return merged.groupBy("replicate").agg(
         F.sum(signed * F.col("average_precision")).alias("ap_diff"),
         F.sum(signed * F.col("f1")).alias("f1_diff"),
     )

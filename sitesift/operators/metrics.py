@@ -36,21 +36,28 @@ def score_prefix_sums(
     )
 
 
-def average_precision(prefix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Step-wise AP and trapezoid AUC from ``score_prefix_sums``."""
+def average_precision(
+    prefix: DataFrame, keys: Sequence[str] = (), threshold: Column | None = None
+) -> DataFrame:
+    """Step-wise AP and trapezoid AUC from ``score_prefix_sums``; F1 too when given a threshold."""
     precision = F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum"))
+    hit = F.lit(False) if threshold is None else F.col("score") >= threshold
     sums = prefix.groupBy(*keys).agg(
         F.sum("tp").alias("_p"),
         F.sum("fp").alias("_n"),
         F.sum(F.col("tp") * precision).alias("_ap"),
         F.sum(F.col("fp") * (F.col("tp_cum") - F.col("tp") / 2)).alias("_area"),
+        F.sum(F.when(hit, F.col("tp")).otherwise(0)).alias("_hit"),
+        F.sum(F.when(hit, F.col("tp") + F.col("fp")).otherwise(0)).alias("_flagged"),
     )
     p, n = F.col("_p"), F.col("_n")
-    return sums.select(
+    out = sums.select(
         *keys,
         F.when(p == 0, 0.0).when(n == 0, 1.0).otherwise(F.try_divide(F.col("_ap"), p)).alias("average_precision"),
         F.when((p > 0) & (n > 0), F.try_divide(F.col("_area"), p * n.cast("double"))).alias("roc_auc"),
+        ratio(2 * F.col("_hit"), F.col("_flagged") + p).alias("f1"),
     )
+    return out.drop("f1") if threshold is None else out
 
 
 def pr_curve(prefix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

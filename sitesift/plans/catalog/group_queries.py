@@ -208,23 +208,12 @@ def _(spark, sf):
 # --- bootstrap ---------------------------------------------------------------------------
 
 
-def _mix_sql(x: str, out: str, source: str, keep: str) -> str:
-    """Two CTE-friendly rounds of the 31-bit mixer, one nested select per round."""
-    step = f"SELECT {keep}, {x} AS x0 FROM {source}"
-    for i in range(2):
-        step = f"SELECT {keep}, (xor(x{i}, x{i} >> 16) * 73244475) & 2147483647 AS x{i + 1} FROM ({step})"
-    return f"SELECT {keep}, xor(x2, x2 >> 16) AS {out} FROM ({step})"
-
-
 _REPLICATES = 100
 _DRAWS = f"""paired AS (SELECT doc_id, toxic AS label, quality * 0.5 + (doc_id % 10) / 20.0 AS left_score, (length(text) % 100) / 100.0 AS right_score FROM labels JOIN documents USING (doc_id)),
 pos AS (SELECT *, row_number() OVER (ORDER BY md5('position:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS n FROM paired),
 sz AS (SELECT count(*) AS n FROM paired),
 ks AS (SELECT b.range AS replicate, k.range AS k FROM range({_REPLICATES}) b, (SELECT unnest(range(0, n)) AS range FROM sz) k),
-d0 AS ({_mix_sql('(replicate + 7000021) & 2147483647', 'key', 'ks', 'replicate, k')}),
-d1 AS ({_mix_sql('xor(key, k & 2147483647)', 'low', 'd0', 'replicate, k')}),
-d2 AS ({_mix_sql('xor(low, k >> 31) + 1', 'high', 'd1', 'replicate, k, low')}),
-drawn AS (SELECT replicate, (high * 2147483648 + low) % n AS p FROM d2, sz),
+drawn AS (SELECT replicate, ('0x' || substr(md5('7:' || replicate || ':' || k), 1, 15))::BIGINT % n AS p FROM ks, sz),
 sides AS (SELECT replicate, 'left' AS side, label, left_score::DOUBLE AS score FROM drawn JOIN pos USING (p) UNION ALL SELECT replicate, 'right', label, right_score::DOUBLE FROM drawn JOIN pos USING (p)),
 {ranking_sql('sides', 'replicate, side')}, ap AS (SELECT replicate, side, {AP_EXPR} AS ap FROM prefix GROUP BY replicate, side),
 f AS (SELECT replicate, side, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM (SELECT replicate, side, {_AT} FROM sides GROUP BY replicate, side)),

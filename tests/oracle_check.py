@@ -20,6 +20,9 @@ TABLES = (
 ).split()
 
 
+SPARK_SECONDS: dict[str, float] = {}
+
+
 def connect(sf_dir: str):
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
@@ -49,8 +52,10 @@ def rows_of(columns, rows):
 
 def compare(spark, connection, name, function, sql, sf_dir):
     """None when equal, otherwise a short description."""
+    started = time.time()
     frame = function(spark, sf_dir)
     got = [tuple(r) for r in frame.collect()]
+    SPARK_SECONDS[name] = time.time() - started
     if sql is None:
         return None if got else "no rows"
     cursor = connection.execute(sql)
@@ -87,7 +92,7 @@ def main() -> int:
         except Exception as error:  # noqa: BLE001 - reported per query
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         kind = "sql " if name in ORACLES else "rows"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - started:6.2f}s {name} {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - started:6.2f}s (spark {SPARK_SECONDS.get(name, 0):6.2f}s) {name} {problem or ''}", flush=True)
         failures += problem is not None
     print(f"{len(names)} queries, {failures} failures")
     return 1 if failures else 0
