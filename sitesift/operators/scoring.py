@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sitesift.constants import HASH_DIM, NUMERIC_FEATURES, WINDOW_SIZE, WINDOW_STRIDE
-from sitesift.operators.vectors import sigmoid, vectorize
+from sitesift.functions.hashing import bucket_lists
+from sitesift.functions.urls import text
+from sitesift.operators.vectors import add_numeric, sigmoid
 
 MAX_BROADCAST_WEIGHTS = HASH_DIM + len(NUMERIC_FEATURES)
 
@@ -34,16 +39,54 @@ def linear_score_join(
     )
 
 
+def weight_array(weights: DataFrame, width: int) -> np.ndarray:
+    """The weights as one array. Refuses a table that is not exactly ``width`` rows."""
+    rows = weights.limit(width + 1).select("idx", "weight").toPandas()
+    if len(rows) != width:
+        raise ValueError(f"model dimension mismatch: expected {width} weights, found at least {len(rows)}")
+    out = np.zeros(width, dtype=np.float64)
+    out[rows["idx"].to_numpy()] = rows["weight"].to_numpy(dtype=np.float64)
+    return out
+
+
 def score_pages(
     frame: DataFrame, weights: DataFrame, intercept: float, include_dom: bool = True,
-    dim: int = HASH_DIM, key: str = "sample_id",
+    dim: int = HASH_DIM, output: str = "score",
 ) -> DataFrame:
-    """Score rows; a row without any entry scores the intercept alone."""
-    scored = linear_score_join(vectorize(frame, key, include_dom, dim), weights, intercept, key)
-    base = sigmoid(F.lit(float(intercept)))
-    return frame.join(scored.select(key, "score"), key, "left").withColumn(
-        "score", F.coalesce("score", base)
-    )
+    """Adds the probability of every row without a shuffle; works on streams.
+
+    The model is at most 262,183 numbers (2 MB), so each Python worker holds it whole. Rows never
+    move: n-grams are hashed and summed inside the Arrow batch.
+    """
+    width = dim + (len(NUMERIC_FEATURES) if include_dom else 0)
+    shared = frame.sparkSession.sparkContext.broadcast(weight_array(weights, width))
+    base = float(intercept)
+
+    def logits(urls: pa.Array, titles: pa.Array, numeric: pa.Array | None) -> pa.Array:
+        w = shared.value
+        lists = bucket_lists(urls.to_pylist(), titles.to_pylist(), dim)
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        total = base + np.bincount(rows, weights=w[lists.values.to_numpy()], minlength=len(lists))
+        if numeric is not None:
+            values = numeric.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            total = total + values.reshape(len(lists), -1).astype(np.float64) @ w[dim:]
+        return pa.array(total)
+
+    if include_dom:
+        @F.arrow_udf(DoubleType())
+        def logit(urls: pa.Array, titles: pa.Array, numeric: pa.Array) -> pa.Array:
+            return logits(urls, titles, numeric)
+
+        parts = add_numeric(frame)
+        scored = parts.withColumn("_logit", logit(text(F.col("url")), text(F.col("title")), F.col("numeric")))
+        scored = scored.drop("numeric")
+    else:
+        @F.arrow_udf(DoubleType())
+        def logit(urls: pa.Array, titles: pa.Array) -> pa.Array:
+            return logits(urls, titles, None)
+
+        scored = frame.withColumn("_logit", logit(text(F.col("url")), text(F.col("title"))))
+    return scored.withColumn(output, sigmoid(F.col("_logit"))).drop("_logit")
 
 
 # --- windows over long texts -----------------------------------------------------

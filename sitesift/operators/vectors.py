@@ -35,18 +35,13 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
-def add_vector_parts(
-    frame: DataFrame, include_dom: bool = True, dim: int = HASH_DIM, dom_prefix: str = "dom_"
-) -> DataFrame:
-    """Adds ``buckets`` (array<int>) and, with DOM, ``numeric`` (array<double>, 39 wide).
+def add_numeric(frame: DataFrame, dom_prefix: str = "dom_") -> DataFrame:
+    """Adds ``numeric`` (array<double>, 39 wide).
 
     URL features are always recomputed from the raw URL; the others come from ``dom_*`` columns,
     0 where a column is missing.
     """
-    out = frame.withColumn("buckets", hashed_buckets(F.col("url"), F.col("title"), dim))
-    if not include_dom:
-        return out
-    out = add_url_features(out, prefix="_v_")
+    out = add_url_features(frame, prefix="_v_")
     values = []
     for name in NUMERIC_FEATURES:
         if name in URL_FEATURES:
@@ -59,6 +54,12 @@ def add_vector_parts(
     return out.withColumn("numeric", F.array(*values)).drop(*["_v_" + n for n in URL_FEATURES])
 
 
+def add_vector_parts(frame: DataFrame, include_dom: bool = True, dim: int = HASH_DIM) -> DataFrame:
+    """Adds ``buckets`` (array<int>) and, with DOM, ``numeric``."""
+    out = frame.withColumn("buckets", hashed_buckets(F.col("url"), F.col("title"), dim))
+    return add_numeric(out) if include_dom else out
+
+
 def vectorize(
     frame: DataFrame, key: str = "sample_id", include_dom: bool = True, dim: int = HASH_DIM
 ) -> DataFrame:

@@ -1,8 +1,9 @@
 """All registered queries."""
 
-from sitesift.plans.catalog import (
-    group_queries, html_queries, metric_queries, url_queries, vector_queries,  # noqa: F401
-)  # noqa: F401
+from sitesift.plans.catalog import (  # noqa: F401
+    group_queries, html_queries, metric_queries, record_queries, stream_queries,
+    url_queries, vector_queries,
+)
 from sitesift.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

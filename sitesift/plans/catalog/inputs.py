@@ -36,13 +36,13 @@ BODY_EXTRA = (
 )
 
 
-def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page; plain-http ones get a form, frame and links, 'www' ones head elements."""
+def rich_html(frame: DataFrame) -> DataFrame:
+    """Plain-http pages get a form, frame and links, 'www' ones head elements."""
     html = F.when(
         F.startswith("url", F.lit("http:")),
         F.replace(F.col("html"), F.lit("<footer>"), F.lit(BODY_EXTRA + "<footer>")),
     ).otherwise(F.col("html"))
-    return pages(spark, sf_dir).withColumn("html", html).withColumn(
+    return frame.withColumn("html", html).withColumn(
         "html",
         F.when(
             F.contains("url", F.lit("://www.")),
@@ -51,6 +51,10 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rich_html(pages(spark, sf_dir))
+
+
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

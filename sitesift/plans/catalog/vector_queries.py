@@ -110,7 +110,7 @@ def _(spark, sf):
 FROM lg JOIN pages USING (page_id)""")
 def _(spark, sf):
     rows = all_features(rich_pages(spark, sf)).withColumn("label", F.startswith("url", F.lit("http:")).cast("int"))
-    scored = S.score_pages(rows, formula_weights(spark), -0.25, key="page_id")
+    scored = S.score_pages(rows, formula_weights(spark), -0.25)
     return scored.select("page_id", "label", F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("flagged"))
 
 
