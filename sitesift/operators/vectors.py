@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sitesift.constants import (
     COUNT_FEATURES, DOM_FEATURES, HASH_DIM, NUMERIC_FEATURES, RATIO_FEATURES, URL_FEATURES,
 )
 from sitesift.functions.hashing import hashed_buckets
 from sitesift.functions.urls import add_url_features
+from sitesift.session import shared_folder
 
 
 def finite_number(value: Column) -> Column:
@@ -78,30 +80,44 @@ def vectorize(
     )
 
 
-def to_ml_vector(
-    frame: DataFrame, include_dom: bool = True, dim: int = HASH_DIM, output: str = "features",
-    fold_to: int | None = None,
+def _sparse_struct(parts: DataFrame, width: int, fold_to: int | None, include_dom: bool) -> Column:
+    """The stored form of a sparse ML vector: (type, size, indices, values)."""
+    hashed = F.col("buckets")
+    if fold_to:
+        hashed = F.array_sort(F.array_distinct(F.transform(hashed, lambda b: F.pmod(b, F.lit(fold_to)))))
+    base = fold_to or width
+    ones = F.transform(hashed, lambda _: F.lit(1.0))
+    extra = len(NUMERIC_FEATURES) if include_dom else 0
+    indices, values = hashed, ones
+    if include_dom:
+        indices = F.concat(hashed, F.sequence(F.lit(base), F.lit(base + extra - 1)))
+        values = F.concat(ones, F.col("numeric"))
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(base + extra).alias("size"),
+        indices.alias("indices"), values.alias("values"),
+    )
+
+
+def to_ml_vectors(
+    frame: DataFrame, outputs: dict[str, int | None], include_dom: bool = True, dim: int = HASH_DIM
 ) -> DataFrame:
-    """Adds an ML sparse vector. ``fold_to`` narrows the hashed part (buckets modulo that width).
+    """id, label, split and group columns plus ML sparse vectors, written once to the shared folder.
 
-    Built on the JVM: bucket numbers index a fixed vocabulary, the assembler appends the numerics.
+    ``outputs`` maps a column to a folded width (buckets modulo it) or None for the full width. A
+    vector is stored in Parquet as a plain struct; reading it back with the vector type needs no
+    per-row Python.
     """
+    spark = frame.sparkSession
+    keep = [c for c in ("sample_id", "label", "split", "group") if c in frame.columns]
     parts = add_vector_parts(frame, include_dom, dim)
-    width = fold_to or dim
-    bucket = (lambda b: F.pmod(b, F.lit(width))) if fold_to else (lambda b: b)
-    parts = parts.withColumn(
-        "_terms", F.array_distinct(F.transform("buckets", lambda b: bucket(b).cast("string")))
+    path = shared_folder(spark, "vectors")
+    parts.select(
+        *keep, *[_sparse_struct(parts, dim, fold, include_dom).alias(c) for c, fold in outputs.items()]
+    ).write.parquet(path)
+    schema = StructType(
+        [frame.schema[c] for c in keep] + [StructField(c, VectorUDT()) for c in outputs]
     )
-    counted = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(width)], inputCol="_terms", outputCol="_hashed"
-    ).setBinary(True).transform(parts)
-    columns = ["_hashed"]
-    if include_dom:
-        names = [f"_n{i}" for i in range(len(NUMERIC_FEATURES))]
-        counted = counted.withColumns({n: F.get("numeric", F.lit(i)) for i, n in enumerate(names)})
-        columns += names
-    assembled = VectorAssembler(inputCols=columns, outputCol=output).transform(counted)
-    return assembled.select(*frame.columns, output)
+    return spark.read.schema(schema).parquet(path)
 
 
 def dom_columns(frame: DataFrame) -> list[str]:
@@ -109,6 +125,6 @@ def dom_columns(frame: DataFrame) -> list[str]:
 
 
 __all__ = [
-    "DOM_FEATURES", "add_vector_parts", "dom_columns", "finite_number", "sigmoid", "to_ml_vector",
+    "DOM_FEATURES", "add_vector_parts", "dom_columns", "finite_number", "sigmoid", "to_ml_vectors",
     "transform_numeric", "vectorize",
 ]
