@@ -38,15 +38,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def with_source_order(frame: DataFrame, path_column: str = "_ord") -> DataFrame:
-    """Position in the source as (file, row): stable for unchanged files, unique, sortable.
-
-    Row numbers come from the reader's partitions and are fixed by writing them out once.
-    """
-    spark = frame.sparkSession
-    path = shared_folder(spark, "source-order")
-    frame.withColumn(path_column, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+def with_source_order(frame: DataFrame, name: str = "_ord") -> DataFrame:
+    """Position in the source as (file, row), fixed by writing the rows out once."""
+    path = shared_folder(frame.sparkSession, "source-order")
+    frame.withColumn(name, F.struct("_file", F.monotonically_increasing_id().alias("row"))).drop("_file").write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
 def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +52,7 @@ def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     fail_on_values(raw, label_inverted(F.col("label")).isNull(), F.col("label"), "unknown labels")
     ordered = with_source_order(
         raw.select(
+            F.col("_metadata.file_path").alias("_file"),
             text(F.col("URL")).alias("url"), text(F.col("Title")).alias("title"),
             label_inverted(F.col("label")).alias("label"),
             *[finite_number(F.col(c)).alias("dom_" + n) for c, n in CSV_DOM_COLUMNS.items()],
@@ -80,6 +77,7 @@ def scan_csv_with_html(
     label = label_dual(F.col("label"), kind)
     fail_on_values(raw, label.isNull(), F.concat_ws("/", F.col("label"), kind), "unknown labels")
     rows = raw.select(
+        F.col("_metadata.file_path").alias("_file"),
         strip(text(F.col("url"))).alias("url"), label.alias("label"),
         F.when(F.endswith("file_name", F.lit(".html")), F.col("file_name"))
         .otherwise(F.concat("file_name", F.lit(".html"))).alias("file"),
