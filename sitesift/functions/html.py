@@ -21,6 +21,7 @@ from sitesift.constants import (
     BANK_TERMS, COPYRIGHT_TERMS, CRYPTO_TERMS, DOM_FEATURES, EMPTY_REF_SCHEMES, PAY_TERMS,
     REFERENCE_ATTRIBUTES, SOCIAL_DOMAINS,
 )
+from sitesift.functions.columns import built_once
 from sitesift.functions.normalize import fold_text
 from sitesift.functions.urls import SPACE_CLASS, let, strip, text, url_domain
 
@@ -124,9 +125,22 @@ def _attribute_map(start_tag: Column) -> Column:
     )
 
 
+@built_once
+def _tags_of(html: str) -> Column:
+    return page_tags(F.col(html))
+
+
+@built_once
+def _reference_columns() -> tuple[Column, Column, Column]:
+    return (
+        url_domain(text(F.col("url"))), reference_of(F.col("t")),
+        classify_reference(F.col("base"), F.col("reference")),
+    )
+
+
 def tag_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Long form: (key, pos, tag, attrs), one row per start tag."""
-    return pages.select(key, F.posexplode(page_tags(F.col(html))).alias("pos", "t")).select(
+    return pages.select(key, F.posexplode(_tags_of(html)).alias("pos", "t")).select(
         key, "pos", F.col("t.tag").alias("tag"), F.col("t.attrs").alias("attrs")
     )
 
@@ -219,18 +233,12 @@ def _classify_stripped(base_domain: Column, value: Column) -> Column:
 
 def reference_table(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, tag, reference, class) for every reference on every page."""
+    base, reference, kind = _reference_columns()
     return (
-        pages.select(
-            key,
-            url_domain(text(F.col("url"))).alias("base"),
-            F.posexplode(page_tags(F.col("html"))).alias("pos", "t"),
-        )
-        .withColumn("reference", reference_of(F.col("t")))
+        pages.select(key, base.alias("base"), F.posexplode(_tags_of("html")).alias("pos", "t"))
+        .withColumn("reference", reference)
         .where(F.col("reference").isNotNull())
-        .select(
-            key, "pos", F.col("t.tag").alias("tag"), "reference",
-            classify_reference(F.col("base"), F.col("reference")).alias("class"),
-        )
+        .select(key, "pos", F.col("t.tag").alias("tag"), "reference", kind.alias("class"))
     )
 
 
@@ -286,42 +294,37 @@ def line_lengths(html: Column) -> Column:
 # --- the 22 page features --------------------------------------------------------
 
 
-def add_page_features(
-    frame: DataFrame, url: str = "url", html: str = "html", prefix: str = ""
-) -> DataFrame:
-    """Adds ``status``, ``title`` and the 22 page features; the HTML column is left to the caller.
-
-    Pages that are blank or hold a NUL give zeros. Stages are separate projections so that the
-    scan of the page happens once.
-    """
-    scanned = (
-        frame.withColumn("status", html_status(F.col(html)))
-        .withColumn("_html", F.when(F.col("status") == "ok", F.col(html)).otherwise(""))
-        .withColumn("_base", url_domain(text(F.col(url))))
-        .withColumn("title", page_title(F.col("_html")))
-        .withColumn("_tags", page_tags(F.col("_html")))
-        .withColumn("_lines", line_lengths(F.col("_html")))
-        # The searched terms hold no white space, so the marks need not be tidied up.
-        .withColumn("_visible", marked_text(F.col("_html")))
-    )
-    scanned = scanned.withColumn("_folded", fold_text(F.col("_visible"))).withColumn(
-        "_refs",
+@built_once
+def _page_stages(url: str, html: str) -> list[dict[str, Column]]:
+    """Projections in order; each reads what the ones before it made, so a page is scanned once."""
+    page = F.col("_html")
+    references = F.filter(
         F.transform(
-            F.filter(
-                F.transform(
-                    F.col("_tags"),
-                    lambda t: F.struct(
-                        (t["tag"] == "form").alias("form"), reference_of(t).alias("reference")
-                    ),
-                ),
-                lambda r: r["reference"].isNotNull(),
-            ),
-            lambda r: F.struct(
-                r["form"].alias("form"),
-                classify_reference(F.col("_base"), r["reference"]).alias("class"),
-            ),
+            F.col("_tags"),
+            lambda t: F.struct((t["tag"] == "form").alias("form"), reference_of(t).alias("reference")),
+        ),
+        lambda r: r["reference"].isNotNull(),
+    )
+    classified = F.transform(
+        references,
+        lambda r: F.struct(
+            r["form"].alias("form"), classify_reference(F.col("_base"), r["reference"]).alias("class")
         ),
     )
+    return [
+        {"status": html_status(F.col(html)), "_base": url_domain(text(F.col(url)))},
+        {"_html": F.when(F.col("status") == "ok", F.col(html)).otherwise("")},
+        {
+            "title": page_title(page), "_tags": page_tags(page), "_lines": line_lengths(page),
+            # The searched terms hold no white space, so the marks need not be tidied up.
+            "_visible": marked_text(page),
+        },
+        {"_folded": fold_text(F.col("_visible")), "_refs": classified},
+    ]
+
+
+@built_once
+def _page_values() -> dict[str, Column]:
     tags, refs, folded = F.col("_tags"), F.col("_refs"), F.col("_folded")
 
     def tag_count(name: str) -> Column:
@@ -354,7 +357,17 @@ def add_page_features(
         "mentions_crypto": mentions(folded, CRYPTO_TERMS),
         "has_copyright": mentions(folded, COPYRIGHT_TERMS),
     }
-    columns = {prefix + name: values[name].cast("double") for name in DOM_FEATURES}
-    return scanned.withColumns(columns).drop(
-        "_html", "_base", "_tags", "_lines", "_visible", "_folded", "_refs"
-    )
+    return {name: values[name].cast("double") for name in DOM_FEATURES}
+
+
+def add_page_features(
+    frame: DataFrame, url: str = "url", html: str = "html", prefix: str = ""
+) -> DataFrame:
+    """Adds ``status``, ``title`` and the 22 page features; the HTML column is left to the caller.
+
+    Pages that are blank or hold a NUL give zeros.
+    """
+    for stage in _page_stages(url, html):
+        frame = frame.withColumns(stage)
+    values = {prefix + name: value for name, value in _page_values().items()}
+    return frame.withColumns(values).drop("_html", "_base", "_tags", "_lines", "_visible", "_folded", "_refs")

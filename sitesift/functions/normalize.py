@@ -31,6 +31,6 @@ def _nfkc_lower(values: pa.Array) -> pa.Array:
 
 
 def fold_text(value: Column) -> Column:
-    stable = F.rlike(value, F.lit(STABLE_TEXT))
+    stable = (F.octet_length(value) == F.length(value)) | F.rlike(value, F.lit(STABLE_TEXT))
     # The Arrow function sees null for stable rows, so their text is not sent to Python.
     return F.when(stable, F.lower(value)).otherwise(_nfkc_lower(F.when(~stable, value)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.constants import MULTI_SUFFIXES, SINGLE_SUFFIXES, URL_FEATURES
+from sitesift.functions.columns import built_once
 
 # Code points that count as white space when text is trimmed or split.
 SPACE_CLASS = (
@@ -180,6 +181,11 @@ def host_labels(host: Column) -> Column:
     return F.filter(F.split(host, r"\."), lambda label: label != "")
 
 
+def listed(value: Column, names: list[str]) -> Column:
+    """Membership in a short list; '/' never occurs in a host."""
+    return F.contains(F.lit("/" + "/".join(names) + "/"), F.concat(F.lit("/"), value, F.lit("/")))
+
+
 def suffix_info(host: Column) -> Column:
     """struct(suffix, subdomains, labels) for a lower-case host."""
 
@@ -187,13 +193,13 @@ def suffix_info(host: Column) -> Column:
         count = F.size(labels)
         last = F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(""))
         pair = F.concat_ws(".", F.try_element_at(labels, F.lit(-2)), last)
-        multi = (count > 2) & pair.isin(MULTI_SUFFIXES)
+        multi = (count > 2) & listed(pair, MULTI_SUFFIXES)
         no_suffix = (count <= 1) | is_ip_literal(host)
         return F.struct(
             F.when(no_suffix, F.lit("")).when(multi, pair).otherwise(last).alias("suffix"),
             F.when(no_suffix, F.lit(0))
             .when(multi, count - 3)
-            .when(last.isin(SINGLE_SUFFIXES), count - 2)
+            .when(listed(last, SINGLE_SUFFIXES), count - 2)
             .otherwise(count - 1)
             .alias("subdomains"),
             labels.alias("labels"),
@@ -223,20 +229,22 @@ def url_domain(url: Column) -> Column:
 # --- counts ----------------------------------------------------------------------
 
 
-def add_url_features(frame: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
-    """All 17 URL features as doubles, in one narrow pass."""
+@built_once
+def _url_parts(url: str) -> tuple[Column, Column]:
     raw = text(F.col(url))
-    staged = frame.withColumn(
-        "_u",
-        F.struct(
-            raw.alias("raw"),
-            authority_host(raw).alias("host"),
-            F.length(raw).alias("n"),
-            F.regexp_count(raw, F.lit(r"\p{L}")).alias("letters"),
-            F.regexp_count(raw, F.lit(r"\p{N}")).alias("digits"),
-            F.regexp_count(raw, F.lit("%[0-9A-Fa-f]{2}")).alias("escapes"),
-        ),
-    ).withColumn("_s", suffix_info(F.col("_u.host")))
+    parts = F.struct(
+        raw.alias("raw"),
+        authority_host(raw).alias("host"),
+        F.length(raw).alias("n"),
+        F.regexp_count(raw, F.lit(r"\p{L}")).alias("letters"),
+        F.regexp_count(raw, F.lit(r"\p{N}")).alias("digits"),
+        F.regexp_count(raw, F.lit("%[0-9A-Fa-f]{2}")).alias("escapes"),
+    )
+    return parts, suffix_info(F.col("_u.host"))
+
+
+@built_once
+def _url_values() -> dict[str, Column]:
     n, letters, digits = F.col("_u.n"), F.col("_u.letters"), F.col("_u.digits")
     escapes, host = F.col("_u.escapes"), F.col("_u.host")
     special = n - letters - digits
@@ -264,5 +272,11 @@ def add_url_features(frame: DataFrame, url: str = "url", prefix: str = "") -> Da
         "is_domain_ip": is_ip_literal(host),
         "is_https": url_scheme(F.col("_u.raw")) == "https",
     }
-    columns = {prefix + name: values[name].cast("double") for name in URL_FEATURES}
-    return staged.withColumns(columns).drop("_u", "_s")
+    return {name: values[name].cast("double") for name in URL_FEATURES}
+
+
+def add_url_features(frame: DataFrame, url: str = "url", prefix: str = "") -> DataFrame:
+    """All 17 URL features as doubles, in one narrow pass."""
+    parts, suffix = _url_parts(url)
+    columns = {prefix + name: value for name, value in _url_values().items()}
+    return frame.withColumn("_u", parts).withColumn("_s", suffix).withColumns(columns).drop("_u", "_s")

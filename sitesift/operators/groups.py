@@ -43,20 +43,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = cut_lineage(
         pairs.select("u").union(pairs.select(F.col("v").alias("u"))).union(loops).distinct()
     )
+    size = pairs.count()
     for _ in range(max_rounds):
         # Large star: larger neighbours of u move to the smallest node around u.
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("_m")).select(
             "u", F.least("u", "_m").alias("low")
         )
-        large = skewed_lookup(both.where(F.col("v") > F.col("u")), lows, "u").select(
-            F.col("v").alias("u"), F.col("low").alias("v")
-        ).where(F.col("u") != F.col("v")).distinct()
-        large = cut_lineage(large)
+        upward = both.where(F.col("v") > F.col("u"))
+        large = cut_lineage(
+            skewed_lookup(upward, lows, "u", row_count=size)
+            .select(F.col("v").alias("u"), F.col("low").alias("v"))
+            .where(F.col("u") != F.col("v")).distinct()
+        )
         # Small star: u and its smaller neighbours move to the smallest of them.
         mins = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = (
-            skewed_lookup(large, mins, "u")
+        small = cut_lineage(
+            skewed_lookup(large, mins, "u", row_count=size)
             .select(F.explode(F.array(
                 F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
                 F.struct(F.col("u").alias("u"), F.col("low").alias("v")),
@@ -65,10 +68,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        small = cut_lineage(small)
-        settled = small.count() == pairs.count() and small.join(
-            pairs, ["u", "v"], "left_anti"
-        ).isEmpty()
+        before, size = size, small.count()
+        settled = size == before and small.join(pairs, ["u", "v"], "left_anti").isEmpty()
         pairs = small
         if settled:
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,8 +18,8 @@ MAX_BUCKETS = 4096
 
 
 def bucket_count(frame: DataFrame) -> int:
-    """A power of two near the shuffle width."""
-    width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A power of two of about eight buckets per shuffle partition, so that tasks even out."""
+    width = 8 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(MAX_BUCKETS, 1 << max(4, (width - 1).bit_length()))
 
 
@@ -63,13 +63,13 @@ def running_totals(
     """
     keys = list(keys)
     n = buckets or bucket_count(counts)
+    sign = -1 if descending else 1
     parts = (
         counts.withColumn("_edges", _edges(source or counts, order, n))
-        .withColumn("_bucket", _bucket(F.col("_edges"), F.col(order), n))
+        # Never null, so the join below adds no null filter that would be pushed to the raw rows.
+        .withColumn("_bucket", F.coalesce(_bucket(F.col("_edges"), F.col(order), n), F.lit(0)) * sign)
         .drop("_edges")
     )
-    if descending:
-        parts = parts.withColumn("_bucket", -F.col("_bucket"))
     before = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.constants import DOM_FEATURES, NUMERIC_FEATURES, URL_FEATURES
+from sitesift.functions.columns import built_once
 from sitesift.functions.html import add_page_features, parse_status
 from sitesift.functions.urls import add_url_features, canonicalize_url, strip, text
 from sitesift.operators.groups import dedupe_keep_first
@@ -19,6 +20,38 @@ def all_features(frame: DataFrame, url: str = "url", html: str = "html", prefix:
     return add_page_features(add_url_features(frame, url, prefix), url, html, prefix)
 
 
+@built_once
+def _record_columns() -> dict[str, Column]:
+    """The checked columns of a raw row; values of rejected rows are null."""
+    kept = F.col("reject_reason").isNull()
+
+    def must(value: Column, what: str, shown: str) -> Column:
+        checked = F.when(
+            value.isNull(), F.raise_error(F.concat(F.lit(what + ": "), F.col(shown)))
+        ).otherwise(value)
+        return F.when(kept, checked)
+
+    return {
+        "label": must(label_from_text(F.col("label")), "unknown label", "label"),
+        "url": F.when(kept, strip(text(F.col("url")))),
+        "date": must(parse_utc(F.col("date")), "date must be a strict ISO-8601 UTC timestamp", "date"),
+        "sample_id": F.sha2(must(canonicalize_url(F.col("url")), "invalid url", "url"), 256),
+        "html": F.when(kept, F.col("html")),
+    }
+
+
+@built_once
+def _record_output() -> list[Column]:
+    kept = F.col("reject_reason").isNull()
+    status = F.when(kept, parse_status(F.col("status"), F.col("title"))).otherwise("skipped")
+    return [
+        F.col("url"), F.when(kept, F.col("title")).alias("title"), F.col("date"),
+        format_utc(F.col("date")).alias("date_text"), F.col("label"), F.col("sample_id"),
+        status.alias("parse_status"),
+        *[F.when(kept, F.col("dom_" + n)).alias("dom_" + n) for n in NUMERIC_FEATURES],
+    ]
+
+
 def canonical_records(raw: DataFrame, keep_html: bool = False) -> DataFrame:
     """Canonical records from (url, html, date, label) rows; other columns are carried through.
 
@@ -27,36 +60,12 @@ def canonical_records(raw: DataFrame, keep_html: bool = False) -> DataFrame:
     """
     require_columns(raw, RAW_COLUMNS, "page stream")
     carried = [c for c in raw.columns if c not in RAW_COLUMNS]
-    staged = raw.withColumn("reject_reason", reject_reason()).withColumn("_kept", F.col("reject_reason").isNull())
-    label = label_from_text(F.col("label"))
-    date = parse_utc(F.col("date"))
-    canonical = canonicalize_url(F.col("url"))
-
-    def must(value: Column, what: str, shown: str) -> Column:
-        checked = F.when(
-            value.isNull(), F.raise_error(F.concat(F.lit(what + ": "), F.col(shown)))
-        ).otherwise(value)
-        return F.when(F.col("_kept"), checked)
-
-    staged = staged.select(
-        *carried, "reject_reason", "_kept",
-        must(label, "unknown label", "label").alias("label"),
-        F.when(F.col("_kept"), strip(text(F.col("url")))).alias("url"),
-        must(date, "date must be a strict ISO-8601 UTC timestamp", "date").alias("date"),
-        F.sha2(must(canonical, "invalid url", "url"), 256).alias("sample_id"),
-        F.when(F.col("_kept"), F.col("html")).alias("html"),
+    staged = raw.withColumn("reject_reason", reject_reason()).select(
+        *carried, "reject_reason", *[value.alias(name) for name, value in _record_columns().items()]
     )
-    full = all_features(staged)
-    out = full.select(
-        *carried, "reject_reason",
-        *[F.when(F.col("_kept"), F.col(c)).alias(c) for c in ("url", "title")],
-        "date", format_utc(F.col("date")).alias("date_text"), "label", "sample_id",
-        F.when(F.col("_kept"), parse_status(F.col("status"), F.col("title")))
-        .otherwise("skipped").alias("parse_status"),
-        *(["html"] if keep_html else []),
-        *[F.when(F.col("_kept"), F.col("dom_" + n)).alias("dom_" + n) for n in NUMERIC_FEATURES],
+    return all_features(staged).select(
+        *carried, "reject_reason", *_record_output(), *(["html"] if keep_html else [])
     )
-    return out
 
 
 def limit_scan(raw: DataFrame, order: str, limit: int) -> DataFrame:

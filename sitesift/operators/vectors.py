@@ -12,6 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from sitesift.constants import (
     COUNT_FEATURES, DOM_FEATURES, HASH_DIM, NUMERIC_FEATURES, RATIO_FEATURES, URL_FEATURES,
 )
+from sitesift.functions.columns import built_once
 from sitesift.functions.hashing import hashed_buckets
 from sitesift.functions.urls import add_url_features
 from sitesift.session import shared_folder
@@ -37,23 +38,36 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+@built_once
+def _numeric_column(present: tuple[str, ...], dom_prefix: str) -> Column:
+    values = []
+    for name in NUMERIC_FEATURES:
+        if name in URL_FEATURES:
+            values.append(F.col("_v_" + name))
+        elif name in present:
+            values.append(F.col(dom_prefix + name).try_cast("double"))
+        else:
+            values.append(F.lit(0.0))
+    counts, ratios = len(COUNT_FEATURES), len(COUNT_FEATURES) + len(RATIO_FEATURES)
+    # One pass over the array: every feature expression is evaluated once.
+    return F.transform(
+        F.array(*values),
+        lambda v, i: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == math.inf), 0.0)
+        .when(i < counts, F.log1p(F.greatest(v, F.lit(0.0))))
+        .when(i < ratios, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+        .otherwise((v != 0).cast("double")),
+    )
+
+
 def add_numeric(frame: DataFrame, dom_prefix: str = "dom_") -> DataFrame:
     """Adds ``numeric`` (array<double>, 39 wide).
 
     URL features are always recomputed from the raw URL; the others come from ``dom_*`` columns,
     0 where a column is missing.
     """
+    present = tuple(n for n in DOM_FEATURES if dom_prefix + n in frame.columns)
     out = add_url_features(frame, prefix="_v_")
-    values = []
-    for name in NUMERIC_FEATURES:
-        if name in URL_FEATURES:
-            value = F.col("_v_" + name)
-        elif dom_prefix + name in frame.columns:
-            value = F.col(dom_prefix + name)
-        else:
-            value = F.lit(0.0)
-        values.append(transform_numeric(name, value))
-    return out.withColumn("numeric", F.array(*values)).drop(*["_v_" + n for n in URL_FEATURES])
+    return out.withColumn("numeric", _numeric_column(present, dom_prefix)).drop(*["_v_" + n for n in URL_FEATURES])
 
 
 def add_vector_parts(frame: DataFrame, include_dom: bool = True, dim: int = HASH_DIM) -> DataFrame:

@@ -24,7 +24,8 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def page_stream(spark, sf):
-    return rich_html(S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    return rich_html(S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet", partitions=cores))
 
 
 def record_stream(spark, sf):

@@ -23,7 +23,7 @@ from sitesift.plans.catalog.registry import query
 
 @query("normalize_text", "SELECT doc_id, md5(lower(text)) AS folded FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(fold_text(F.col("text"))).alias("folded"))
+    return long_documents(spark, sf).select("doc_id", F.md5(fold_text(F.col("text"))).alias("folded"))
 
 
 _GRAMS = """SELECT page_id, ns || ':' || substr(t, i::INT, n::INT) AS gram

@@ -17,13 +17,18 @@ from sitesift.operators.validate import accept_record, page_record_problem, requ
 
 def stream_pages(
     spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """Raw page rows as a stream of Parquet files."""
+    """Raw page rows as a stream of Parquet files.
+
+    ``partitions`` spreads a batch of few files over more tasks; leave it unset when batches have
+    many files.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    stream = reader.parquet(path)
+    return stream.repartition(partitions) if partitions else stream
 
 
 def stream_records(raw: DataFrame) -> DataFrame:
