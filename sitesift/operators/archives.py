@@ -63,11 +63,18 @@ def member_names(path: Column) -> tuple[Column, Column]:
     return F.when(two, F.get(parts, F.lit(0))), F.when(two, F.lower(F.get(parts, F.lit(1))))
 
 
-def top_member_names(members: DataFrame, k: int = 10) -> DataFrame:
-    """The k most common base names per archive with their file counts; ties by name."""
+def top_member_names(members: DataFrame, k: int = 10, salts: int = 256) -> DataFrame:
+    """The k most common base names per archive with their file counts; ties by name.
+
+    An archive may hold very many distinct names, so candidates are ranked in name-hash slices
+    first; the final ranking sees at most k names per slice.
+    """
     counts = members.groupBy("label", "basename").agg(F.count(F.lit(1)).alias("files"))
-    rank = Window.partitionBy("label").orderBy(F.col("files").desc(), "basename")
-    return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    order = [F.col("files").desc(), F.col("basename")]
+    slices = Window.partitionBy("label", F.pmod(F.xxhash64("basename"), F.lit(salts))).orderBy(*order)
+    final = Window.partitionBy("label").orderBy(*order)
+    best = counts.withColumn("rank", F.row_number().over(slices)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 
 
 def pair_members(members: DataFrame) -> DataFrame:

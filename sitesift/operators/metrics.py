@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesift.constants import FPR_TARGETS
+from sitesift.constants import FPR_TARGETS, LATENCY_GATE_MS, PAYLOAD_GATE_BYTES
 from sitesift.operators.ordering import running_totals, seeded_hash, value_at_rank
 
 
@@ -199,6 +199,14 @@ def latency_summary(frame: DataFrame, value: str, keys: Sequence[str] = ()) -> D
     return picked.join(mean, list(keys)) if keys else picked.withColumn("avg", mean.scalar())
 
 
+def runtime_gates(summary: DataFrame, payload_bytes: int | Column) -> DataFrame:
+    """Adds the latency and payload limits a model must keep."""
+    size = payload_bytes if isinstance(payload_bytes, Column) else F.lit(payload_bytes)
+    return summary.withColumns({
+        "within_latency": F.col("p95") <= LATENCY_GATE_MS, "within_payload": size <= PAYLOAD_GATE_BYTES,
+    })
+
+
 def percentile_interval(frame: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated 2.5 / 50 / 97.5 percentiles of replicate values."""
     return frame.groupBy(*keys).agg(

@@ -109,6 +109,15 @@ def _(spark, sf):
     return out.withColumn("avg", F.round("avg", 6))
 
 
+@query("runtime_gates", """WITH r AS (SELECT event_type, value * 10 AS value, n, i FROM (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n,
+  row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i FROM events))
+SELECT event_type, max(value) FILTER (WHERE i = floor((n - 1) * 0.95)) <= 250 AS within_latency, n * 10000 <= 26214400 AS within_payload FROM r GROUP BY event_type, n""")
+def _(spark, sf):
+    events = table(spark, sf, "events").select("event_type", (F.col("value") * 10).alias("value"))
+    gates = M.runtime_gates(M.latency_summary(events, "value", ["event_type"]), F.col("n") * 10000)
+    return gates.select("event_type", "within_latency", "within_payload")
+
+
 @query("percentile_interval", """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.025), 6) AS p2_5, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
   round(quantile_cont(l_extendedprice, 0.975), 6) AS p97_5 FROM lineitem GROUP BY ALL""")
 def _(spark, sf):

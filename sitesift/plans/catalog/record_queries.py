@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitesift.constants import DOM_FEATURES, MAX_DOM_KEYS, MAX_TITLE_CODE_POINTS, MAX_URL_CODE_POINTS, MISSING_FAMILY_IDS
+from sitesift.constants import (
+    CSV_DOM_COLUMNS, DOM_FEATURES, MAX_TITLE_CODE_POINTS, MAX_URL_CODE_POINTS, MISSING_FAMILY_IDS,
+)
 from sitesift.functions.html import add_page_features, html_status, page_title, parse_status
 from sitesift.operators import archives as A
 from sitesift.operators import records as R
 from sitesift.operators import validate as V
 from sitesift.plans.catalog.html_queries import CANONICAL_SQL, REJECT_SQL, TITLE_SQL
 from sitesift.plans.catalog.inputs import (
-    LINE_SQL, RAW_SQL, RICH_SQL, canonical_sql, line_scores, pages, quoted, raw_rows, rich_pages, table,
+    LINE_SQL, RAW_SQL, RICH_SQL, SHOP_SQL, canonical_sql, host_sql, line_scores, pages, quoted,
+    raw_rows, rich_pages, shop_urls, table,
 )
 from sitesift.plans.catalog.registry import query
+from sitesift.plans.catalog.url_queries import url_features_sql
+from sitesift.plans.training import combined_training
 from sitesift.session import shared_folder
 from sitesift.sources import tables as T
 
@@ -334,6 +339,55 @@ def _(spark, sf):
     return T.read_predictions(spark, path).select("sample_id", "label", F.round("score", 9).alias("score"), "model")
 
 
+# Every customer's shop URL as a labelled CSV; the numeric columns come from the customer row.
+_CSV_SQL = f"""{SHOP_SQL}, src AS (SELECT c_custkey, url, 'Shop, ' || c_name AS title, (c_acctbal > 0)::INT AS raw, c_nationkey FROM shop JOIN customer USING (c_custkey)),
+  {url_features_sql('shop', 'c_custkey')}, {canonical_sql('shop', 'c_custkey')}, {host_sql('shop', 'c_custkey', 'sh')}"""
+
+
+@query("scan_labelled_csv", f"""WITH {_CSV_SQL} SELECT s.url, s.title, 1 - s.raw AS label, sha256(canonical) AS sample_id, sh.domain AS "group",
+  s.c_nationkey::DOUBLE AS dom_image_count, 0.0::DOUBLE AS dom_css_count, uf.url_length AS dom_url_length, round(uf.letter_ratio, 9) AS dom_letter_ratio
+  FROM src s JOIN uf USING (c_custkey) JOIN canon USING (c_custkey) JOIN sh USING (c_custkey)""")
+def _(spark, sf):
+    path = shared_folder(spark, "labelled-csv")
+    customers = table(spark, sf, "customer")
+    numbers = [
+        F.when(F.lit(n == "css_count"), "n/a").otherwise(F.col("c_nationkey").cast("string")).alias(c) for c, n in CSV_DOM_COLUMNS.items()
+    ]
+    rows = shop_urls(spark, sf).join(customers, "c_custkey").select(
+        F.col("url").alias("URL"), F.concat(F.lit("Shop, "), "c_name").alias("Title"),
+        (F.col("c_acctbal") > 0).cast("int").alias("label"), *numbers, F.lit("1").alias("URLSimilarityIndex"),
+    )
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    out = T.scan_labelled_csv(spark, path)
+    return out.select(
+        "url", "title", "label", "sample_id", "group", "dom_image_count", "dom_css_count", "dom_url_length",
+        F.round("dom_letter_ratio", 9).alias("dom_letter_ratio"),
+    )
+
+
+@query("records_to_input", f"WITH {CANONICAL_SQL} SELECT sample_id, label::VARCHAR AS label, md5(html) AS digest FROM canonical JOIN (SELECT page_id, html FROM rich) USING (page_id) WHERE reject_reason IS NULL")
+def _(spark, sf):
+    frozen, path = shared_folder(spark, "frozen"), shared_folder(spark, "input")
+    T.freeze_records(raw_rows(spark, sf), frozen)
+    T.records_to_input(T.read_frozen(spark, frozen), path)
+    return T.read_scorer_input(spark, path).select("sample_id", "label", F.md5("html").alias("digest"))
+
+
+@query("write_report", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def _(spark, sf):
+    path = shared_folder(spark, "report")
+    summary = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    T.write_report(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+@query("combined_training", "SELECT doc_id, toxic AS label, 'first' AS source FROM labels UNION ALL SELECT doc_id, (lang = 'en')::INT, 'second' FROM documents")
+def _(spark, sf):
+    first = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
+    second = table(spark, sf, "documents").select("doc_id", (F.col("lang") == "en").cast("int").alias("label"))
+    return combined_training(first, second)
+
+
 @query("file_manifest")
 def _(spark, sf):
     return T.file_manifest(spark, sf)

@@ -124,10 +124,9 @@ def _(spark, sf):
 
 @query("stream_stale_results", f"WITH {_TABS} SELECT tab, event_id, url, coalesce(current, '') <> url AS stale FROM cur WHERE kind = 'result'")
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = table(spark, sf, "events").schema
     events = tab_events(S.stream_pages(spark, sf, schema, "events.parquet"))
-    return S.drain_to_table(tabs.stream_stale_results(events), shared_folder(spark, "offsets"), shared_folder(spark, "stale"))
+    return tabs.stream_stale_results(events, shared_folder(spark, "offsets"), shared_folder(spark, "stale"))
 
 
 @query("train_stream")

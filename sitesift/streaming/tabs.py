@@ -6,16 +6,15 @@ only while its URL is the tab's current URL.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from sitesift.operators.skew import skewed_lookup
+from sitesift.streaming.pages import drain
 
 
-def _carried(events: DataFrame, bucket: Column) -> DataFrame:
-    """Adds ``current``: the URL of the last navigation or close before each event (null if none).
+def _marked(events: DataFrame, bucket: Column) -> DataFrame:
+    """Adds ``_seen``: struct(url) of the last navigation or close up to each event, null if none.
 
     A tab's events are cut into time buckets; a bucket starts from the last URL of earlier buckets,
     so a tab with very many events is not ordered in one task.
@@ -35,16 +34,26 @@ def _carried(events: DataFrame, bucket: Column) -> DataFrame:
         Window.unboundedPreceding, 0
     )
     return staged.join(starts, ["tab", "_bucket"]).withColumn(
-        "current", F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_start"))["url"]
+        "_seen", F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_start"))
     ).drop("_bucket", "_mark", "_start")
 
 
-def stale_results(events: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Result events with ``stale``: the tab shows another page, or none, by then."""
+def stale_results(
+    events: DataFrame, bucket: Column | None = None, carried: DataFrame | None = None
+) -> DataFrame:
+    """Result events with ``stale``: the tab shows another page, or none, by then.
+
+    ``carried`` is an optional (tab, url) table of pages shown before the first event.
+    """
     bucket = F.date_trunc("hour", F.col("ts")) if bucket is None else bucket
-    return _carried(events, bucket).where(F.col("kind") == "result").withColumn(
-        "stale", ~F.coalesce(F.col("current") == F.col("url"), F.lit(False))
-    ).drop("current")
+    results = _marked(events, bucket).where(F.col("kind") == "result")
+    current = F.col("_seen.url")
+    if carried is not None:
+        results = skewed_lookup(results, carried.withColumnRenamed("url", "_carried"), "tab", "left")
+        current = F.when(F.col("_seen").isNull(), F.col("_carried")).otherwise(current)
+    return results.select(
+        *events.columns, (~F.coalesce(current == F.col("url"), F.lit(False))).alias("stale")
+    )
 
 
 def latest_state_per_key(events: DataFrame, bucket: Column | None = None) -> DataFrame:
@@ -61,36 +70,31 @@ def latest_state_per_key(events: DataFrame, bucket: Column | None = None) -> Dat
     )
 
 
-class TabProcessor(StatefulProcessor):
-    """Streaming form of ``stale_results``: keeps one URL per tab, deletes it on close."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "url string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        url = self.current.get()[0] if self.current.exists() else None
-        out = []
-        for event in events.itertuples(index=False):
-            if event.kind == "navigate":
-                url = event.url
-            elif event.kind == "close":
-                url = None
-            else:
-                out.append((key[0], event.event_id, event.url, url != event.url))
-        if url is None:
-            self.current.clear()
-        else:
-            self.current.update((url,))
-        yield pd.DataFrame(out, columns=["tab", "event_id", "url", "stale"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_stale_results(events: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    return events.groupBy("tab").transformWithStateInPandas(
-        statefulProcessor=TabProcessor(), outputStructType="tab bigint, event_id bigint, url string, stale boolean",
-        outputMode="Append", timeMode="None",
-    )
+def stream_stale_results(events: DataFrame, checkpoint: str, path: str) -> DataFrame:
+    """Streaming form: each micro-batch starts from the URLs that the one before it left behind.
+
+    The carried table (tab, url) is written per batch id, so a replayed batch gives the same result;
+    closed tabs leave it. Batches must arrive in time order; inside a batch any order will do.
+    """
+    spark = events.sparkSession
+    schema = "tab bigint, url string"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        carried = spark.createDataFrame([], schema)
+        if batch_id > 0:
+            carried = spark.read.schema(schema).parquet(f"{path}/carried/batch_id={batch_id - 1}")
+        stale_results(batch, carried=carried).select("tab", "event_id", "url", "stale").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/results/batch_id={batch_id}")
+        moved = batch.where(F.col("kind").isin("navigate", "close")).groupBy("tab").agg(
+            F.max_by(F.struct("kind", "url"), F.struct("ts", "event_id")).alias("m")
+        )
+        carried.withColumnRenamed("url", "_old").join(moved, "tab", "full_outer").select(
+            "tab",
+            F.when(F.col("m").isNull(), F.col("_old")).when(F.col("m.kind") == "navigate", F.col("m.url")).alias("url"),
+        ).where(F.col("url").isNotNull()).write.mode("overwrite").parquet(f"{path}/carried/batch_id={batch_id}")
+
+    drain(events, checkpoint, write)
+    return spark.read.schema("tab bigint, event_id bigint, url string, stale boolean").parquet(
+        f"{path}/results"
+    ).select("tab", "event_id", "url", "stale")

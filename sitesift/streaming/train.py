@@ -87,7 +87,7 @@ def gradient_step(entries: DataFrame, labels: DataFrame, state: DataFrame, rows:
         .agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")).alias("logit"))
     )
     residuals = logits.join(labels, "row_id").select(
-        "row_id", ((sigmoid(F.col("logit")) - F.col("label")) / F.lit(float(rows))).alias("r")
+        "row_id", ((sigmoid(F.col("logit")) - F.col("label")) * F.col("copies") / F.lit(float(rows))).alias("r")
     )
     gradient = (
         entries.join(residuals, "row_id").groupBy("idx").agg(F.sum(F.col("value") * F.col("r")).alias("g"))
@@ -117,15 +117,14 @@ def _train_batch(batch: DataFrame, batch_id: int, state_dir: str, config: Stream
     accepted = kept.where(F.col("drop_reason").isNull()).withColumn("row_id", F.xxhash64("sample_id", "url", "title", "label"))
     rows = accepted.count()
     if rows:
-        # Equal rows share an id; their copies count as weight on both sides of the gradient.
-        labels = accepted.groupBy("row_id").agg(F.first("label").alias("label"))
+        # Equal rows share an id and are trained on once, weighted by their number of copies.
+        labels = accepted.groupBy("row_id").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("copies"))
         entries = vectorize(accepted.dropDuplicates(["row_id"]), "row_id", config.include_dom, config.hash_dim)
         ones = labels.select("row_id", F.lit(INTERCEPT).alias("idx"), F.lit(1.0).cast("float").alias("value"))
         entries = write_and_read(entries.unionByName(ones), "train-entries")
         labels = write_and_read(labels, "train-labels")
-        unique = labels.count()
         for _ in range(config.passes):
-            state = write_and_read(gradient_step(entries, labels, state, unique, config), "train-state")
+            state = write_and_read(gradient_step(entries, labels, state, rows, config), "train-state")
     state.write.mode("overwrite").parquet(_weights_path(state_dir, batch_id))
     counts.write.mode("overwrite").parquet(_counts_path(state_dir, batch_id))
 

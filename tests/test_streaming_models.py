@@ -108,11 +108,10 @@ def test_stale_results_batch_and_stream(spark, tmp_path):
     latest = {r["tab"]: (r["event_id"], r["url"]) for r in tabs.latest_state_per_key(tab_frame(spark)).collect()}
     assert latest == {1: (6, "b")}
     folder = str(tmp_path / "ev")
-    for name, rows in (("a", [e for e in EVENTS if e[1] <= 3]), ("b", [e for e in EVENTS if e[1] > 3])):
+    for name, rows in (("a", [e for e in EVENTS if e[1] <= 2]), ("b", [e for e in EVENTS if e[1] > 2])):
         tab_frame(spark, rows).coalesce(1).write.parquet(f"{folder}/{name}")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = spark.readStream.schema(tab_frame(spark).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    out = S.drain_to_table(tabs.stream_stale_results(source), str(tmp_path / "c"), str(tmp_path / "o"))
+    out = tabs.stream_stale_results(source, str(tmp_path / "c"), str(tmp_path / "o"))
     assert {(r["tab"], r["event_id"]): r["stale"] for r in out.collect()} == STALE
 
 
