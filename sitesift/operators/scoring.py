@@ -170,7 +170,10 @@ def align_by_id(left: DataFrame, right: DataFrame, key: str = "sample_id") -> Da
 
 
 def aligned_or_fail(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Aligned scores; raises if the id sets or labels differ."""
+    """Aligned scores; raises if ids repeat or if the id sets or labels differ."""
+    for side, frame in (("left", left), ("right", right)):
+        if not frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+            raise ValueError(f"repeated {key} in the {side} scores")
     aligned = align_by_id(left, right, key)
     bad = aligned.where(F.col("status") != "ok")
     counts = {r["status"]: r["count"] for r in bad.groupBy("status").count().collect()}

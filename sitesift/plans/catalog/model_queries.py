@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitesift.functions.urls import authority_host, canonicalize_url
+from sitesift.operators.groups import dedupe_keep_first
 from sitesift.operators.records import all_features
 from sitesift.operators.splits import grouped_split
 from sitesift.plans import models as M
@@ -21,8 +22,8 @@ TREE = M.TreeConfig(n_estimators=3, max_depth=3, hash_dim=128)
 
 def split_records(spark, sf):
     """Records with a split by host; label 1 for plain http."""
-    features = all_features(rich_pages(spark, sf)).withColumns({
-        "sample_id": F.sha2(canonicalize_url(F.col("url")), 256),
+    named = rich_pages(spark, sf).withColumn("sample_id", F.sha2(canonicalize_url(F.col("url")), 256))
+    features = all_features(dedupe_keep_first(named, "sample_id", "page_id")).withColumns({
         "label": F.startswith("url", F.lit("http:")).cast("int"),
         "group": authority_host(F.col("url")),
     }).drop("html")

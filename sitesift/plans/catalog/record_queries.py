@@ -8,9 +8,11 @@ from sitesift.constants import (
     CSV_DOM_COLUMNS, DOM_FEATURES, MAX_TITLE_CODE_POINTS, MAX_URL_CODE_POINTS, MISSING_FAMILY_IDS,
 )
 from sitesift.functions.html import add_page_features, html_status, page_title, parse_status
+from sitesift.functions.urls import canonicalize_url
 from sitesift.operators import archives as A
 from sitesift.operators import records as R
 from sitesift.operators import validate as V
+from sitesift.operators.groups import dedupe_keep_first
 from sitesift.plans.catalog.html_queries import CANONICAL_SQL, REJECT_SQL, TITLE_SQL
 from sitesift.plans.catalog.inputs import (
     LINE_SQL, RAW_SQL, RICH_SQL, SHOP_SQL, canonical_sql, host_sql, line_scores, pages, quoted,
@@ -365,10 +367,11 @@ def _(spark, sf):
     )
 
 
-@query("records_to_input", f"WITH {CANONICAL_SQL} SELECT sample_id, label::VARCHAR AS label, md5(html) AS digest FROM canonical JOIN (SELECT page_id, html FROM rich) USING (page_id) WHERE reject_reason IS NULL")
+@query("records_to_input", f"WITH {CANONICAL_SQL} SELECT sample_id, label::VARCHAR AS label, md5(html) AS digest FROM canonical JOIN (SELECT page_id, html FROM rich) USING (page_id) JOIN (SELECT min(page_id) AS page_id FROM rc GROUP BY canonical) USING (page_id) WHERE reject_reason IS NULL")
 def _(spark, sf):
     frozen, path = shared_folder(spark, "frozen"), shared_folder(spark, "input")
-    T.freeze_records(raw_rows(spark, sf), frozen)
+    named = raw_rows(spark, sf).withColumn("cid", F.sha2(canonicalize_url(F.col("url")), 256))
+    T.freeze_records(dedupe_keep_first(named, "cid", "page_id").drop("cid"), frozen)
     T.records_to_input(T.read_frozen(spark, frozen), path)
     return T.read_scorer_input(spark, path).select("sample_id", "label", F.md5("html").alias("digest"))
 
