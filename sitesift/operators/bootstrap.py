@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.operators.metrics import average_precision, percentile_interval, score_counts
+from sitesift.operators.metrics import percentile_interval, ranking_metrics, score_counts
 from sitesift.operators.ordering import ranked_positions, running_totals, seeded_hash
 
 MAX_BROADCAST_ROWS = 1_000_000  # three numbers per row: about 24 MB
@@ -67,7 +67,7 @@ def replicate_differences(
         counts, "score", ["tp", "fp"], keys, descending=True, source=both_sides(paired), buckets=16
     )
     limit = F.when(F.col("side") == "left", float(left_threshold)).otherwise(float(right_threshold))
-    merged = average_precision(prefix, keys, limit)
+    merged = ranking_metrics(prefix, ["average_precision", "f1"], keys, limit)
     signed = F.when(F.col("side") == "left", 1.0).otherwise(-1.0)
     return merged.groupBy("replicate").agg(
         F.sum(signed * F.col("average_precision")).alias("ap_diff"),

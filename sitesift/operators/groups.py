@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.operators.skew import skewed_lookup
-from sitesift.session import cut_lineage
+from sitesift.session import write_and_read
 
 
 def dedupe_keep_first(frame: DataFrame, id_column: str, order: str) -> DataFrame:
@@ -34,14 +34,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has string columns ``a`` and ``b``. Alternating star contraction: each round points
     every node at the smallest neighbour it knows, and the diameter falls by a constant factor.
-    Each round is checkpointed to the shared folder. Minima are combined on the map side and the
+    Each round is written to the shared folder, which cuts the lineage and gives the next joins sizes. Minima are combined on the map side and the
     join back to a node's edges is salted for nodes with very many of them.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     loops = pairs.where(F.col("u") == F.col("v")).select("u")
-    pairs = cut_lineage(pairs.where(F.col("u") != F.col("v")))
-    nodes = cut_lineage(
-        pairs.select("u").union(pairs.select(F.col("v").alias("u"))).union(loops).distinct()
+    pairs = write_and_read(pairs.where(F.col("u") != F.col("v")), "edges")
+    nodes = write_and_read(
+        pairs.select("u").union(pairs.select(F.col("v").alias("u"))).union(loops).distinct(), "nodes"
     )
     size = pairs.count()
     for _ in range(max_rounds):
@@ -51,14 +51,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             "u", F.least("u", "_m").alias("low")
         )
         upward = both.where(F.col("v") > F.col("u"))
-        large = cut_lineage(
+        large = write_and_read(
             skewed_lookup(upward, lows, "u", row_count=size)
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .where(F.col("u") != F.col("v")).distinct()
+            .where(F.col("u") != F.col("v")).distinct(),
+            "large-star",
         )
         # Small star: u and its smaller neighbours move to the smallest of them.
         mins = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = cut_lineage(
+        small = write_and_read(
             skewed_lookup(large, mins, "u", row_count=size)
             .select(F.explode(F.array(
                 F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
@@ -66,7 +67,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )).alias("e"))
             .select("e.u", "e.v")
             .where(F.col("u") != F.col("v"))
-            .distinct()
+            .distinct(),
+            "small-star",
         )
         before, size = size, small.count()
         settled = size == before and small.join(pairs, ["u", "v"], "left_anti").isEmpty()

@@ -36,28 +36,42 @@ def score_prefix_sums(
     )
 
 
-def average_precision(
-    prefix: DataFrame, keys: Sequence[str] = (), threshold: Column | None = None
+def _ranking_sums(threshold: Column | None) -> list[Column]:
+    """What every metric needs, summed over distinct scores."""
+    tp, fp, score = F.col("tp"), F.col("fp"), F.col("score")
+    hit = F.lit(False) if threshold is None else score >= threshold
+    return [
+        F.sum(tp).alias("_p"), F.sum(fp).alias("_n"),
+        F.sum(tp * F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum"))).alias("_ap"),
+        F.sum(fp * (F.col("tp_cum") - tp / 2)).alias("_area"),
+        F.sum(F.when(hit, tp).otherwise(0)).alias("_hit"), F.sum(F.when(hit, fp).otherwise(0)).alias("_false"),
+        F.sum(tp * (score - 1) * (score - 1) + fp * score * score).alias("_error"),
+    ]
+
+
+def _ranking_values() -> dict[str, Column]:
+    p, n, hit, false = F.col("_p"), F.col("_n"), F.col("_hit"), F.col("_false")
+    return {
+        "tn": n - false, "fp": false, "fn": p - hit, "tp": hit,
+        "precision": ratio(hit, hit + false), "recall": ratio(hit, p),
+        "f1": ratio(2 * hit, hit + false + p), "accuracy": ratio(hit + n - false, p + n),
+        "false_positive_rate": ratio(false, n), "brier": F.col("_error") / (p + n),
+        "average_precision": F.when(p == 0, 0.0).when(n == 0, 1.0).otherwise(F.try_divide(F.col("_ap"), p)),
+        "roc_auc": F.when((p > 0) & (n > 0), F.try_divide(F.col("_area"), p * n.cast("double"))),
+    }
+
+
+def ranking_metrics(
+    prefix: DataFrame, names: Sequence[str], keys: Sequence[str] = (), threshold: Column | None = None
 ) -> DataFrame:
-    """Step-wise AP and trapezoid AUC from ``score_prefix_sums``; F1 too when given a threshold."""
-    precision = F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum"))
-    hit = F.lit(False) if threshold is None else F.col("score") >= threshold
-    sums = prefix.groupBy(*keys).agg(
-        F.sum("tp").alias("_p"),
-        F.sum("fp").alias("_n"),
-        F.sum(F.col("tp") * precision).alias("_ap"),
-        F.sum(F.col("fp") * (F.col("tp_cum") - F.col("tp") / 2)).alias("_area"),
-        F.sum(F.when(hit, F.col("tp")).otherwise(0)).alias("_hit"),
-        F.sum(F.when(hit, F.col("tp") + F.col("fp")).otherwise(0)).alias("_flagged"),
-    )
-    p, n = F.col("_p"), F.col("_n")
-    out = sums.select(
-        *keys,
-        F.when(p == 0, 0.0).when(n == 0, 1.0).otherwise(F.try_divide(F.col("_ap"), p)).alias("average_precision"),
-        F.when((p > 0) & (n > 0), F.try_divide(F.col("_area"), p * n.cast("double"))).alias("roc_auc"),
-        ratio(2 * F.col("_hit"), F.col("_flagged") + p).alias("f1"),
-    )
-    return out.drop("f1") if threshold is None else out
+    """The named metrics per key, in one aggregate over ``score_prefix_sums``."""
+    values = _ranking_values()
+    return prefix.groupBy(*keys).agg(*_ranking_sums(threshold)).select(*keys, *[values[n].alias(n) for n in names])
+
+
+def average_precision(prefix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Step-wise AP and trapezoid AUC."""
+    return ranking_metrics(prefix, ["average_precision", "roc_auc"], keys)
 
 
 def pr_curve(prefix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -109,13 +123,13 @@ def threshold_metrics(scored: DataFrame, threshold: Column, keys: Sequence[str]
 
 
 def metrics_report(scored: DataFrame, threshold: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """All metrics, one row per key. Columns: threshold metrics, average_precision, roc_auc."""
-    at = threshold_metrics(scored, threshold, keys)
-    ranked = average_precision(score_prefix_sums(scored, keys=keys), keys)
-    if keys:
-        return at.join(ranked, list(keys))
-    both = ranked.select(F.struct("average_precision", "roc_auc").alias("r")).scalar()
-    return at.withColumn("_r", both).select(*at.columns, "_r.average_precision", "_r.roc_auc")
+    """All metrics, one row per key, from one pass over the scores.
+
+    A ``threshold`` column in the input, one value per key, is carried along and may be used.
+    """
+    carried = [*keys, *(["threshold"] if "threshold" in scored.columns else [])]
+    prefix = score_prefix_sums(scored, keys=carried)
+    return ranking_metrics(prefix, list(_ranking_values()), carried, threshold)
 
 
 def tpr_at_fpr(

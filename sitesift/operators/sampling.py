@@ -12,6 +12,7 @@ from sitesift.constants import BASE_RATE_PREVALENCES
 from sitesift.operators.manifests import manifest_hash
 from sitesift.operators.metrics import metrics_report
 from sitesift.operators.ordering import seeded_hash
+from sitesift.session import write_and_read
 
 DIGITS = 3
 
@@ -101,10 +102,12 @@ def base_rate_sample(
 
 def base_rate_report(
     scored: DataFrame, threshold: float, rates: Sequence[float] = tuple(BASE_RATE_PREVALENCES),
-    seed: int = 42, id_column: str = "sample_id", keys: Sequence[str] = (),
+    seed: int = 42, id_column: str = "sample_id",
 ) -> DataFrame:
     """Requested and actual prevalence, counts, id manifest and all metrics per rate."""
-    sample = base_rate_sample(scored, rates, seed, id_column)
+    narrow = scored.select(id_column, "label", "score")
+    # Used by the metrics and by the manifest: written once.
+    sample = write_and_read(base_rate_sample(narrow, rates, seed, id_column), "base-rates")
     metrics = metrics_report(sample, F.lit(float(threshold)), ["rate"])
     ids = manifest_hash(sample, id_column, ["rate"])
     total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")

@@ -33,8 +33,7 @@ def thresholds(scores: DataFrame, keys: Sequence[str] = ("variant",)) -> DataFra
 def report_at(scores: DataFrame, chosen: DataFrame, keys: Sequence[str] = ("variant",)) -> DataFrame:
     """All metrics per key at that key's threshold. ``chosen`` has one row per key."""
     with_limit = scores.join(F.broadcast(chosen), list(keys))
-    limits = metrics_report(with_limit, F.col("threshold"), list(keys))
-    return limits.join(F.broadcast(chosen), list(keys))
+    return metrics_report(with_limit, F.col("threshold"), list(keys))
 
 
 def train_candidates(
