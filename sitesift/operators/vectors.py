@@ -132,13 +132,3 @@ def to_ml_vectors(
         [frame.schema[c] for c in keep] + [StructField(c, VectorUDT()) for c in outputs]
     )
     return spark.read.schema(schema).parquet(path)
-
-
-def dom_columns(frame: DataFrame) -> list[str]:
-    return ["dom_" + n for n in NUMERIC_FEATURES if "dom_" + n in frame.columns]
-
-
-__all__ = [
-    "DOM_FEATURES", "add_vector_parts", "dom_columns", "finite_number", "sigmoid", "to_ml_vectors",
-    "transform_numeric", "vectorize",
-]

@@ -9,8 +9,8 @@ from sitesift.operators import metrics as M
 from sitesift.operators.ranking import primary_variant, rank_candidates, rank_grid
 from sitesift.operators.scoring import delta_join
 from sitesift.plans.catalog.inputs import (
-    AP_EXPR, AUC_EXPR, LINE_SQL, ORDER_SQL, VARIANT_SQL, line_scores, order_scores, ranking_sql,
-    table, variant_scores,
+    AP_EXPR, AUC_EXPR, LINE_SQL, ORDER_SQL, VARIANT_SQL, line_scores, ranking_sql, table,
+    variant_scores,
 )
 from sitesift.plans.catalog.registry import query
 
@@ -192,5 +192,3 @@ def _(spark, sf):
     report = M.metrics_report(long, F.lit(0.5), ["variant", "validation"])
     return rounded(delta_join(report.where("validation"), report.where("not validation")))
 
-
-__all__ = ["order_scores", "rounded"]

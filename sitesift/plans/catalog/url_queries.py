@@ -12,7 +12,7 @@ from sitesift.functions.urls import (
 from sitesift.operators.groups import dedupe_keep_first
 from sitesift.operators.suffixes import registrable_domain_psl, suffix_longest_match
 from sitesift.plans.catalog.inputs import (
-    SHOP_SQL, canonical_sql, host_sql, pages, shop_urls, table,
+    SHOP_SQL, canonical_sql, host_sql, shop_urls, table,
 )
 from sitesift.plans.catalog.registry import query
 
@@ -206,5 +206,3 @@ def unique_url_features(spark, sf):
     unique = dedupe_keep_first(ids, "sample_id", "page_id")
     return add_url_features(unique).select("page_id", "sample_id", *[F.round(c, 9).alias(c) for c in URL_FEATURES])
 
-
-__all__ = ["pages", "unique_url_features", "url_features_sql"]

@@ -16,7 +16,7 @@ from sitesift.operators.vectors import sigmoid, transform_numeric, vectorize
 from sitesift.operators import metrics as M
 from sitesift.plans.catalog.html_queries import TITLE_SQL, page_features_sql
 from sitesift.plans.catalog.inputs import (
-    LINE_SQL, RICH_SQL, WEIGHTS_SQL, formula_weights, line_scores, pages, rich_pages, spread, table,
+    LINE_SQL, RICH_SQL, WEIGHTS_SQL, formula_weights, line_scores, rich_pages, spread, table,
 )
 from sitesift.plans.catalog.registry import query
 
@@ -158,5 +158,3 @@ def _(spark, sf):
     out = S.score_windows(long_documents(spark, sf), "doc_id", tokens(), scorer)
     return out.withColumn("score", F.round("score", 6))
 
-
-__all__ = ["page_vectors", "pages"]

@@ -42,14 +42,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    checkpoint_root(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def write_and_read(frame: DataFrame, purpose: str) -> DataFrame:
-    """Materialise once as Parquet in the shared folder and read it back."""
+    """Materialise once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and gives the planner real sizes.
+    """
     spark = frame.sparkSession
     path = shared_folder(spark, purpose)
     frame.write.mode("errorifexists").parquet(path)
