@@ -18,7 +18,8 @@ def built_once(build):
 
     @wraps(build)
     def reuse(*names):
-        key = (SparkSession.getActiveSession().sparkContext.applicationId, names)
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        key = (spark.sparkContext.applicationId, names)
         if key not in built:
             built[key] = build(*names)
         return built[key]

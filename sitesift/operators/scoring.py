@@ -41,11 +41,11 @@ def linear_score_join(
 
 def weight_array(weights: DataFrame, width: int) -> np.ndarray:
     """The weights as one array. Refuses a table that is not exactly ``width`` rows."""
-    rows = weights.limit(width + 1).select("idx", "weight").toPandas()
-    if len(rows) != width:
-        raise ValueError(f"model dimension mismatch: expected {width} weights, found at least {len(rows)}")
+    rows = weights.limit(width + 1).select("idx", "weight").toArrow()
+    if rows.num_rows != width:
+        raise ValueError(f"model dimension mismatch: expected {width} weights, found at least {rows.num_rows}")
     out = np.zeros(width, dtype=np.float64)
-    out[rows["idx"].to_numpy()] = rows["weight"].to_numpy(dtype=np.float64)
+    out[rows["idx"].to_numpy()] = rows["weight"].to_numpy().astype(np.float64)
     return out
 
 
