@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import numbered, seal
@@ -50,39 +50,47 @@ def position(low: Column, high: Column, dimension: Column) -> Column:
     return F.floor(share * 65535).cast("long") * 65536 + F.col("_tie")
 
 
+def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small table of numbers as a local relation; ``rows`` has at most one row per shard."""
+    lines = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {lines} AS t({names})"))
+
+
+def _literal(value: int | float) -> str:
+    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
+
+
 def descend(frame: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     """Add ``node``, the first shard of the node that a point reaches through the given levels."""
-    spark = frame.sparkSession
-    out = frame.withColumn("node", F.lit(0))
+    out = frame.withColumn("node", F.lit(0).cast("long"))
     for splits in levels:
-        table = F.broadcast(spark.createDataFrame(
-            splits, "node int, _dim int, _low long, _high long, _cut long, _right int"
-        ))  # at most one row per shard
-        goes_right = position(F.col("_low"), F.col("_high"), F.col("_dim")) >= F.col("_cut")
+        table = values(frame.sparkSession, splits, "node, _dim, _low, _high, _cut, _right")
+        goes_right = position(F.col("_low"), F.col("_high"), F.col("_dim").cast("int")) >= F.col("_cut")
         out = out.join(table, "node", "left").withColumn(
             "node", F.when(goes_right, F.col("_right")).otherwise(F.col("node"))
         ).drop("_dim", "_low", "_high", "_cut", "_right")
     return out
 
 
-def _boxes(rows: DataFrame, parts: dict[int, int]) -> list[tuple]:
-    """(node, parts, dimension, low, high, bytes) of the nodes to be cut; one row per node."""
-    sides = [
+def _sides() -> list[Column]:
+    return [
         f(F.get("_c", F.lit(d))).alias(f"{name}{d}")
         for d in range(DIMENSIONS) for f, name in ((F.min, "low"), (F.max, "high"))
     ]
-    whole = rows.agg(*sides).select(F.struct("*")).scalar()
+
+
+def _boxes(rows: DataFrame, parts: dict[int, int], whole: list[int]) -> list[tuple]:
+    """(node, parts, dimension, low, high, bytes) of the nodes to be cut; one row per node."""
     widths = [
         F.struct(
-            ((F.col(f"high{d}") - F.col(f"low{d}"))
-             / F.greatest(whole[f"high{d}"] - whole[f"low{d}"], F.lit(1))).alias("width"),
+            ((F.col(f"high{d}") - F.col(f"low{d}")) / F.lit(max(1, whole[d]))).alias("width"),
             F.lit(-d).alias("order"), F.col(f"low{d}").alias("low"), F.col(f"high{d}").alias("high"),
         )
         for d in range(DIMENSIONS)
     ]
     best = (
-        rows.where(F.col("node").isin(list(parts)))
-        .groupBy("node").agg(*sides, F.sum("size").alias("bytes"))
+        rows.join(values(rows.sparkSession, [(n,) for n in parts], "node"), "node")
+        .groupBy("node").agg(*_sides(), F.sum("size").alias("bytes"))
         .withColumn("best", F.array_max(F.array(*widths)))
         .select("node", -F.col("best.order"), "best.low", "best.high", "bytes")
     )
@@ -91,46 +99,41 @@ def _boxes(rows: DataFrame, parts: dict[int, int]) -> list[tuple]:
 
 def _cuts(rows: DataFrame, boxes: list[tuple]) -> list[tuple]:
     """For each box the first position that belongs to its right part."""
-    spark = rows.sparkSession
-    goals = spark.createDataFrame(
-        [(n, d, lo, hi, 0, b * (k // 2) / k, 0.0) for n, k, d, lo, hi, b in boxes],
-        "node int, _dim int, _low long, _high long, _prefix long, _goal double, _before double",
-    )
-    placed = rows.select("node", "_c", "_tie", "size")
+    names = ["node", "_dim", "_low", "_high", "_prefix", "_goal", "_before"]
+    goals = [(n, d, lo, hi, 0, float(b * (k // 2)) / k, 0.0) for n, k, d, lo, hi, b in boxes]
     for shift in DIGITS:
-        at = placed.join(F.broadcast(goals), "node").withColumn(
-            "_at", position(F.col("_low"), F.col("_high"), F.col("_dim"))
+        at = rows.join(values(rows.sparkSession, goals, ", ".join(names)), "node").withColumn(
+            "_at", position(F.col("_low"), F.col("_high"), F.col("_dim").cast("int"))
         )
-        sums = (
+        upto = F.col("_before") + F.sum("bytes").over(Window.partitionBy("node").orderBy("_digit"))
+        chosen = (
             at.where(F.shiftright("_at", shift + 8) == F.col("_prefix"))
-            .groupBy(*goals.columns, F.shiftright("_at", shift).alias("_digit"))
+            .groupBy(*names, F.shiftright("_at", shift).alias("_digit"))
             .agg(F.sum("size").alias("bytes"))
-        )
-        order = Window.partitionBy("node").orderBy("_digit")
-        upto = F.col("_before") + F.sum("bytes").over(order)
-        chosen = (
-            sums.withColumn("_upto", upto)
+            .withColumn("_upto", upto)
             .where(F.col("_upto") >= F.col("_goal"))
-            .groupBy("node").agg(F.min_by(F.struct("*"), "_digit").alias("s")).select("s.*")
+            .groupBy("node").agg(F.min_by(F.struct("*"), "_digit").alias("s"))
+            .select("s.*").collect()  # one row per node
         )
-        if shift:
-            # collected: one row per node, at most one per shard
-            goals = spark.createDataFrame(
-                [(r["node"], r["_dim"], r["_low"], r["_high"], r["_digit"], r["_goal"],
-                  r["_upto"] - r["bytes"]) for r in chosen.collect()],
-                goals.schema,
-            )
-    nearer_left = F.col("_upto") - F.col("_goal") <= F.col("_goal") - (F.col("_upto") - F.col("bytes"))
-    cut = F.col("_digit") + F.when(nearer_left, 1).otherwise(0)
-    return [tuple(r) for r in chosen.select("node", "_dim", "_low", "_high", cut.cast("long")).collect()]
+        goals = [
+            (r["node"], r["_dim"], r["_low"], r["_high"], r["_digit"], r["_goal"], r["_upto"] - r["bytes"])
+            for r in chosen
+        ]
+    return [
+        (r["node"], r["_dim"], r["_low"], r["_high"],
+         r["_digit"] + (r["_upto"] - r["_goal"] <= r["_goal"] - r["_upto"] + r["bytes"]))
+        for r in chosen
+    ]
 
 
 def grow_tree(points: DataFrame, shards: int) -> list[list[tuple]]:
     """Levels of cuts that turn one node into ``shards`` leaves of near equal bytes."""
     parts, levels = {0: shards}, []
+    sides = points.agg(*_sides()).first()
+    whole = [(sides[f"high{d}"] or 0) - (sides[f"low{d}"] or 0) for d in range(DIMENSIONS)]
     while any(k > 1 for k in parts.values()):
         open_parts = {n: k for n, k in parts.items() if k > 1}
-        boxes = _boxes(descend(points, levels), open_parts)
+        boxes = _boxes(descend(points, levels), open_parts, whole)
         if not boxes:
             break
         cuts = _cuts(descend(points, levels), boxes)
@@ -159,6 +162,8 @@ def kd_shards(
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
-    placed = descend(full, grow_tree(points, shards)).withColumnRenamed("node", "shard")
+    placed = descend(full, grow_tree(points, shards)).withColumn(
+        "shard", F.col("node").cast("int")
+    ).drop("node")
     out = numbered(placed, "shard", ["_tie", at["doc_id"], "text_crc32"], "slot")
     return out.select(*own, "size", "text_crc32", "shard", "slot")
