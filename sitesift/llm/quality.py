@@ -102,7 +102,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Quali
 def _counted(batches):
     for batch in batches:
         ids, counts = [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             total: dict[int, int] = {}
             for part in pieces([text]):
                 found, n = np.unique(np.concatenate([b for b, _ in features(*part)]), return_counts=True)
@@ -111,33 +111,38 @@ def _counted(batches):
             ids.append(list(total))
             counts.append([float(n) for n in total.values()])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-            ["label", "ids", "counts"],
+            [*batch.columns[:2], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+            ["doc_id", "label", "ids", "counts"],
         )
 
 
-def fit_quality(labelled: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> QualityModel:
-    """Fit on (doc_id, text, label) rows; label is 0 or 1, others are left out.
+def fit_quality(
+    documents: DataFrame, marks: DataFrame, rows_per_label: int = ROWS_PER_LABEL
+) -> QualityModel:
+    """Fit on documents (doc_id, text) and marks (doc_id, label); labels but 0 and 1 are left out.
 
-    Of each label the ``rows_per_label`` rows first in hash order are used, whole texts each; the
-    share of label 1 is counted over all rows. Without a row of either label every score is 0.5 or
-    follows the share alone.
+    Of each label the ``rows_per_label`` marks first in hash order that have a document are used,
+    with their whole texts; the share of label 1 is counted over all marks. Only ids are shuffled:
+    the sample is bounded and goes to the texts. Without a mark of either label the share decides.
     """
-    rows = labelled.where(F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
+    rows = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col("label").cast("int").alias("label")
+    )
+    rows = rows.join(documents.select("doc_id"), "doc_id", "left_semi")
     ones, total = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     prior = ((ones or 0) + 1) / (total + 2)
-    order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
     sample = None
     for label in (0, 1):
-        part = rows.where(F.col("label") == label).orderBy(*order).limit(rows_per_label)
+        part = rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label)
         sample = part if sample is None else sample.unionByName(part)
-    counted = sample.select("label", "text").mapInArrow(_counted, "label int, ids array<int>, counts array<float>")
+    texts = documents.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    counted = texts.mapInArrow(_counted, "doc_id long, label int, ids array<int>, counts array<float>")
     fitted = sorted(
-        ((r["label"], np.array(r["ids"], np.int32), np.array(r["counts"], np.float32))
+        ((r["label"], r["doc_id"], np.array(r["ids"], np.int32), np.array(r["counts"], np.float32))
          for r in counted.toArrow().to_pylist()),
-        key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50]),
+        key=lambda r: (r[0], r[1], len(r[2]), r[2].tolist()),
     )
-    return train(fitted, prior)
+    return train([(label, ids, counts) for label, _, ids, counts in fitted], prior)
 
 
 def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:
@@ -181,7 +186,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = T
         "held_out", is_held_out(F.col("doc_id"))
     )
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").alias("label"))
-    model = fit_quality(rows.where(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "label"))
+    model = fit_quality(rows.where(~F.col("held_out")).select("doc_id", "text"), marks)
     return score_quality(rows, model).select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
