@@ -269,16 +269,24 @@ def fit_language_models(training: DataFrame, max_grams: int = MAX_GRAMS) -> Lang
     """A model from (lang, text) rows; None without any letter.
 
     Counts cover the whole texts of all rows. The model is bounded: per language the ``max_grams``
-    most frequent sequences of the highest order, fewer with many languages (MODEL_CELLS).
+    most frequent sequences of the highest order, fewer with many languages (MODEL_CELLS); of
+    sequences that are equally frequent all are taken, or none if they would not fit.
     """
     counts = write_and_read(gram_counts(training), "gram-counts")
     langs = counts.select("lang").distinct().count()
     if not langs:
         return None
     kept = max(100, min(max_grams, MODEL_CELLS // langs ** 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    bounded = counts.withColumn("rank", rank).where(F.col("rank") <= kept).drop("rank")
-    return build_model(bounded.toPandas().sort_values(["lang", "gram"], ignore_index=True))
+    # sequences by count: a language has few different counts, so their running total is short
+    upto = Window.partitionBy("lang").orderBy(F.desc("n"))
+    least = (
+        counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
+        .withColumn("upto", F.sum("grams").over(upto))
+        .groupBy("lang").agg(F.min(F.when(F.col("upto") <= kept, F.col("n"))).alias("least"))
+    )
+    bounded = counts.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least"))  # a row per language
+    rows = bounded.select("lang", "gram", "n").toPandas()
+    return build_model(rows.sort_values(["lang", "gram"], ignore_index=True)) if len(rows) else None
 
 
 # --- scoring -------------------------------------------------------------------------
