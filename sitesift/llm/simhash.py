@@ -189,7 +189,7 @@ def fingerprint_hex(fp: Column) -> Column:
 def component_roots(rows: DataFrame) -> DataFrame:
     """(fp, root, _n) per distinct fingerprint of a written table; ``_n`` counts its rows."""
     prints = write_and_read(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")), "distinct-fingerprints")
-    edges = near_links(prints.select("fp"))
+    edges = write_and_read(near_links(prints.select("fp")), "links")
     roots = connected_components(
         edges.select(fingerprint_hex(F.col("a")).alias("a"), fingerprint_hex(F.col("b")).alias("b"))
     )
