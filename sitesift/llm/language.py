@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.batches import mixed_multipliers, pieces
-from sitesift.llm.common import extended
+from sitesift.llm.common import extended, seal
 from sitesift.session import write_and_read
 
 ORDER = 4
@@ -347,7 +347,8 @@ def entropy_limits(scored: DataFrame, chance: float) -> DataFrame:
     documents stay below, and that of letters drawn at random.
     """
     top = F.percentile_approx("entropy", CALIBRATED, 10_000)
-    return scored.where((F.col("n_letters") >= SURE_LETTERS) & ~F.col("held_out")).groupBy("lang_pred").agg(
+    learned = ~F.col("held_out") & (F.col("lang") == F.col("lang_pred"))
+    return scored.where((F.col("n_letters") >= SURE_LETTERS) & learned).groupBy("lang_pred").agg(
         (top + F.greatest((F.lit(chance) - top) / 2, F.lit(0.0))).alias("limit")
     )
 
@@ -364,17 +365,38 @@ def identify_languages(
     replaced; an empty table stays empty. Texts beyond half a million characters are read in parts,
     each of which begins like a text.
     """
-    added = ("held_out", "lang_pred", "score", "entropy", "n_letters", "rejected")
-    rows = documents.select(*[c for c in documents.columns if c not in added])
-    rows = rows.withColumn("held_out", is_held_out(F.col("doc_id"), folds))
-    model = fit_language_models(rows.where(~F.col("held_out")).select("lang", "text"), max_grams)
+    rows, model = _learned(documents, folds, max_grams)
     scored = write_and_read(add_scores(rows, model, "text"), "languages")
-    limits = {
-        r["lang_pred"]: r["limit"]  # one row per learned language
-        for r in entropy_limits(scored, model.chance if model else 0.0).collect()
-    }
+    return _judged(scored, entropy_limits(scored, model.chance if model else 0.0))
+
+
+ADDED = ("held_out", "lang_pred", "score", "entropy", "n_letters", "rejected")
+
+
+def _learned(documents: DataFrame, folds: int, max_grams: int):
+    rows = documents.select(*[c for c in documents.columns if c not in ADDED])
+    rows = rows.withColumn("held_out", is_held_out(F.col("doc_id"), folds))
+    return rows, fit_language_models(rows.where(~F.col("held_out")).select("lang", "text"), max_grams)
+
+
+def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
     limit = F.lit(None).cast("double")
-    for lang, value in sorted(limits.items()):
+    for lang, value in sorted((r["lang_pred"], r["limit"]) for r in limits.collect()):  # a row per language
         limit = F.when(F.col("lang_pred") == lang, value).otherwise(limit)
     too_high = (F.col("n_letters") >= SURE_LETTERS) & (F.col("entropy") > limit)
     return scored.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | F.coalesce(too_high, F.lit(False)))
+
+
+def keep_identified(documents: DataFrame, folds: int = 5, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """Documents that ``identify_languages`` does not reject, with their own columns.
+
+    Scores are computed once to set the limits and once more beside the whole rows: no copy of the
+    texts is written.
+    """
+    sealed, at, own = seal(documents)
+    named = sealed.withColumnsRenamed({at[c]: c for c in ("doc_id", "text", "lang")})
+    rows, model = _learned(named, folds, max_grams)
+    narrow = add_scores(rows.select("held_out", "lang", "text"), model, "text").drop("text")
+    limits = entropy_limits(write_and_read(narrow, "entropies"), model.chance if model else 0.0)
+    kept = _judged(add_scores(rows, model, "text"), limits).where(~F.col("rejected"))
+    return kept.withColumnsRenamed({c: at[c] for c in ("doc_id", "text", "lang")}).select(*own)
