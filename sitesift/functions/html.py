@@ -6,13 +6,14 @@ consumed whole, markup inside comments, scripts, styles, text areas, titles or q
 values never yields a tag. Everything stays within the row, so no shuffle is needed and the
 same columns work on a stream.
 
-Differences from a tolerant tree parser: tags are not nested or repaired, an unterminated tag at
-the end of the input is text, and entities need their semicolon.
+Differences from a tolerant tree parser: tags are not nested or repaired, a tag without an end is
+dropped with the rest of the page, and references need their semicolon.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,34 +27,69 @@ from sitesift.functions.normalize import fold_text
 from sitesift.functions.urls import SPACE_CLASS, let, strip, text, url_domain
 
 # Attribute part of a tag. Quotes only matter after an equals sign. Possessive quantifiers keep the
-# scan linear and off the call stack, however long or broken the tag is.
+# scan off the call stack. Whatever is opened and never closed is one match up to the end of the
+# page: it is not given up and tried again from the next '<', so the scan is linear.
 ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+"""
 COMMENT = r"<!--.*?(?:-->|\z)"
 RAW_NAMES = ["script", "style", "textarea", "title"]
-START_TAG = rf"<[a-z]{ATTRS}>"
-RAW_ELEMENT = "|".join(
-    rf"<{name}(?:[\s/]{ATTRS})?>.*?(?:</{name}[^>]*>|\z)" for name in RAW_NAMES
-)
-MARKUP = rf"(?is){COMMENT}|{RAW_ELEMENT}|{START_TAG}"
+TAG = rf"<[a-z]{ATTRS}(?:>|\z)"
+
+
+def _raw_element(name: str, body: str) -> str:
+    return rf"<{name}(?:[\s/]{ATTRS})?+(?:>{body}(?:</{name}[^>]*+(?:>|\z)|\z)|\z)"
+
+
+RAW_ELEMENT = "|".join(_raw_element(name, ".*?") for name in RAW_NAMES)
+MARKUP = rf"(?is){COMMENT}|{RAW_ELEMENT}|{TAG}"
 # For text: the same scan, but raw bodies are kept and every other tag or declaration is dropped.
-TEXT_RAW = "|".join(
-    rf"<{name}(?:[\s/]{ATTRS})?>(.*?)(?:</{name}[^>]*>|\z)" for name in RAW_NAMES
-)
-TEXT_MARKUP = rf"(?is){COMMENT}|{TEXT_RAW}|</?[a-z]{ATTRS}>|<[!?][^>]*>"
-BODY_START = rf"(?is)^(?:{COMMENT}|{RAW_ELEMENT}|<(?!body[\s/>])|[^<])*+<body(?:[\s/]{ATTRS})?>"
-TITLE = rf"(?is)^(?:{COMMENT}|<(?:script|style|textarea)(?:[\s/]{ATTRS})?>.*?(?:</(?:script|style|textarea)[^>]*>|\z)|<(?!title[\s/>])|[^<])*+<title(?:[\s/]{ATTRS})?>(.*?)(?:</title[^>]*>|\z)"
-ATTRIBUTE = r"""(?s)[^\s/>=][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
+TEXT_RAW = "|".join(_raw_element(name, "(.*?)") for name in RAW_NAMES)
+TEXT_MARKUP = rf"(?is){COMMENT}|{TEXT_RAW}|</?[a-z]{ATTRS}(?:>|\z)|<[!?][^>]*+(?:>|\z)"
+BODY_START = rf"(?is)^(?:{COMMENT}|{RAW_ELEMENT}|<(?!body[\s/>])|[^<]++)*+<body(?:[\s/]{ATTRS})?+>"
+NO_TITLE = "|".join(_raw_element(name, ".*?") for name in RAW_NAMES if name != "title")
+TITLE = rf"(?is)^(?:{COMMENT}|{NO_TITLE}|<(?!title[\s/>])|[^<]++)*+<title(?:[\s/]{ATTRS})?+>(.*?)(?:</title[^>]*+(?:>|\z)|\z)"
+TITLE_ELEMENT = r"(?is)<title[^>]*+(?:>.*?(?:</title[^>]*+(?:>|\z)|\z)|\z)"
+ATTRIBUTE = r"""(?s)[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+"""
+REFERENCE = r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*+);"
+NAMED = " ".join(f"{name}={chr(code)}" for name, code in {**name2codepoint, "apos": 39}.items())
 LINE_BREAK = r"[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
-def unescape(value: Column) -> Column:
-    """Decode character references; text without an ampersand is passed through."""
+def _character(name: Column) -> Column:
+    """The character of a reference without '&' and ';'; null for an unknown name."""
+    code = F.when(
+        F.rlike(name, F.lit("^#[xX]")), F.conv(F.substr(name, F.lit(3)), 16, 10)
+    ).when(F.startswith(name, F.lit("#")), F.substr(name, F.lit(2))).cast("long")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    safe = F.when(valid, code).otherwise(0xFFFD)
     return F.when(
-        F.contains(value, F.lit("&")),
-        F.java_method(
-            F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), value
+        F.startswith(name, F.lit("#")), F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    ).otherwise(F.try_element_at(F.str_to_map(F.lit(NAMED), F.lit(" "), F.lit("=")), name))
+
+
+def unescape(value: Column) -> Column:
+    """Decode character references once; text without an ampersand is passed through.
+
+    Numbers that are no character give U+FFFD; unknown names stay as they are.
+    """
+    named = F.transform(
+        F.split(value, "&"),
+        lambda part, i: F.struct(
+            part.alias("part"),
+            F.when(i > 0, F.regexp_extract(part, REFERENCE, 1)).alias("name"),
         ),
-    ).otherwise(value)
+    )
+    found = F.transform(
+        named, lambda p: F.struct(
+            p["part"].alias("part"), p["name"].alias("name"),
+            F.when(p["name"] != "", _character(p["name"])).alias("char"),
+        ),
+    )
+    decoded = F.transform(
+        found, lambda p: F.when(p["name"].isNull(), p["part"])
+        .when(p["char"].isNull(), F.concat(F.lit("&"), p["part"]))
+        .otherwise(F.concat(p["char"], F.substr(p["part"], F.length(p["name"]) + 2))),
+    )
+    return F.when(F.contains(value, F.lit("&")), F.array_join(decoded, "")).otherwise(value)
 
 
 def html_status(html: Column) -> Column:
@@ -81,10 +117,10 @@ def page_tags(html: Column) -> Column:
     tokens = F.regexp_extract_all(text(html), F.lit(MARKUP), F.lit(0))
     starts = F.transform(
         F.filter(tokens, lambda t: ~F.startswith(t, F.lit("<!--"))),
-        lambda t: F.regexp_extract(t, rf"(?is)^{START_TAG}", 0),
+        lambda t: F.regexp_extract(t, rf"(?is)^{TAG}", 0),
     )
     return F.transform(
-        starts,
+        F.filter(starts, lambda t: F.endswith(t, F.lit(">"))),
         lambda t: F.struct(
             F.lower(F.regexp_extract(t, r"^<([^\s/>]+)", 1)).alias("tag"),
             F.when(F.rlike(t, F.lit(r"^<[^\s/>]+[\s/]*>\z")), _no_attributes())
@@ -106,23 +142,31 @@ def _attribute_map(start_tag: Column) -> Column:
             F.lower(F.regexp_extract(item, r"^[^\s=]+", 0)).alias("key"),
             unescape(
                 F.concat(
-                    F.regexp_extract(item, r"""(?s)=\s*"([^"]*)"\z""", 1),
-                    F.regexp_extract(item, r"""(?s)=\s*'([^']*)'\z""", 1),
-                    F.regexp_extract(item, r"""(?s)^[^=]*=\s*([^\s"'].*)\z""", 1),
+                    F.regexp_extract(item, r"""(?s)^[^=]*+=\s*+"([^"]*+)"\z""", 1),
+                    F.regexp_extract(item, r"""(?s)^[^=]*+=\s*+'([^']*+)'\z""", 1),
+                    F.regexp_extract(item, r"""(?s)^[^=]*+=\s*+([^\s"'].*)\z""", 1),
                 )
             ).alias("value"),
         ),
     )
-    # The first of several attributes of one name counts.
-    return F.map_from_entries(
-        F.aggregate(
-            items,
-            F.array().cast("array<struct<key:string,value:string>>"),
-            lambda kept, item: F.when(
-                F.exists(kept, lambda k: k["key"] == item["key"]), kept
-            ).otherwise(F.concat(kept, F.array(item))),
-        )
+    return let(items, _first_of_each_name)
+
+
+def _first_of_each_name(items: Column) -> Column:
+    """A map in document order; the first of several attributes of one name counts.
+
+    Sorted by name and place, an attribute is first if its neighbour before has another name.
+    """
+    placed = F.array_sort(
+        F.transform(items, lambda item, i: F.struct(item["key"].alias("key"), i.alias("at"), item["value"].alias("value")))
+    )
+    firsts = let(placed, lambda all_: F.filter(
+        all_, lambda item, i: (i == 0) | (F.get(all_, i - 1)["key"] != item["key"])
+    ))
+    ordered = F.array_sort(
+        F.transform(firsts, lambda item: F.struct(item["at"].alias("at"), item["key"].alias("key"), item["value"].alias("value")))
     )
+    return F.map_from_entries(F.transform(ordered, lambda item: F.struct(item["key"], item["value"])))
 
 
 @built_once
@@ -242,6 +286,32 @@ def reference_table(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+@built_once
+def _classified_references() -> Column:
+    references = F.filter(
+        F.transform(
+            F.col("tags"),
+            lambda t: F.struct((t["tag"] == "form").alias("form"), reference_of(t).alias("reference")),
+        ),
+        lambda r: r["reference"].isNotNull(),
+    )
+    return F.transform(
+        references,
+        lambda r: F.struct(r["form"].alias("form"), classify_reference(F.col("_base"), r["reference"]).alias("class")),
+    )
+
+
+def with_tags(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds ``tags``, in document order; a page without tags has an empty array."""
+    return pages.withColumn("tags", _tags_of(html))
+
+
+def with_references(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Adds ``refs``, array<struct<form, class>>; a page without references has an empty array."""
+    based = with_tags(pages, html).withColumn("_base", url_domain(text(F.col(url))))
+    return based.withColumn("refs", _classified_references()).drop("tags", "_base")
+
+
 # --- text ------------------------------------------------------------------------
 
 
@@ -265,7 +335,7 @@ def marked_text(html: Column) -> Column:
     """Marked text of the body; of the whole document if the body holds no text."""
     body = F.when(
         F.rlike(html, F.lit("(?i)<body")), F.regexp_replace(html, BODY_START, "")
-    ).otherwise(F.regexp_replace(html, r"(?is)<title[^>]*>.*?(?:</title[^>]*>|\z)", ""))
+    ).otherwise(F.regexp_replace(html, TITLE_ELEMENT, ""))
     has_text = F.lit(rf"[^{SPACE_CLASS}\x01]")
     return let(
         _cut_markup(body), lambda cut: F.when(F.rlike(cut, has_text), cut).otherwise(_cut_markup(html))
@@ -274,7 +344,7 @@ def marked_text(html: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Trimmed text nodes of the body joined by a space."""
-    gap = rf"[{SPACE_CLASS}]*\x01[{SPACE_CLASS}\x01]*"
+    gap = rf"(?<![{SPACE_CLASS}])[{SPACE_CLASS}]*+\x01[{SPACE_CLASS}\x01]*+"
     return strip(F.regexp_replace(marked_text(html), gap, " "))
 
 

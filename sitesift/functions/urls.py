@@ -39,7 +39,7 @@ def text(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+    return F.regexp_replace(value, rf"^[{SPACE_CLASS}]++|(?<![{SPACE_CLASS}])[{SPACE_CLASS}]++\z", "")
 
 
 @lru_cache(maxsize=1)

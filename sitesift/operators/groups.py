@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.operators.skew import skewed_lookup
+from sitesift.operators.validate import never_null
 from sitesift.session import write_and_read
 
 
 def dedupe_keep_first(frame: DataFrame, id_column: str, order: str) -> DataFrame:
-    """First row per id in source order. ``order`` must be distinct within an id.
+    """First row per id in source order. ``order`` must be distinct within an id; a null id fails.
 
     Two narrow columns are aggregated with a map-side combine, then rows are kept by a semi join on
     (id, order): a page with millions of copies never gathers in one task.
     """
+    frame = frame.withColumn(id_column, never_null(id_column))
     firsts = frame.groupBy(id_column).agg(F.min(order).alias(order))
     return frame.join(firsts, [id_column, order], "left_semi")
 
@@ -34,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has string columns ``a`` and ``b``. Alternating star contraction: each round points
     every node at the smallest neighbour it knows, and the diameter falls by a constant factor.
-    Each round is written to the shared folder, which cuts the lineage and gives the next joins sizes. Minima are combined on the map side and the
+    Each round is written to the shared folder, which cuts the lineage and gives the next joins sizes.
+    Minima are combined on the map side and the
     join back to a node's edges is salted for nodes with very many of them.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -52,7 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         upward = both.where(F.col("v") > F.col("u"))
         large = write_and_read(
-            skewed_lookup(upward, lows, "u", row_count=size)
+            skewed_lookup(upward, lows, "u")
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
             .where(F.col("u") != F.col("v")).distinct(),
             "large-star",
@@ -60,7 +63,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours move to the smallest of them.
         mins = large.groupBy("u").agg(F.min("v").alias("low"))
         small = write_and_read(
-            skewed_lookup(large, mins, "u", row_count=size)
+            skewed_lookup(large, mins, "u")
             .select(F.explode(F.array(
                 F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
                 F.struct(F.col("u").alias("u"), F.col("low").alias("v")),
@@ -85,9 +88,12 @@ def connected_groups(
     frame: DataFrame, domain: str = "registrable_domain", family: str = "source_family_id",
     group: str = "group",
 ) -> DataFrame:
-    """Rows that share a domain or a family id, directly or through others, share ``group``."""
+    """Rows that share a domain or a family id, directly or through others, share ``group``.
+
+    A row without a domain fails; one without a family id is grouped by its domain.
+    """
     family_text = F.trim(F.coalesce(F.col(family).cast("string"), F.lit("")))
-    tokens = frame.withColumn("_domain", F.concat(F.lit("domain:"), F.col(domain)))
+    tokens = frame.withColumn("_domain", F.concat(F.lit("domain:"), never_null(domain)))
     edges = tokens.select(
         F.col("_domain").alias("a"),
         F.when(family_text == "", F.col("_domain"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitesift.constants import FPR_TARGETS, LATENCY_GATE_MS, PAYLOAD_GATE_BYTES
 from sitesift.operators.ordering import running_totals, seeded_hash, value_at_rank
+from sitesift.operators.skew import null_safe_join
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -210,7 +211,7 @@ def latency_summary(frame: DataFrame, value: str, keys: Sequence[str] = ()) -> D
         {"p50": F.floor(last * 0.5), "p95": F.floor(last * 0.95), "max": last}, keys,
     )
     mean = frame.groupBy(*keys).agg(F.avg(value).alias("avg"))
-    return picked.join(mean, list(keys)) if keys else picked.withColumn("avg", mean.scalar())
+    return null_safe_join(picked, mean, keys) if keys else picked.withColumn("avg", mean.scalar())
 
 
 def runtime_gates(summary: DataFrame, payload_bytes: int | Column) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitesift.operators.skew import null_safe_join
+
 MAX_BUCKETS = 4096
 
 
@@ -82,7 +84,7 @@ def running_totals(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(direction).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    joined = parts.join(offsets, [*keys, "_bucket"])
+    joined = null_safe_join(parts, offsets, [*keys, "_bucket"])
     return joined.select(
         *counts.columns,
         *[(F.sum(s).over(inside) + F.col(f"_{s}_before")).alias(f"{s}_cum") for s in sums],
@@ -101,7 +103,7 @@ def value_at_rank(
     totals = running_totals(counts, value, ["n"], keys, source=frame)
     size = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sized = (
-        totals.withColumnRenamed("n", "_own").join(size, keys) if keys
+        null_safe_join(totals.withColumnRenamed("n", "_own"), size, keys) if keys
         else totals.withColumnRenamed("n", "_own").withColumn("n", size.scalar())
     )
     picks = [
@@ -129,7 +131,7 @@ def ranked_positions(
         *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(hash_column, tie)
-    return parts.join(offsets, [*keys, "_bucket"]).select(
+    return null_safe_join(parts, offsets, [*keys, "_bucket"]).select(
         *frame.columns, (F.row_number().over(inside) + F.col("_before")).alias(name)
     )
 

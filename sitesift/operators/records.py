@@ -131,17 +131,19 @@ def slice_summary(frame: DataFrame, label: str = "label") -> DataFrame:
 
 
 def audit_report(raw: DataFrame, order: str, url: str = "url", label: str = "label") -> DataFrame:
-    """(metric, value): raw and canonical rows, duplicates and class counts."""
+    """(metric, value): raw and canonical rows, invalid URLs, duplicates and class counts."""
     ids = raw.select(
         F.sha2(canonicalize_url(F.col(url)), 256).alias("sample_id"), F.col(order), F.col(label).alias("label")
     )
-    first = dedupe_keep_first(ids, "sample_id", order)
-    sides = ids.select(F.lit(1).alias("raw"), F.lit(0).alias("kept"), "label").unionByName(
-        first.select(F.lit(0).alias("raw"), F.lit(1).alias("kept"), "label")
+    first = dedupe_keep_first(ids.where(F.col("sample_id").isNotNull()), "sample_id", order)
+    invalid = F.col("sample_id").isNull().cast("int")
+    sides = ids.select(F.lit(1).alias("raw"), invalid.alias("invalid"), F.lit(0).alias("kept"), "label").unionByName(
+        first.select(F.lit(0).alias("raw"), F.lit(0).alias("invalid"), F.lit(1).alias("kept"), "label")
     )
     sums = sides.agg(
         F.sum("raw").alias("raw_rows"), F.sum("kept").alias("canonical_rows"),
-        (F.sum("raw") - F.sum("kept")).alias("duplicate_rows"),
+        F.sum("invalid").alias("invalid_urls"),
+        (F.sum("raw") - F.sum("invalid") - F.sum("kept")).alias("duplicate_rows"),
         F.sum(F.when(F.col("label") == 0, F.col("kept")).otherwise(0)).alias("benign"),
         F.sum(F.when(F.col("label") == 1, F.col("kept")).otherwise(0)).alias("phishing"),
     )

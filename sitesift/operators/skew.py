@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +13,21 @@ HOT_SHARE = 10_000  # a key is hot above 1/10000 of the rows, so at most 10000 k
 SALTS = 64
 
 
-SMALL_ROWS = 1_000_000
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key meets a null key."""
+    renamed = right.withColumnsRenamed({k: "_right_" + k for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col("_right_" + k)) for k in keys])
+    return left.join(renamed, match, how).drop(*["_right_" + k for k in keys])
 
 
 def skewed_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", row_count: int | None = None
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
 ) -> DataFrame:
     """Join ``rows`` (any key distribution) to ``lookup`` (one row per key).
 
-    With a known ``row_count`` of at most SMALL_ROWS no key can be large, and the join is plain.
-
     Hot keys get a salt: their rows spread over SALTS tasks and only their lookup rows are repeated.
     The list of hot keys is broadcast; it has fewer than HOT_SHARE entries by construction.
     """
-    if row_count is not None and row_count <= SMALL_ROWS:
-        return rows.join(lookup, key, how)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     hot = F.broadcast(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitesift.operators.manifests import manifest_hash
 from sitesift.operators.ordering import ranked_positions, seeded_hash
 from sitesift.operators.skew import skewed_lookup
+from sitesift.operators.validate import never_null
 
 SPLITS = ["train", "validation", "test"]
 DEAL_ORDER = [2, 3, 4, 1, 0]  # large groups go to the training folds first
@@ -49,7 +50,8 @@ def fold_split(fold: Column) -> Column:
 
 
 def grouped_split(frame: DataFrame, group: str = "group", seed: int = 42) -> DataFrame:
-    """Adds ``fold`` and ``split``; a group never spans two splits."""
+    """Adds ``fold`` and ``split``; a group never spans two splits. A row without a group fails."""
+    frame = frame.withColumn(group, never_null(group))
     folds = assign_group_folds(frame, group, seed)
     return skewed_lookup(frame, folds, group).withColumn("split", fold_split(F.col("fold")))
 

@@ -25,6 +25,12 @@ def require_columns(frame: DataFrame, required: Sequence[str], source: str = "in
     return frame
 
 
+def never_null(name: str) -> Column:
+    """The column; a row without a value fails the job instead of vanishing in a later join."""
+    column = F.col(name)
+    return F.when(column.isNull(), F.raise_error(F.lit(f"{name} must not be null"))).otherwise(column)
+
+
 def fail_on_values(frame: DataFrame, bad: Column, value: Column, message: str) -> DataFrame:
     """Raise naming the distinct offending values, if any."""
     shown = F.coalesce(value.cast("string"), F.lit("<NA>")).alias("v")

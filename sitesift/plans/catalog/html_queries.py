@@ -116,16 +116,24 @@ def _(spark, sf):
     )
 
 
+#: Every page with its tags; one row of nulls for a page without any.
+PAGE_TAGS = "(SELECT page_id FROM rich) LEFT JOIN tags USING (page_id) GROUP BY page_id"
+PAGE_REFS = "(SELECT page_id FROM rich) LEFT JOIN refs USING (page_id) GROUP BY page_id"
+
+
 def _tag_flags(spark, sf, **tests):
-    """One row per page: sums of tag tests, combined before the shuffle."""
-    t = F.struct("tag", "attrs")
-    return H.tag_table(rich_pages(spark, sf)).withColumn("t", t).groupBy("page_id").agg(
-        *[F.count_if(test(F.col("t"))).alias(name) for name, test in tests.items()]
+    """One row per page: counts of tag tests, within the row."""
+    return H.with_tags(rich_pages(spark, sf)).select(
+        "page_id", *[F.size(F.filter("tags", test)).cast("long").alias(name) for name, test in tests.items()]
     )
 
 
+def _references(spark, sf):
+    return H.with_references(rich_pages(spark, sf)).select("page_id", "refs")
+
+
 @query("element_counts", f"""WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if(tag = 'iframe') AS iframes, count_if(tag = 'img') AS images,
-  count_if(tag = 'script') AS scripts FROM tags GROUP BY page_id""")
+  count_if(tag = 'script') AS scripts FROM {PAGE_TAGS}""")
 def _(spark, sf):
     return _tag_flags(
         spark, sf, iframes=lambda t: t["tag"] == "iframe", images=lambda t: t["tag"] == "img",
@@ -142,34 +150,34 @@ _SOCIAL = "(" + " OR ".join(f"contains(lower(coalesce(href, '')), {quoted(d)})"
 _SUBMIT = "(tag = 'input' AND lower(coalesce(type, '')) = 'submit') OR (tag = 'button' AND (type IS NULL OR lower(type) = 'submit'))"
 
 
-@query("css_count", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_STYLE}) AS css_count FROM tags GROUP BY page_id")
+@query("css_count", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_STYLE}) AS css_count FROM {PAGE_TAGS}")
 def _(spark, sf):
     return _tag_flags(spark, sf, css_count=H.is_stylesheet)
 
 
-@query("has_favicon", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_ICON}) > 0 AS has_favicon FROM tags GROUP BY page_id")
+@query("has_favicon", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_ICON}) > 0 AS has_favicon FROM {PAGE_TAGS}")
 def _(spark, sf):
     return _tag_flags(spark, sf, n=H.is_favicon).select("page_id", (F.col("n") > 0).alias("has_favicon"))
 
 
-@query("is_responsive", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_VIEW}) > 0 AS is_responsive FROM tags GROUP BY page_id")
+@query("is_responsive", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_VIEW}) > 0 AS is_responsive FROM {PAGE_TAGS}")
 def _(spark, sf):
     return _tag_flags(spark, sf, n=H.is_viewport).select("page_id", (F.col("n") > 0).alias("is_responsive"))
 
 
-@query("has_description", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_DESC}) > 0 AS has_description FROM tags GROUP BY page_id")
+@query("has_description", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_DESC}) > 0 AS has_description FROM {PAGE_TAGS}")
 def _(spark, sf):
     return _tag_flags(spark, sf, n=H.is_description).select("page_id", (F.col("n") > 0).alias("has_description"))
 
 
-@query("has_social", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_SOCIAL}) > 0 AS has_social FROM tags GROUP BY page_id")
+@query("has_social", f"WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_SOCIAL}) > 0 AS has_social FROM {PAGE_TAGS}")
 def _(spark, sf):
     return _tag_flags(spark, sf, n=H.is_social_link).select("page_id", (F.col("n") > 0).alias("has_social"))
 
 
 @query("form_controls", f"""WITH {RICH_SQL}, {TAGS_SQL} SELECT page_id, count_if({_SUBMIT}) > 0 AS submit,
   count_if(tag = 'input' AND lower(coalesce(type, '')) = 'hidden') > 0 AS hidden,
-  count_if(tag = 'input' AND lower(coalesce(type, '')) = 'password') > 0 AS password FROM tags GROUP BY page_id""")
+  count_if(tag = 'input' AND lower(coalesce(type, '')) = 'password') > 0 AS password FROM {PAGE_TAGS}""")
 def _(spark, sf):
     flags = _tag_flags(
         spark, sf, submit=H.is_submit, hidden=lambda t: H.is_input(t, "hidden"), password=lambda t: H.is_input(t, "password")
@@ -188,18 +196,19 @@ def _(spark, sf):
 
 
 @query("link_summary", f"""WITH {RICH_SQL}, {TAGS_SQL}, {REFS_SQL} SELECT page_id, count_if(class = 'self') AS self_refs,
-  count_if(class = 'empty') AS empty_refs, count_if(class = 'external') AS external_refs FROM refs GROUP BY page_id""")
+  count_if(class = 'empty') AS empty_refs, count_if(class = 'external') AS external_refs FROM {PAGE_REFS}""")
 def _(spark, sf):
-    return H.reference_table(rich_pages(spark, sf)).groupBy("page_id").agg(
-        *[F.count_if(F.col("class") == c).alias(f"{c}_refs") for c in ("self", "empty", "external")]
-    )
+    def counted(kind):
+        return F.size(F.filter("refs", lambda r: r["class"] == kind)).cast("long").alias(f"{kind}_refs")
+
+    return _references(spark, sf).select("page_id", *[counted(kind) for kind in ("self", "empty", "external")])
 
 
 @query("external_form_submit", f"""WITH {RICH_SQL}, {TAGS_SQL}, {REFS_SQL} SELECT page_id,
-  count_if(tag = 'form' AND class = 'external') > 0 AS external_form_submit FROM refs GROUP BY page_id""")
+  count_if(tag = 'form' AND class = 'external') > 0 AS external_form_submit FROM {PAGE_REFS}""")
 def _(spark, sf):
-    return H.reference_table(rich_pages(spark, sf)).groupBy("page_id").agg(
-        F.bool_or((F.col("tag") == "form") & (F.col("class") == "external")).alias("external_form_submit")
+    return _references(spark, sf).select(
+        "page_id", F.exists("refs", lambda r: r["form"] & (r["class"] == "external")).alias("external_form_submit")
     )
 
 
@@ -235,9 +244,9 @@ tagf AS (SELECT page_id, count_if(tag = 'iframe')::DOUBLE AS iframe_count, count
   count_if({_STYLE})::DOUBLE AS css_count, count_if(tag = 'script')::DOUBLE AS javascript_count, {flag(_ICON)} AS has_favicon,
   {flag(_VIEW)} AS is_responsive, {flag(_DESC)} AS has_description, {flag(_SOCIAL)} AS has_social, {flag(_SUBMIT)} AS has_submit_button,
   {flag("tag = 'input' AND lower(coalesce(type, '')) = 'hidden'")} AS has_hidden_fields,
-  {flag("tag = 'input' AND lower(coalesce(type, '')) = 'password'")} AS has_password_field FROM tags GROUP BY page_id),
+  {flag("tag = 'input' AND lower(coalesce(type, '')) = 'password'")} AS has_password_field FROM {PAGE_TAGS}),
 reff AS (SELECT page_id, count_if(class = 'self')::DOUBLE AS self_ref_count, count_if(class = 'empty')::DOUBLE AS empty_ref_count,
-  count_if(class = 'external')::DOUBLE AS external_ref_count, {flag("tag = 'form' AND class = 'external'")} AS external_form_submit FROM refs GROUP BY page_id),
+  count_if(class = 'external')::DOUBLE AS external_ref_count, {flag("tag = 'form' AND class = 'external'")} AS external_form_submit FROM {PAGE_REFS}),
 txtf AS (SELECT page_id, {', '.join(f"{_mentions(t, 'lower(visible)')}::INT::DOUBLE AS {n}" for n, t in (('mentions_bank', BANK_TERMS), ('mentions_pay', PAY_TERMS), ('mentions_crypto', CRYPTO_TERMS), ('has_copyright', COPYRIGHT_TERMS)))} FROM vis),
 pf AS (SELECT * EXCLUDE (html_line_count, largest_line_length), 'ok' AS status, html_line_count::DOUBLE AS html_line_count, largest_line_length::DOUBLE AS largest_line_length,
   (title <> '')::INT::DOUBLE AS has_title FROM uf JOIN tagf USING (page_id) JOIN reff USING (page_id) JOIN txtf USING (page_id)

@@ -205,15 +205,24 @@ def _(spark, sf):
     return R.counter_consistency(counts, processed)
 
 
-@query("audit_report", f"""WITH short AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/[a-z]*') AS url FROM pages), {canonical_sql('short', 'page_id')},
-f AS (SELECT canonical, min_by(starts_with(url, 'http:')::INT, page_id) AS label FROM canon GROUP BY canonical), s AS (SELECT (SELECT count(*) FROM pages) AS raw_rows, count(*) AS canonical_rows,
-  (SELECT count(*) FROM pages) - count(*) AS duplicate_rows, count_if(label = 0)::BIGINT AS benign, count_if(label = 1)::BIGINT AS phishing FROM f)
+@query("audit_report", f"""WITH marked AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, url || '#again' FROM pages UNION ALL
+  SELECT page_id + 2000000000, ' ' FROM pages WHERE starts_with(url, 'http:')), {canonical_sql('marked', 'page_id')},
+f AS (SELECT canonical, min_by(starts_with(url, 'http:')::INT, page_id) AS label FROM canon WHERE canonical IS NOT NULL GROUP BY canonical),
+n AS (SELECT count(*) AS raw_rows, count(*) - count(canonical) AS invalid_urls, count(canonical) AS valid FROM canon),
+s AS (SELECT any_value(raw_rows) AS raw_rows, any_value(invalid_urls) AS invalid_urls, count(*) AS canonical_rows,
+  any_value(valid) - count(*) AS duplicate_rows, count_if(label = 0)::BIGINT AS benign, count_if(label = 1)::BIGINT AS phishing FROM f, n)
 UNPIVOT s ON COLUMNS(*) INTO NAME metric VALUE value""")
 def _(spark, sf):
-    short = table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/[a-z]*", 0).alias("url"), F.startswith("url", F.lit("http:")).cast("int").alias("label")
+    url, number = F.col("url"), F.col("page_id")
+    copies = F.array_compact(F.array(
+        F.struct(number.alias("page_id"), url.alias("url")),
+        F.struct((number + 1000000000).alias("page_id"), F.concat(url, F.lit("#again")).alias("url")),
+        F.when(F.startswith(url, F.lit("http:")), F.struct((number + 2000000000).alias("page_id"), F.lit(" ").alias("url"))),
+    ))
+    marked = table(spark, sf, "pages").select(F.explode(copies).alias("c")).select(
+        "c.*", F.startswith("c.url", F.lit("http:")).cast("int").alias("label")
     )
-    return R.audit_report(short, "page_id")
+    return R.audit_report(marked, "page_id")
 
 
 @query("slice_summary", "SELECT count(*) AS rows, count_if(toxic = 0)::BIGINT AS benign, count_if(toxic = 1)::BIGINT AS phish, round(avg(toxic), 6) AS phish_rate FROM labels")

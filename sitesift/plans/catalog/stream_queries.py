@@ -63,11 +63,15 @@ def _(spark, sf):
     return S.drain_to_table(kept, shared_folder(spark, "offsets"), shared_folder(spark, "before"))
 
 
-@query("stream_dedupe", f"""WITH short AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/[a-z]*') AS url FROM pages), {canonical_sql('short', 'page_id')}
+@query("stream_dedupe", f"""WITH twice AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, url || '#again' FROM pages), {canonical_sql('twice', 'page_id')}
 SELECT sha256(canonical) AS sample_id, min(page_id) AS ord FROM canon GROUP BY canonical""")
 def _(spark, sf):
-    stream = S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet").select(
-        F.sha2(canonicalize_url(F.regexp_extract("url", "^[a-z]+://[^/]*/[a-z]*", 0)), 256).alias("sample_id"), F.col("page_id").alias("ord")
+    twice = F.array(
+        F.struct("url", F.col("page_id").alias("ord")),
+        F.struct(F.concat("url", F.lit("#again")).alias("url"), (F.col("page_id") + 1000000000).alias("ord")),
+    )
+    stream = S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet").select(F.explode(twice).alias("p")).select(
+        F.sha2(canonicalize_url(F.col("p.url")), 256).alias("sample_id"), "p.ord"
     )
     return S.stream_dedupe(stream, shared_folder(spark, "offsets"), shared_folder(spark, "unique"))
 

@@ -67,10 +67,19 @@ def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The folder's full name, as the file sources report it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+
+
 def scan_csv_with_html(
     spark: SparkSession, csv_path: str, phish_root: str, benign_root: str, limit: int | None = None
 ) -> DataFrame:
-    """Split CSV joined to '<root by label>/<file_name>.html'. Rows without URL or file are skipped."""
+    """Split CSV joined to '<root by label>/<file_name>.html'. Rows without URL or file are skipped.
+
+    ``file_name`` may name nested folders below the root. An invalid URL fails.
+    """
     raw = read_csv(spark, csv_path)
     require_columns(raw, ["file_name", "url", "label"], "split CSV")
     kind = F.col("type") if "type" in raw.columns else F.lit(None).cast("string")
@@ -86,18 +95,19 @@ def scan_csv_with_html(
     ordered = with_source_order(rows.where(F.col("url") != ""))
 
     def tree(root: str, label_value: int) -> DataFrame:
-        base = root.rstrip("/")
+        base = qualified(spark, root)
         files = (
             spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.html").load(base)
         )
-        relative = F.substring_index(F.col("path"), base.split("/")[-1] + "/", -1)
+        relative = F.substr(F.col("path"), F.lit(len(base) + 2))
         return files.select(relative.alias("file"), F.lit(label_value).alias("label"), utf8(F.col("content")).alias("html"))
 
     html = tree(phish_root, 1).unionByName(tree(benign_root, 0))
     joined = ordered.join(html, ["file", "label"])
     if limit is not None:
         joined = limit_scan(joined, "_ord", limit)
+    fail_on_values(joined, canonicalize_url(F.col("url")).isNull(), F.col("url"), "invalid urls")
     identified = joined.withColumn("sample_id", F.sha2(canonicalize_url(F.col("url")), 256))
     unique = all_features(dedupe_keep_first(identified, "sample_id", "_ord"))
     out = unique.select(
@@ -207,7 +217,7 @@ def check_weights(weights: DataFrame, params: Mapping) -> None:
         raise ValueError("intercept must be finite")
     if not (math.isfinite(params["threshold"]) and 0.0 <= params["threshold"] <= 1.0):
         raise ValueError("threshold must be between 0 and 1")
-    safe_json(params["metadata"])
+    check_metadata(params["metadata"])
     width = params["hash_dim"] + (len(NUMERIC_FEATURES) if params["include_dom"] else 0)
     weight = F.col("weight").cast("float")
     row = weights.agg(
@@ -262,22 +272,15 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def safe_json(value, depth: int = 0):
-    """The value, if it is JSON with finite numbers, safe keys and bounded depth."""
-    if depth > 12:
-        raise ValueError("JSON payload is too deeply nested")
-    if isinstance(value, Mapping):
-        for key in value:
-            if not isinstance(key, str) or key in UNSAFE_KEYS or "\x00" in key:
-                raise ValueError("JSON object contains unsafe key")
-        return {k: safe_json(v, depth + 1) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [safe_json(v, depth + 1) for v in value]
-    if isinstance(value, float) and not math.isfinite(value):
-        raise ValueError("JSON numbers must be finite")
-    if value is None or isinstance(value, (str, bool, int, float)):
-        return value
-    raise TypeError(f"unsupported JSON value: {type(value).__name__}")
+def check_metadata(metadata: Mapping) -> None:
+    """Metadata of a model is one flat table: names with text, flags or finite numbers."""
+    refused = [
+        str(name) for name, value in metadata.items()
+        if not isinstance(name, str) or name in UNSAFE_KEYS or "\x00" in name
+        or not isinstance(value, (str, int, float)) or (isinstance(value, float) and not math.isfinite(value))
+    ]
+    if refused:
+        raise ValueError(f"unsafe or nested metadata entries: {sorted(refused)}")
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

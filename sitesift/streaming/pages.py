@@ -107,7 +107,7 @@ def live_scan_scores(
 def stream_dedupe(
     stream: DataFrame, checkpoint: str, path: str, id_column: str = "sample_id", order: str = "ord"
 ) -> DataFrame:
-    """First sight of every id over the whole stream.
+    """First sight of every id over the whole stream. Rejected rows have no id and are left out.
 
     Each batch is reduced to its first rows with a map-side minimum, then ids already written are
     dropped by an anti join; seen ids live in a table, not in task memory.
@@ -115,7 +115,7 @@ def stream_dedupe(
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = dedupe_keep_first(batch, id_column, order)
+        first = dedupe_keep_first(batch.where(F.col(id_column).isNotNull()), id_column, order)
         if batch_id > 0:
             seen = spark.read.schema(f"{id_column} string, batch_id bigint").option("basePath", path).parquet(path)
             earlier = seen.where(F.col("batch_id") < batch_id).select(id_column)

@@ -1,5 +1,6 @@
 """URL, HTML, text and hashing columns on literal cases."""
 
+import time
 import unicodedata
 
 import pytest
@@ -134,6 +135,41 @@ def test_long_broken_tags_do_not_blow_up(spark):
     assert features(spark, ("https://x.com/", html))[0]["status"] == "ok"
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<!--", "<script", "<script ", "</script ", "<title ", "<body ", "<a x=1 ", '<a x="'])
+def test_hostile_pages_are_scanned_once(spark, piece):
+    """A retry from every '<' would take days at this size."""
+    html = "<p>start</p>" + piece * (4 * 2**20 // len(piece))
+    started = time.monotonic()
+    row = features(spark, ("https://x.com/", html))[0]
+    assert row["status"] == "ok" and time.monotonic() - started < 60
+
+
+def test_many_attributes(spark):
+    html = "<a " + " ".join(f"k{i % 50000}={i}" for i in range(100000)) + ">"
+    attrs = one(spark, [html], H.page_tags)[0][0]["attrs"]
+    assert attrs == {f"k{i}": str(i) for i in range(50000)}
+
+
+def test_character_references(spark):
+    cases = {
+        "a&amp;lt;b": "a&lt;b", "&apos;&quot;&eacute;": "'\"é", "&#233;&#xE9;&#x1F600;": "éé😀", "&#0;&#xD800;&#99999999;": "\ufffd" * 3,
+        "&unknown; & &amp": "&unknown; & &amp", "&&lt;": "&<", "": "", "plain": "plain",
+    }
+    assert one(spark, list(cases), H.unescape) == list(cases.values())
+    assert one(spark, [None], H.unescape) == [None]
+
+
+def test_date_filter_runs_before_the_features(spark):
+    from sitesift.operators.records import canonical_records
+
+    raw = spark.createDataFrame([("https://x.com/", PAGE, "2024-01-01T00:00:00Z", "0")], "url string, html string, date string, label string")
+    late = canonical_records(raw).where(F.col("date") > F.lit("2025-01-01").cast("timestamp"))
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    features_at = plan.index("html_line_count") if "html_line_count" in plan else plan.index("Project")
+    assert plan.rindex("Filter") > features_at and plan.count("Filter") == 1
+    assert "regexp_extract_all" in plan[:plan.rindex("Filter")] and "regexp_extract_all" not in plan[plan.rindex("Filter"):]
+
+
 def test_attributes(spark):
     html = """<a HREF='/x?a=1&amp;b=2' href="/second" disabled data-href=no>t</a><link rel=icon href=//y.com/f.ico/>"""
     got = one(spark, [html], H.page_tags)[0]
@@ -189,3 +225,9 @@ def test_buckets_match_one_by_one_hashing(spark):
                 t = unicodedata.normalize("NFKC", raw).lower()
                 want |= {fnv(f"{space}:{t[i:i + n]}") % dim for n in (3, 4, 5) for i in range(len(t) - n + 1)}
             assert buckets == sorted(want)
+
+
+def test_pages_without_tags_are_kept(spark):
+    pages = spark.createDataFrame([(1, "http://x.com", "plain text"), (2, "http://x.com", "<p><a href=/a>")], "page_id int, url string, html string")
+    assert [(r["page_id"], len(r["tags"])) for r in H.with_tags(pages).orderBy("page_id").collect()] == [(1, 0), (2, 2)]
+    assert [[x["class"] for x in r["refs"]] for r in H.with_references(pages).orderBy("page_id").collect()] == [[], ["self"]]

@@ -307,3 +307,21 @@ def test_validation(spark):
         V.accept_record(spark.createDataFrame([(2, "u")], "label int, url string")).collect()
     with pytest.raises(ValueError, match="finite"):
         V.require_scores(scored(spark, [0, 1], [0.1, float("nan")]))
+
+
+def test_null_keys_are_kept_or_refused(spark):
+    from sitesift.operators import groups, metrics, records, splits
+
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, None, 1)], "sample_id int, k string, label int")
+    with pytest.raises(Exception, match="must not be null"):
+        splits.grouped_split(rows, "k").collect()
+    with pytest.raises(Exception, match="must not be null"):
+        groups.dedupe_keep_first(rows, "k", "sample_id").collect()
+    with pytest.raises(Exception, match="must not be null"):
+        groups.connected_groups(rows.withColumn("f", F.lit("")), "k", "f").collect()
+    unlabelled = rows.withColumn("label", F.when(F.col("label") == 1, 1))
+    assert splits.oof_folds(unlabelled, "sample_id").count() == 3
+    assert {(r["k"], r["n"]) for r in metrics.latency_summary(rows, "sample_id", ["k"]).collect()} == {("a", 2), (None, 1)}
+    raw = spark.createDataFrame([(1, "http://x.com/", 0), (2, "http://x.com", 0), (3, "", 1), (4, " ", 1)], "o int, url string, label int")
+    got = {r["metric"]: r["value"] for r in records.audit_report(raw, "o").collect()}
+    assert (got["raw_rows"], got["invalid_urls"], got["canonical_rows"], got["duplicate_rows"]) == (4, 2, 1, 1)

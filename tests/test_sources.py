@@ -205,9 +205,8 @@ def test_reports_and_manifest(spark, tmp_path):
     T.write_report(spark.createDataFrame([("a", 0.5)], "k string, v double"), str(tmp_path / "r"))
     with pytest.raises(ValueError, match="finite"):
         T.write_report(spark.createDataFrame([("a", float("inf"))], "k string, v double"), str(tmp_path / "r2"))
-    with pytest.raises(ValueError, match="nested"):
-        deep = {}
-        for _ in range(14):
-            deep = {"a": deep}
-        T.safe_json(deep)
+    T.check_metadata({"variant": "linear", "rows": 3, "share": 0.5, "final": True})
+    for bad in ({"a": {}}, {"a": float("nan")}, {"__proto__": "x"}, {1: "x"}, {"a": None}):
+        with pytest.raises(ValueError, match="metadata"):
+            T.check_metadata(bad)
     assert len(DOM_FEATURES) == 22
