@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import numbered, seal
@@ -50,26 +50,54 @@ def position(low: Column, high: Column, dimension: Column) -> Column:
     return F.floor(share * 65535).cast("long") * 65536 + F.col("_tie")
 
 
-def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """A small table of numbers as a local relation; ``rows`` has at most one row per shard."""
-    lines = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {lines} AS t({names})"))
+def lookup(numbers: list, kind: str) -> Column:
+    """Numbers by node as one constant array; a node beyond its end has none."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
 
 
-def _literal(value: int | float) -> str:
-    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
+class Tree:
+    """The cuts so far. The root is node 1, the parts of node n are 2n and 2n + 1.
 
+    Its lists have an entry per node, so at most four per shard. They enter a plan as constants:
+    no join, no broadcast, and the same generated code at every level.
+    """
+
+    def __init__(self, shards: int):
+        self.parts = [0, shards]  # shards below each node
+        self.first = [0, 0]  # the first of them
+        self.dim, self.low, self.high, self.cut = [-1, -1], [0, 0], [0, 0], [0, 0]
+
+    @property
+    def depth(self) -> int:
+        return len(self.parts).bit_length() - 2
+
+    def open_nodes(self) -> list[int]:
+        return [n for n in range(len(self.parts) // 2, len(self.parts)) if self.parts[n] > 1]
+
+    def place(self, node: Column) -> Column:
+        dim, low, high = (lookup(x, "bigint") for x in (self.dim, self.low, self.high))
+        return position(F.get(low, node), F.get(high, node), F.get(dim, node).cast("int"))
+
+    def node(self) -> Column:
+        """The deepest node that a point reaches."""
+        if not self.depth:
+            return F.lit(1)
+        dim, cut = lookup(self.dim, "bigint"), lookup(self.cut, "bigint")
 
-def descend(frame: DataFrame, levels: list[list[tuple]]) -> DataFrame:
-    """Add ``node``, the first shard of the node that a point reaches through the given levels."""
-    out = frame.withColumn("node", F.lit(0).cast("long"))
-    for splits in levels:
-        table = values(frame.sparkSession, splits, "node, _dim, _low, _high, _cut, _right")
-        goes_right = position(F.col("_low"), F.col("_high"), F.col("_dim").cast("int")) >= F.col("_cut")
-        out = out.join(table, "node", "left").withColumn(
-            "node", F.when(goes_right, F.col("_right")).otherwise(F.col("node"))
-        ).drop("_dim", "_low", "_high", "_cut", "_right")
-    return out
+        def step(node: Column, _: Column) -> Column:
+            right = (self.place(node) >= F.get(cut, node)).cast("int")
+            return F.when(F.get(dim, node) >= 0, node * 2 + right).otherwise(node)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(1), step)
+
+    def grow(self, cuts: dict[int, int]) -> None:
+        """Cut the nodes given and open the next level; nodes without rows stay uncut."""
+        for column in (self.parts, self.first, self.dim, self.low, self.high, self.cut):
+            column.extend([-1 if column is self.dim else 0] * len(column))
+        for n, cut in cuts.items():
+            k, self.cut[n] = self.parts[n], cut
+            self.parts[2 * n], self.parts[2 * n + 1] = k // 2, k - k // 2
+            self.first[2 * n], self.first[2 * n + 1] = self.first[n], self.first[n] + k // 2
 
 
 def _sides() -> list[Column]:
@@ -79,8 +107,8 @@ def _sides() -> list[Column]:
     ]
 
 
-def _boxes(rows: DataFrame, parts: dict[int, int], whole: list[int]) -> list[tuple]:
-    """(node, parts, dimension, low, high, bytes) of the nodes to be cut; one row per node."""
+def _measure(points: DataFrame, tree: Tree, whole: list[int]) -> dict[int, float]:
+    """Set the widest dimension of the open nodes; returns the bytes left of each cut."""
     widths = [
         F.struct(
             ((F.col(f"high{d}") - F.col(f"low{d}")) / F.lit(max(1, whole[d]))).alias("width"),
@@ -88,61 +116,61 @@ def _boxes(rows: DataFrame, parts: dict[int, int], whole: list[int]) -> list[tup
         )
         for d in range(DIMENSIONS)
     ]
-    best = (
-        rows.join(values(rows.sparkSession, [(n,) for n in parts], "node"), "node")
+    boxes = (
+        points.withColumn("node", tree.node())
+        .where(F.get(lookup(tree.parts, "int"), F.col("node")) > 1)
         .groupBy("node").agg(*_sides(), F.sum("size").alias("bytes"))
         .withColumn("best", F.array_max(F.array(*widths)))
         .select("node", -F.col("best.order"), "best.low", "best.high", "bytes")
     )
-    return [(node, parts[node], *rest) for node, *rest in best.collect()]
-
-
-def _cuts(rows: DataFrame, boxes: list[tuple]) -> list[tuple]:
-    """For each box the first position that belongs to its right part."""
-    names = ["node", "_dim", "_low", "_high", "_prefix", "_goal", "_before"]
-    goals = [(n, d, lo, hi, 0, float(b * (k // 2)) / k, 0.0) for n, k, d, lo, hi, b in boxes]
+    goals = {}
+    for n, dim, low, high, size in boxes.collect():  # one row per node
+        tree.dim[n], tree.low[n], tree.high[n] = dim, low, high
+        goals[n] = float(size * (tree.parts[n] // 2)) / tree.parts[n]
+    return goals
+
+
+def _cuts(points: DataFrame, reached: Column, tree: Tree, goals: dict[int, float]) -> dict[int, int]:
+    """For each node the first position that belongs to its right part."""
+    size = len(tree.parts)
+    prefix, before, goal = [-1] * size, [0.0] * size, [goals.get(n, 0.0) for n in range(size)]
+    for n in goals:
+        prefix[n] = 0
+    cuts = {}
+    node = F.col("node")
     for shift in DIGITS:
-        at = rows.join(values(rows.sparkSession, goals, ", ".join(names)), "node").withColumn(
-            "_at", position(F.col("_low"), F.col("_high"), F.col("_dim").cast("int"))
+        upto = F.get(lookup(before, "double"), node) + F.sum("bytes").over(
+            Window.partitionBy("node").orderBy("_digit")
         )
-        upto = F.col("_before") + F.sum("bytes").over(Window.partitionBy("node").orderBy("_digit"))
         chosen = (
-            at.where(F.shiftright("_at", shift + 8) == F.col("_prefix"))
-            .groupBy(*names, F.shiftright("_at", shift).alias("_digit"))
+            points.withColumn("node", reached).withColumn("_at", tree.place(node))
+            .where(F.shiftright("_at", shift + 8) == F.get(lookup(prefix, "bigint"), node))
+            .groupBy("node", F.shiftright("_at", shift).alias("_digit"))
             .agg(F.sum("size").alias("bytes"))
             .withColumn("_upto", upto)
-            .where(F.col("_upto") >= F.col("_goal"))
+            .where(F.col("_upto") >= F.get(lookup(goal, "double"), node))
             .groupBy("node").agg(F.min_by(F.struct("*"), "_digit").alias("s"))
             .select("s.*").collect()  # one row per node
         )
-        goals = [
-            (r["node"], r["_dim"], r["_low"], r["_high"], r["_digit"], r["_goal"], r["_upto"] - r["bytes"])
-            for r in chosen
-        ]
-    return [
-        (r["node"], r["_dim"], r["_low"], r["_high"],
-         r["_digit"] + (r["_upto"] - r["_goal"] <= r["_goal"] - r["_upto"] + r["bytes"]))
-        for r in chosen
-    ]
+        for r in chosen:
+            n, over = r["node"], r["_upto"] - goal[r["node"]]
+            prefix[n], before[n] = r["_digit"], r["_upto"] - r["bytes"]
+            cuts[n] = r["_digit"] + (over <= goal[n] - before[n])
+    return cuts
 
 
-def grow_tree(points: DataFrame, shards: int) -> list[list[tuple]]:
-    """Levels of cuts that turn one node into ``shards`` leaves of near equal bytes."""
-    parts, levels = {0: shards}, []
+def grow_tree(points: DataFrame, shards: int) -> Tree:
+    """Cut one node, level by level, into ``shards`` leaves of near equal bytes."""
+    tree = Tree(shards)
     sides = points.agg(*_sides()).first()
     whole = [(sides[f"high{d}"] or 0) - (sides[f"low{d}"] or 0) for d in range(DIMENSIONS)]
-    while any(k > 1 for k in parts.values()):
-        open_parts = {n: k for n, k in parts.items() if k > 1}
-        boxes = _boxes(descend(points, levels), open_parts, whole)
-        if not boxes:
+    while tree.open_nodes():
+        reached = tree.node()
+        goals = _measure(points, tree, whole)
+        if not goals:
             break
-        cuts = _cuts(descend(points, levels), boxes)
-        levels.append([(n, *rest, n + open_parts[n] // 2) for n, *rest in cuts])
-        parts = {n: 1 for n, k in parts.items() if k == 1}
-        for n, *_ in cuts:
-            k = open_parts[n]
-            parts |= {n: k // 2, n + k // 2: k - k // 2}
-    return levels
+        tree.grow(_cuts(points, reached, tree, goals))
+    return tree
 
 
 def kd_shards(
@@ -162,8 +190,7 @@ def kd_shards(
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
-    placed = descend(full, grow_tree(points, shards)).withColumn(
-        "shard", F.col("node").cast("int")
-    ).drop("node")
+    tree = grow_tree(points, shards)
+    placed = full.withColumn("shard", F.get(lookup(tree.first, "int"), tree.node()))
     out = numbered(placed, "shard", ["_tie", at["doc_id"], "text_crc32"], "slot")
     return out.select(*own, "size", "text_crc32", "shard", "slot")
