@@ -210,3 +210,14 @@ def test_reports_and_manifest(spark, tmp_path):
         with pytest.raises(ValueError, match="metadata"):
             T.check_metadata(bad)
     assert len(DOM_FEATURES) == 22
+
+
+def test_nested_html_files_are_found(spark, tmp_path):
+    root = tmp_path / "html"
+    for name in ("a.html", "site/html/b.html", "rawhtml/c.html"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("<title>t</title>")
+    (tmp_path / "benign").mkdir()
+    (tmp_path / "rows.csv").write_text("file_name,url,label\na,http://a.com/,1\nsite/html/b,http://b.com/,1\nrawhtml/c.html,http://c.com/,1\n")
+    rows = T.scan_csv_with_html(spark, str(tmp_path / "rows.csv"), str(root), str(tmp_path / "benign"))
+    assert sorted(r["url"] for r in rows.select("url").collect()) == ["http://a.com/", "http://b.com/", "http://c.com/"]
