@@ -18,21 +18,21 @@ from sitesift.operators.vectors import add_numeric, sigmoid
 MAX_BROADCAST_WEIGHTS = HASH_DIM + len(NUMERIC_FEATURES)
 
 
-def weights_side(weights: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a weights table whose row count is known and within the model width."""
+def weights_side(weights: DataFrame) -> DataFrame:
+    """Broadcast a weights table if a count shows that it is within the model width."""
+    rows = weights.limit(MAX_BROADCAST_WEIGHTS + 1).count()
     return F.broadcast(weights) if rows <= MAX_BROADCAST_WEIGHTS else weights
 
 
 def linear_score_join(
     entries: DataFrame, weights: DataFrame, intercept: float, key: str = "sample_id",
-    weight_rows: int = MAX_BROADCAST_WEIGHTS,
 ) -> DataFrame:
     """(key, logit, score) from long vector entries and (idx, weight).
 
     The entries of one sample come from one input row, so the sum is combined before the shuffle.
     Samples whose every index is unknown keep the intercept.
     """
-    joined = entries.join(weights_side(weights, weight_rows), "idx", "left")
+    joined = entries.join(weights_side(weights), "idx", "left")
     products = F.coalesce(F.col("weight").cast("double"), F.lit(0.0)) * F.col("value").cast("double")
     return joined.groupBy(key).agg((F.sum(products) + F.lit(float(intercept))).alias("logit")).select(
         key, "logit", sigmoid(F.col("logit")).alias("score")

@@ -10,6 +10,7 @@ from sitesift.operators import bootstrap as B
 from sitesift.operators import groups as G
 from sitesift.operators import metrics as M
 from sitesift.operators import sampling as P
+from sitesift.operators import scoring
 from sitesift.operators import splits as X
 from sitesift.operators import validate as V
 from sitesift.operators.ordering import ranked_positions, running_totals, seeded_hash
@@ -283,6 +284,13 @@ def test_narrow_scoring_equals_join_scoring(spark):
         score_pages(frame, weights.limit(5), 0.0, True, 512)
 
 
+def test_weights_beyond_the_model_width_are_not_broadcast(spark):
+    wide = spark.range(scoring.MAX_BROADCAST_WEIGHTS + 1).select(F.col("id").alias("idx"), F.lit(1.0).alias("weight"))
+    assert scoring.weights_side(wide) is wide
+    narrow = wide.where("idx < 10")
+    assert "broadcast" in scoring.weights_side(narrow)._jdf.queryExecution().logical().toString()
+
+
 def test_windows(spark):
     frame = spark.createDataFrame([("a", 300), ("b", 128), ("c", 127), ("d", 0)], "k string, n int")
     tokens = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
