@@ -60,9 +60,11 @@ def base_rate_sample(
     All negatives and round(p * n0 / (1 - p)) positives; if there are too few positives, all of
     them and round(n1 * (1 - p) / p) negatives. Within a label the rows with the smallest seeded
     hash are taken. Counts per hash prefix decide for whole prefixes; only the one prefix where the
-    quota ends is ranked row by row.
+    quota ends is ranked row by row. Ids that are empty or repeated and labels other than 0 and 1,
+    or of one class only, fail.
     """
     values = check_rates(rates)
+    check_base_rate_input(frame.select(id_column, "label"), id_column)
     rows = frame.withColumn("_h", seeded_hash(seed, F.col(id_column))).withColumn(
         "_unit", F.substring("_h", 1, DIGITS)
     )

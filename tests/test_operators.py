@@ -291,6 +291,14 @@ def test_weights_beyond_the_model_width_are_not_broadcast(spark):
     assert "broadcast" in scoring.weights_side(narrow)._jdf.queryExecution().logical().toString()
 
 
+def test_base_rate_sample_refuses_repeated_ids(spark):
+    frame = scored(spark, [0, 1, 0, 1], [0.1, 0.9, 0.2, 0.8])
+    with pytest.raises(ValueError, match="unique"):
+        P.base_rate_sample(frame.unionByName(frame.limit(1)), [0.5])
+    with pytest.raises(ValueError, match="both classes"):
+        P.base_rate_sample(frame.where("label = 0"), [0.5])
+
+
 def test_windows(spark):
     frame = spark.createDataFrame([("a", 300), ("b", 128), ("c", 127), ("d", 0)], "k string, n int")
     tokens = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
