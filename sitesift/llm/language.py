@@ -3,7 +3,8 @@
 Text is reduced to lower-case letters and single spaces. For each language the counts of all
 four-letter sequences of its documents give an interpolated Kneser-Ney model: the highest order
 uses counts, the lower ones the number of different letters that can stand before a sequence. All
-probabilities are stored beside sorted arrays of sequence hashes. A document gets the language of
+probabilities are stored beside sorted arrays of sequence hashes. Every counted sequence is kept: a
+large model is cut into blocks by the two middle letters, and a block at a time is in memory. A document gets the language of
 the lowest cross-entropy per letter; one that no model explains better than half way to chance,
 measured from where the training documents of the language end, is rejected.
 """
@@ -11,12 +12,14 @@ measured from where the training documents of the language end, is rejected.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.llm.batches import mixed_multipliers, pieces
@@ -24,8 +27,7 @@ from sitesift.llm.common import extended, seal
 from sitesift.session import write_and_read
 
 ORDER = 4
-MODEL_CELLS = 8_000_000  # probabilities of the highest order, over all languages
-MAX_GRAMS = 100_000  # sequences of the highest order per language
+MODEL_CELLS = 8_000_000  # probabilities of the highest order that are held at once, over all languages
 HELD_COUNTS = 2_000_000  # distinct sequences a counting task holds before it passes them on
 SURE_LETTERS = 20  # shorter texts are not rejected for their entropy
 CALIBRATED = 0.999
@@ -188,7 +190,6 @@ class LanguageModel:
     grams: list[Table]  # of order 1 to ORDER: log probabilities per language
     contexts: list[Table]  # of order 2 to ORDER: log weights of the lower order
     unseen: np.ndarray  # log probability of an unseen letter
-    chance: float  # entropy of letters drawn at random
 
     def log_probabilities(self, values, positions, order: int = ORDER) -> np.ndarray:
         """One row per position and one column per language."""
@@ -214,24 +215,18 @@ def _hash_columns(points: np.ndarray) -> np.ndarray:
     return total
 
 
-def build_model(counts: pd.DataFrame) -> LanguageModel:
-    """Interpolated Kneser-Ney over the (lang, gram, n) rows, all languages side by side."""
-    langs = sorted(counts["lang"].unique())
+def build_model(levels: list[pd.DataFrame], discounts: pd.DataFrame, langs: list[str], size: int) -> LanguageModel:
+    """Interpolated Kneser-Ney, all languages side by side.
+
+    ``levels`` has the (lang, gram, n) rows of order 1 to ORDER, those of the two highest for the
+    middle letters of one block; ``discounts`` has a row per order and a column per language.
+    """
     number = {lang: i for i, lang in enumerate(langs)}
-    points = np.array(counts["gram"].tolist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
-    lang = counts["lang"].map(number).to_numpy()
-    weight = counts["n"].to_numpy(np.float64)
-    size = len(np.unique(points)) + 1
     lower = np.full((1, len(langs)), 1.0 / size)
-    levels = []  # (points, lang, weight) of each order; below the highest, continuation counts
-    for order in range(ORDER, 0, -1):
-        levels.append((points, lang, weight))
-        if order > 1:
-            keyed = np.concatenate([lang[:, None].astype(np.uint32), points[:, 1:]], axis=1)
-            types, weight = np.unique(keyed, axis=0, return_counts=True)
-            lang, points, weight = types[:, 0].astype(int), types[:, 1:], weight.astype(np.float64)
     grams, contexts, unseen = [], [], None
-    for order, (points, lang, weight) in enumerate(reversed(levels), 1):
+    for order, level in enumerate(levels, 1):
+        points = np.array(level["gram"].tolist(), f"<U{order}").view(np.uint32).reshape(-1, order)
+        lang, weight = level["lang"].map(number).to_numpy(np.int64), level["n"].to_numpy(np.float64)
         hashes, first, row = np.unique(_hash_columns(points), return_index=True, return_inverse=True)
         heads, _, head = np.unique(_hash_columns(points[:, :-1]), return_index=True, return_inverse=True)
         count = np.zeros((len(hashes), len(langs)))
@@ -240,8 +235,7 @@ def build_model(counts: pd.DataFrame) -> LanguageModel:
         types = np.zeros((len(heads), len(langs)))
         np.add.at(total, (head, lang), weight)
         np.add.at(types, (head, lang), 1.0)
-        once, twice = ((count == k).sum(axis=0) for k in (1, 2))
-        discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.75), 0.1, 0.95)
+        discount = discounts.loc[order, langs].to_numpy(np.float64)
         share = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
         of_head = head[first]
         if order == 1:
@@ -253,7 +247,21 @@ def build_model(counts: pd.DataFrame) -> LanguageModel:
         probability = np.maximum(count - discount, 0) / np.maximum(total[of_head], 1) + share[of_head] * below
         lower_table = _Lower(hashes, probability)
         grams.append(Table(hashes, np.log(probability).astype(np.float32)))
-    return LanguageModel(langs, grams, contexts, unseen.astype(np.float32), math.log(size))
+    return LanguageModel(langs, grams, contexts, unseen.astype(np.float32))
+
+
+@dataclass
+class LanguageModels:
+    langs: list[str]
+    blocks: list[Broadcast]  # of a LanguageModel each
+    chance: float  # entropy of letters drawn at random
+
+    def loaded(self):
+        """(number, model) of each block; of several, one at a time is in memory."""
+        for number, block in enumerate(self.blocks):
+            yield number, block.value
+            if len(self.blocks) > 1 and getattr(block, "_path", None):
+                del block._value
 
 
 @dataclass
@@ -265,69 +273,120 @@ class _Lower:
         return self.probability[np.searchsorted(self.hashes, wanted)]
 
 
-def fit_language_models(training: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModel | None:
-    """A model from (lang, text) rows; None without any letter.
+def middle_block(gram: Column, blocks: int) -> Column:
+    """Block of a sequence of one of the two highest orders, by the two letters before its last."""
+    middle = F.substring(gram, -3, 2)
+    return F.pmod(F.crc32(F.encode(middle, "UTF-8")), F.lit(blocks)).cast("int")
+
 
-    Counts cover the whole texts of all rows. The model is bounded: per language the ``max_grams``
-    most frequent sequences of the highest order, fewer with many languages (MODEL_CELLS); of
-    sequences that are equally frequent all are taken, or none if they would not fit.
+def blocks_of(values: np.ndarray, positions: np.ndarray, blocks: int) -> np.ndarray:
+    """``middle_block`` of the sequences that end at each position."""
+    pairs = values[positions - 2].astype(np.uint64) << np.uint64(32) | values[positions - 1]
+    known, row = np.unique(pairs, return_inverse=True)
+    letter = (chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF) for p in known)
+    return np.fromiter((zlib.crc32(x.encode()) % blocks for x in letter), np.int64, len(known))[row]
+
+
+def continuation_levels(counts: DataFrame) -> list[DataFrame]:
+    """(lang, gram, n) of order 1 to ORDER; below the highest, n letters stand before a sequence."""
+    levels = [counts.select("lang", "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        lower = levels[0].groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        levels.insert(0, write_and_read(lower, f"grams-{order}"))
+    return levels
+
+
+def level_discounts(levels: list[DataFrame]) -> pd.DataFrame:
+    """Kneser-Ney discounts: a row per order, a column per language."""
+    found = None
+    for order, level in enumerate(levels, 1):
+        part = level.groupBy(F.lit(order).alias("order"), "lang").agg(
+            F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")
+        )
+        found = part if found is None else found.unionByName(part)
+    rows = found.toPandas()  # ORDER rows per language
+    estimate = rows["once"] / np.maximum(rows["once"] + 2 * rows["twice"], 1)
+    rows["discount"] = np.where(rows["once"] > 0, estimate, 0.75).clip(0.1, 0.95)
+    return rows.pivot(index="order", columns="lang", values="discount")
+
+
+def fit_language_models(training: DataFrame, model_cells: int = MODEL_CELLS) -> LanguageModels | None:
+    """A model from (lang, text) rows, as broadcast blocks; None without any letter.
+
+    All sequences of all rows are in it. What the driver and a task hold is bounded: a model of more
+    than ``model_cells`` probabilities of the highest order is built and read block by block, which
+    changes no result. The orders 1 and 2 are in every block.
     """
     counts = write_and_read(gram_counts(training), "gram-counts")
-    langs = counts.select("lang").distinct().count()
-    if not langs:
+    grams, cells = counts.agg(F.count_distinct("gram"), F.count_distinct("lang")).first()
+    if not cells:
         return None
-    kept = max(100, min(max_grams, MODEL_CELLS // langs ** 2))
-    # sequences by count: a language has few different counts, so their running total is short
-    upto = Window.partitionBy("lang").orderBy(F.desc("n"))
-    least = (
-        counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
-        .withColumn("upto", F.sum("grams").over(upto))
-        .groupBy("lang").agg(F.min(F.when(F.col("upto") <= kept, F.col("n"))).alias("least"))
-    )
-    bounded = counts.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least"))  # a row per language
-    rows = bounded.select("lang", "gram", "n").toPandas()
-    return build_model(rows.sort_values(["lang", "gram"], ignore_index=True)) if len(rows) else None
+    blocks = math.ceil(grams * cells / model_cells)
+    levels = continuation_levels(counts)
+    discounts = level_discounts(levels)
+    langs = sorted(discounts.columns)
+    low = [_ordered(level) for level in levels[:-2]]
+    size = len(set(low[0]["gram"]) | {" "}) + 1
+    out = []
+    for block in range(blocks):
+        high = [_ordered(level.where(middle_block(F.col("gram"), blocks) == block)) for level in levels[-2:]]
+        out.append(training.sparkSession.sparkContext.broadcast(build_model([*low, *high], discounts, langs, size)))
+    return LanguageModels(langs, out, math.log(size))
+
+
+def _ordered(level: DataFrame) -> pd.DataFrame:
+    return level.toPandas().sort_values(["lang", "gram"], ignore_index=True)
 
 
 # --- scoring -------------------------------------------------------------------------
 
 
-def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(models: LanguageModels, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(cross-entropy per letter for each text and language, number of letters scored)."""
-    sums = np.zeros((len(texts), len(model.langs)))
+    sums = np.zeros((len(texts), len(models.langs)))
     counts = np.zeros(len(texts), np.int64)
-    for codes, starts, owners in pieces(texts):
-        values, positions, owner = padded(codes, starts, owners)
-        if not len(positions):
-            continue
-        logs = model.log_probabilities(values, positions)
-        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        np.add.at(sums, owner[edge], np.add.reduceat(logs.astype(np.float64), edge, axis=0))
-        counts += np.bincount(owner, minlength=len(texts))
+    blocks = len(models.blocks)
+
+    def parts():
+        for codes, starts, owners in pieces(texts):
+            values, positions, owner = padded(codes, starts, owners)
+            yield values, positions, owner, blocks_of(values, positions, blocks) if blocks > 1 else None
+
+    ready = list(parts()) if blocks > 1 else parts()
+    for number, model in models.loaded():
+        for values, positions, owner, of_block in ready:
+            if blocks > 1:
+                positions, owner = positions[of_block == number], owner[of_block == number]
+            if not len(positions):
+                continue
+            logs = model.log_probabilities(values, positions)
+            edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            np.add.at(sums, owner[edge], np.add.reduceat(logs.astype(np.float64), edge, axis=0))
+            counts += np.bincount(owner, minlength=len(texts))
     return -sums / np.maximum(counts, 1)[:, None], counts
 
 
-def add_scores(documents: DataFrame, model: LanguageModel | None, text: str) -> DataFrame:
+def add_scores(documents: DataFrame, models: LanguageModels | None, text: str) -> DataFrame:
     """Add lang_pred, score, entropy and n_letters; ``und`` without a letter or a model."""
     schema = extended(documents, lang_pred="string", score="double", entropy="double", n_letters="long")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     index = documents.columns.index(text)
 
     def run(batches):
-        known = shared.value
         for batch in batches:
             texts = batch.column(index).to_pylist()
-            if known is None:
+            if models is None:
                 entropy, counts = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
             else:
-                entropy, counts = score_texts(known, texts)
+                entropy, counts = score_texts(models, texts)
             best = entropy.argmin(axis=1)
             lowest = entropy[np.arange(len(texts)), best]
             odds = np.exp(np.clip((lowest[:, None] - entropy) * SHARPNESS, -700, 0)).sum(axis=1)
             seen = counts > 0
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns,
-                 pa.array([known.langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], pa.string()),
+                 pa.array([models.langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], pa.string()),
                  pa.array(np.where(seen, 1 / odds, 0.0)), pa.array(lowest, mask=~seen), pa.array(counts)],
                 [*batch.schema.names, "lang_pred", "score", "entropy", "n_letters"],
             )
@@ -354,7 +413,7 @@ def entropy_limits(scored: DataFrame, chance: float) -> DataFrame:
 
 
 def identify_languages(
-    documents: DataFrame, folds: int = 5, max_grams: int = MAX_GRAMS
+    documents: DataFrame, folds: int = 5, model_cells: int = MODEL_CELLS
 ) -> DataFrame:
     """Add held_out, lang_pred, score, entropy, n_letters and rejected to documents.
 
@@ -365,7 +424,7 @@ def identify_languages(
     replaced; an empty table stays empty. Texts beyond half a million characters are read in parts,
     each of which begins like a text.
     """
-    rows, model = _learned(documents, folds, max_grams)
+    rows, model = _learned(documents, folds, model_cells)
     scored = write_and_read(add_scores(rows, model, "text"), "languages")
     return _judged(scored, entropy_limits(scored, model.chance if model else 0.0))
 
@@ -373,10 +432,10 @@ def identify_languages(
 ADDED = ("held_out", "lang_pred", "score", "entropy", "n_letters", "rejected")
 
 
-def _learned(documents: DataFrame, folds: int, max_grams: int):
+def _learned(documents: DataFrame, folds: int, model_cells: int):
     rows = documents.select(*[c for c in documents.columns if c not in ADDED])
     rows = rows.withColumn("held_out", is_held_out(F.col("doc_id"), folds))
-    return rows, fit_language_models(rows.where(~F.col("held_out")).select("lang", "text"), max_grams)
+    return rows, fit_language_models(rows.where(~F.col("held_out")).select("lang", "text"), model_cells)
 
 
 def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -387,7 +446,7 @@ def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
     return scored.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | F.coalesce(too_high, F.lit(False)))
 
 
-def keep_identified(documents: DataFrame, folds: int = 5, max_grams: int = MAX_GRAMS) -> DataFrame:
+def keep_identified(documents: DataFrame, folds: int = 5, model_cells: int = MODEL_CELLS) -> DataFrame:
     """Documents that ``identify_languages`` does not reject, with their own columns.
 
     Scores are computed once to set the limits and once more beside the whole rows: no copy of the
@@ -395,7 +454,7 @@ def keep_identified(documents: DataFrame, folds: int = 5, max_grams: int = MAX_G
     """
     sealed, at, own = seal(documents)
     named = sealed.withColumnsRenamed({at[c]: c for c in ("doc_id", "text", "lang")})
-    rows, model = _learned(named, folds, max_grams)
+    rows, model = _learned(named, folds, model_cells)
     narrow = add_scores(rows.select("held_out", "lang", "text"), model, "text").drop("text")
     limits = entropy_limits(write_and_read(narrow, "entropies"), model.chance if model else 0.0)
     kept = _judged(add_scores(rows, model, "text"), limits).where(~F.col("rejected"))
