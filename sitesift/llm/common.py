@@ -77,7 +77,20 @@ def numbered(frame: DataFrame, group: str, order: list[str], name: str) -> DataF
     before it. ``frame`` is read twice, so pass a written table.
     """
     buckets = max(1, math.isqrt(frame.count()))
-    dealt = frame.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    return _numbered(frame.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))), group, order, name)
+
+
+def numbered_as_written(frame: DataFrame, group: str, file: str, row: str, name: str) -> DataFrame:
+    """As ``numbered``, in the order of ``file``, the number of a written file, and ``row`` in it.
+
+    A bucket is a stretch of rows of one file, as long as the square root of all rows.
+    """
+    stretch = max(1, math.isqrt(frame.count()))
+    bucket = F.struct(F.col(file).alias("file"), F.floor(F.col(row) / stretch).alias("stretch"))
+    return _numbered(frame.withColumn("_bucket", bucket), group, [row], name)
+
+
+def _numbered(dealt: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

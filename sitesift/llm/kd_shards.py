@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesift.llm.common import numbered, seal
+from sitesift.llm.common import numbered, numbered_as_written, seal
 from sitesift.session import write_and_read
 
 DIMENSIONS = 4
@@ -173,8 +173,17 @@ def grow_tree(points: DataFrame, shards: int) -> Tree:
     return tree
 
 
+def _written_at() -> list[Column]:
+    """Number of the file a row stands in, as one text for its task and part, and its row there."""
+    name = F.col("_metadata.file_name")
+    task = F.lpad(F.regexp_extract(name, "^part-([0-9]+)", 1), 12, "0")
+    part = F.lpad(F.regexp_extract(name, "-c([0-9]+)\\.", 1), 12, "0")
+    return [F.concat(task, part).alias("_written_file"), F.col("_metadata.row_index").alias("_written_row")]
+
+
 def kd_shards(
-    documents: DataFrame, shards: int | None = None, target_bytes: int | None = None
+    documents: DataFrame, shards: int | None = None, target_bytes: int | None = None,
+    as_written: bool = False,
 ) -> DataFrame:
     """Add size, text_crc32, shard and slot to documents.
 
@@ -183,8 +192,15 @@ def kd_shards(
     empty; null languages, sources and ids lie at 0 of their dimension. Repeated rows are rows of
     their own. With fewer rows than shards some shards stay empty; an empty table stays empty.
     Columns of these four names are replaced; the tree is bounded by one row per shard.
+
+    Slots follow a hash of the rows or, with ``as_written``, the order in which ``documents`` was
+    written: a table read from files that stand in the order of their numbers.
     """
-    rows, at, own = seal(documents, ("size", "text_crc32", "shard", "slot"))
+    added = ("size", "text_crc32", "shard", "slot")
+    if as_written:
+        documents = documents.select("*", *_written_at())
+    rows, at, own = seal(documents, added)
+    own = own[:-2] if as_written else own
     full = with_points(rows, at)
     points = write_and_read(full.select("_c", "_tie", "size"), "points")
     if shards is None:
@@ -192,5 +208,8 @@ def kd_shards(
         shards = max(1, math.ceil(total / target_bytes))
     tree = grow_tree(points, shards)
     placed = full.withColumn("shard", F.get(lookup(tree.first, "int"), tree.node()))
-    out = numbered(placed, "shard", ["_tie", at["doc_id"], "text_crc32"], "slot")
+    if as_written:
+        out = numbered_as_written(placed, "shard", at["_written_file"], at["_written_row"], "slot")
+    else:
+        out = numbered(placed, "shard", ["_tie", at["doc_id"], "text_crc32"], "slot")
     return out.select(*own, "size", "text_crc32", "shard", "slot")
