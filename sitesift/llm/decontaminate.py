@@ -2,8 +2,9 @@
 
 A mask says which of eight neighbouring words are hashed and which are ignored, so a replaced word
 under a zero leaves the seed intact. Seeds of the benchmark are matched with the seeds at every
-position of every document; at a hit the two texts are laid side by side, and the words around it
-must agree but for a few replacements.
+position of every document; at a hit the two texts are laid side by side, and of the stretches of
+words around it the best must agree but for a few replacements. Wherever in a stretch the replaced
+words stand, at least one seed is free of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from sitesift.llm.common import seal
 from sitesift.session import write_and_read
 
-MASKS = ("11011011", "10110111", "11101101")
+#: Hit every stretch of WINDOW words, and every whole item of SPAN to WINDOW words, with as many
+#: replaced words as LEAST_SHARE allows, wherever they stand.
+MASKS = ("111011", "11010011", "11001011")
 SPAN = 8
 WINDOW = 13
 LEAST_SHARE = 0.8
@@ -30,16 +33,21 @@ def tokens(text: Column) -> Column:
 
 
 def with_windows(frame: DataFrame, words: str) -> DataFrame:
-    """One row per position: the SPAN words from there as _w0, _w1, ... and the position _at."""
-    count = F.size(words) - (SPAN - 1)
+    """One row per position: the SPAN words from there as _w0, _w1, ... and the position _at.
+
+    Beyond the end the words are null; positions are those at which the shortest mask fits.
+    """
+    least = min(map(len, MASKS))
+    count = F.size(words) - (least - 1)
     columns = [F.slice(words, k + 1, count).alias(f"_w{k}") for k in range(SPAN)]
     at = F.sequence(F.lit(0), count - 1).alias("_at")
-    return frame.where(F.size(words) >= SPAN).select("*", F.inline(F.arrays_zip(*columns, at)))
+    return frame.where(F.size(words) >= least).select("*", F.inline(F.arrays_zip(*columns, at)))
 
 
 def seed(mask: str) -> Column:
-    """Hash of the words that the mask keeps."""
-    return F.xxhash64(*[F.col(f"_w{k}") for k, bit in enumerate(mask) if bit == "1"])
+    """Hash of the words that the mask keeps; null where it goes beyond the end."""
+    value = F.xxhash64(*[F.col(f"_w{k}") for k, bit in enumerate(mask) if bit == "1"])
+    return F.when(F.col(f"_w{len(mask) - 1}").isNotNull(), value)
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -55,7 +63,8 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def _seed_table(items: DataFrame, mask: str, name: str) -> DataFrame:
     return (
         with_windows(items, "words")
-        .groupBy(seed(mask).alias(f"_h{name}"))
+        .withColumn(f"_h{name}", seed(mask)).where(F.col(f"_h{name}").isNotNull())
+        .groupBy(f"_h{name}")
         .agg(F.collect_list(F.struct("item", F.col("_at").alias("at"))).alias(f"_e{name}"))
     )
 
@@ -77,23 +86,25 @@ def _leaks_of_block(windows: DataFrame, items: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", "_words", "_at", "hit.item", F.col("hit.at").alias("_item_at"))
     )
     length = F.least(F.lit(WINDOW), F.size("words"))
-    start = F.greatest(
-        F.lit(0),
-        F.least(F.col("_item_at") - F.floor((F.col("_length") - SPAN) / 2), F.size("words") - F.col("_length")),
-    ).cast("int")
+    # stretches of the item that hold a word at _item_at, laid beside the document
+    low = F.greatest(F.lit(0), F.col("_item_at") - (F.col("_length") - 1))
+    high = F.least(F.size("words"), F.col("_item_at") + F.col("_length"))
     beside = (
         hits.join(F.broadcast(items), "item").withColumn("_length", length)
-        .withColumn("_start", start)
-        .withColumn("_doc_start", F.col("_start") + F.col("_at") - F.col("_item_at"))
+        .withColumns({"_low": low, "_high": high, "_shift": F.col("_at") - F.col("_item_at")})
     )
-    first = F.greatest(F.lit(0), -F.col("_doc_start"))  # item words before the document begins
-    same = F.zip_with(
-        F.slice("words", F.col("_start") + first + 1, F.col("_length") - first),
-        F.slice("_words", F.col("_doc_start") + first + 1, F.col("_length") - first),
-        lambda a, b: F.when(a.eqNullSafe(b) & a.isNotNull(), 1).otherwise(0),
+    same = F.transform(
+        F.sequence(F.col("_low"), F.col("_high") - 1),
+        lambda i: F.when(
+            (i + F.col("_shift") >= 0) & (F.get("words", i) == F.get("_words", i + F.col("_shift"))), 1
+        ).otherwise(0),
     )
+    stretches = F.sequence(F.lit(1), F.size("_same") - F.col("_length") + 1)
+    matched = F.array_max(F.transform(
+        stretches, lambda k: F.aggregate(F.slice("_same", k, F.col("_length")), F.lit(0), lambda n, x: n + x)
+    ))
     return (
-        beside.withColumn("matched", F.aggregate(same, F.lit(0), lambda s, x: s + x))
+        beside.withColumn("_same", same).withColumn("matched", matched)
         .where(F.col("matched") >= F.ceil(F.col("_length") * LEAST_SHARE))
         .groupBy("doc_id", "text_key", "item")
         .agg(
@@ -108,7 +119,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, ids, matched, compared, seeds, first_word) of each leak.
 
     A leak is a stretch of WINDOW words of an item (all, if it has fewer) that stands in a document
-    with at least LEAST_SHARE of its words in place. ``ids`` are the items with these words.
+    with at least LEAST_SHARE of its words in place; all are found. ``ids`` are the items with these words.
     Items below SPAN words are too short to be evidence and match nothing, as do null and empty
     texts. Documents of one id and one text are one; a null id is kept as null. The benchmark is
     taken in blocks of about BLOCK_SEEDS seeds, so what is broadcast is bounded; each block reads
