@@ -1,24 +1,30 @@
 """Pfair mixing: interleave blocks of sources so that each keeps within a block of its share.
 
-Source i with a share of a_i slots in a cycle of A owns a window for each of its blocks: block j is
-released at floor(j A / a_i) and due at ceil((j + 1) A / a_i). At each slot the released block with
-the earliest deadline is served. Shares are whole slots, so the schedule repeats after a cycle:
-one cycle is folded once, over at most a few thousand slots, and every block of every source takes
-its slot by arithmetic, however many blocks there are.
+A source of weight w among weights of sum W owns a window for each of its blocks: block j is released
+at floor(j W / w) and due at ceil((j + 1) W / w). At each slot the released block with the earliest
+deadline is served. Weights are taken as the exact fractions that they are, so no rounding adds up,
+and windows are whole numbers of any size. The order is folded over blocks, not over rows: the driver
+holds a row per source, and the plan is written range by range, with the blocks served of each source
+carried over from the range before.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import numbered, seal
-from sitesift.session import write_and_read
+from sitesift.session import shared_folder
 
 BLOCK_ROWS = 16
-CYCLE = 1000
 EXPONENT = 0.5
-MAX_SOURCES = 256
+PLAN_ROWS = 1 << 18  # blocks of a range, which the driver holds at once
 
 
 def source_key(source: Column) -> Column:
@@ -31,110 +37,97 @@ def tempered_weights(documents: DataFrame, exponent: float = EXPONENT) -> DataFr
     return documents.groupBy("source").agg(F.pow(F.count(F.lit(1)), F.lit(exponent)).alias("weight"))
 
 
-def source_slots(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """(key, slots, cycle): whole slots per cycle of each source, one at least.
-
-    Weights that are null or not positive count as the smallest share. Repeated sources add up.
-    The cycle is the sum of the slots; shares are exact within half a slot of CYCLE.
-    """
-    total = weights.agg(F.sum(F.greatest("weight", F.lit(0.0)))).scalar()
-    slots = F.greatest(
-        F.lit(1), F.coalesce(F.round(F.greatest(F.sum("weight"), F.lit(0.0)) / total * cycle), F.lit(1))
+def source_blocks(keys: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
+    """(key, weight, blocks) of each source in ``keys``, a row per document; no weight is null."""
+    given = weights.groupBy(source_key(F.col("source")).alias("key")).agg(F.sum("weight").alias("weight"))
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("long")
+    return keys.groupBy("key").agg(blocks.alias("blocks")).join(given, "key", "left").select(
+        "key", "weight", "blocks"
     )
-    shares = weights.groupBy(source_key(F.col("source")).alias("key")).agg(slots.cast("int").alias("slots"))
-    return shares.withColumn("cycle", shares.agg(F.sum("slots")).scalar().cast("int"))
 
 
-def cycle_schedule(shares: DataFrame) -> DataFrame:
-    """(key, turn, release, deadline, slot) of each block of one cycle, earliest deadline first.
+def exact_weights(weights: list[float | None]) -> list[int]:
+    """Whole numbers in the exact proportion of the weights.
 
-    A fold over the slots in a single expression; its state is the blocks served of each source.
-    The table has one row per slot: about CYCLE, and at most CYCLE + MAX_SOURCES.
+    Weights that are missing or not positive count as the smallest of the others.
     """
-    one = shares.agg(
-        F.sort_array(F.collect_list(F.struct("key", "slots"))).alias("sources"),
-        F.max("cycle").alias("cycle"),
-    ).where(F.size("sources") > 0)
-    # the sums are at most (CYCLE + MAX_SOURCES) squared
-    return one.selectExpr(
-        """aggregate(
-             sequence(0, cycle - 1),
-             named_struct('served', transform(sources, s -> 0),
-                          'plan', cast(array() as array<struct<release: int, deadline: int, source: int, turn: int>>)),
-             (state, slot) -> transform(array(
-               array_min(filter(
-                 transform(sources, (s, i) -> named_struct(
-                   'deadline', cast(ceil((state.served[i] + 1) * cycle / s.slots) as int),
-                   'source', i,
-                   'release', cast(floor(state.served[i] * cycle / s.slots) as int),
-                   'turn', state.served[i],
-                   'left', s.slots - state.served[i])),
-                 b -> b.release <= slot and b.left > 0))),
-               next -> named_struct(
-                 'served', transform(state.served, (n, i) -> n + if(i = next.source, 1, 0)),
-                 'plan', concat(state.plan, array(named_struct(
-                    'release', next.release, 'deadline', next.deadline,
-                    'source', next.source, 'turn', next.turn)))))[0]
-           ).plan as plan""",
-        "sources",
-    ).selectExpr("sources", "posexplode(plan) as (slot, b)").selectExpr(
-        "sources[b.source].key as key", "b.turn as turn", "b.release as release",
-        "b.deadline as deadline", "slot",
-    )
+    given = [w for w in weights if w is not None and math.isfinite(w) and w > 0]
+    least = min(given, default=1.0)
+    parts = [Fraction(w if w is not None and math.isfinite(w) and w > 0 else least) for w in weights]
+    scale = math.lcm(*(p.denominator for p in parts))
+    return [int(p * scale) for p in parts]
+
+
+def earliest_deadline_first(weights: list[int], blocks: list[int]):
+    """(source, block, release, deadline, slot) of every block in the order of the slots."""
+    total = sum(weights)
+    waiting = [(0, i) for i, n in enumerate(blocks) if n]
+    served, ready, slot = [0] * len(blocks), [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(served[i] + 1) * total // weights[i]), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        yield i, served[i], release, deadline, slot
+        served[i] += 1
+        if served[i] < blocks[i]:
+            heapq.heappush(waiting, (served[i] * total // weights[i], i))
+        slot += 1
+
+
+PLAN = "_key string, block long, release long, deadline long, slot long"
+
+
+def write_plan(sources: DataFrame, range_rows: int = PLAN_ROWS) -> DataFrame:
+    """(_key, block, release, deadline, slot) of each block of (key, weight, blocks) rows, written by ranges."""
+    spark = sources.sparkSession
+    path = shared_folder(spark, "schedule")
+    rows = sorted(tuple(r) for r in sources.toLocalIterator())
+    entries = earliest_deadline_first(exact_weights([r[1] for r in rows]), [r[2] for r in rows])
+    more = True
+    while more:
+        held = list(itertools.islice(entries, range_rows))
+        more = len(held) == range_rows
+        columns = list(zip(*held, strict=True)) if held else [()] * 5
+        names = pa.array([rows[i][0] for i in columns[0]], pa.string())
+        numbers = [pa.array(c, pa.int64()) for c in columns[1:]]
+        part = pa.table([names, *numbers], ["_key", "block", "release", "deadline", "slot"])
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+    return spark.read.schema(PLAN).parquet(path)
 
 
 def pfair_mix(
     documents: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
-    cycle: int = CYCLE,
+    cycle: int | None = None,
 ) -> DataFrame:
     """Add block, slot, release, deadline and seq to documents; ``seq`` orders the mixture.
 
     Rows of a source stand in hash order and are cut into blocks. At every slot up to the end of
     the first source that runs out, each source has been served within one block of its share;
-    after that the slots of a source without blocks stay empty and the others keep their relative
-    rates. All rows stay, repeated ones too. A null source is a source; a null text or id hashes as
-    such. Sources without a weight get the smallest share. An empty table stays empty. Columns of
-    the five names are replaced. More than MAX_SOURCES sources are refused: weights are given to
-    corpora, not to hosts.
+    after that every block still lies in its own window, and slots that no block is released for
+    stay empty, so the others keep their relative rates. All rows stay, repeated ones too, and there
+    may be any number of sources. A null source is a source; a null text or id hashes as such.
+    Sources without a positive weight get the smallest weight given; repeated ones add up. An empty
+    table stays empty. Columns of the five names are replaced. Shares are exact without a cycle, so
+    ``cycle`` has no effect.
     """
     added = ("block", "slot", "release", "deadline", "seq")
     rows, at, own = seal(documents, added)
     source = F.col(at["source"])
-    present = rows.select(source_key(source).alias("key")).distinct()
-    if present.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
-    shares = source_slots(tempered_weights(rows.select(source.alias("source"))) if weights is None else weights, cycle)
-    missing = present.join(shares, "key", "left_anti").select("key", F.lit(1).alias("slots"))
-    shares = shares.select("key", "slots").join(present, "key", "left_semi").unionByName(missing)
-    shares = write_and_read(
-        shares.withColumn("cycle", shares.agg(F.sum("slots")).scalar().cast("int")), "shares"
-    )
-    plan = write_and_read(
-        cycle_schedule(shares).join(F.broadcast(shares), "key"), "schedule"
-    )
+    if weights is None:
+        weights = tempered_weights(rows.select(source.alias("source")))
+    plan = write_plan(source_blocks(rows.select(source_key(source).alias("key")), weights, block_rows))
     ranked = numbered(
         rows.withColumns({
             "_key": source_key(source), "_order": F.xxhash64(at["doc_id"], at["text"]),
         }),
         "_key", ["_order", at["doc_id"]], "_n",
     )
-    sizes = F.broadcast(shares.select(F.col("key").alias("_key"), "slots"))
-    block = F.floor(F.col("_n") / block_rows)
-    first = F.col("_round") * F.col("cycle")
     return (
-        ranked.join(sizes, "_key")
-        .withColumns({
-            "block": block, "_round": F.floor(block / F.col("slots")),
-            "turn": F.pmod(block, F.col("slots")).cast("int"),
-        })
-        .drop("slots")
-        .join(F.broadcast(plan.withColumnRenamed("key", "_key").withColumnRenamed("slot", "_slot")
-                          .withColumnRenamed("release", "_release")
-                          .withColumnRenamed("deadline", "_deadline")), ["_key", "turn"])
-        .withColumns({
-            "slot": first + F.col("_slot"), "release": first + F.col("_release"),
-            "deadline": first + F.col("_deadline"),
-            "seq": (first + F.col("_slot")) * block_rows + F.pmod("_n", F.lit(block_rows)),
-        })
+        ranked.withColumn("block", F.floor(F.col("_n") / block_rows))
+        .join(plan, ["_key", "block"])
+        .withColumn("seq", F.col("slot") * block_rows + F.pmod("_n", F.lit(block_rows)))
         .select(*own, *added)
     )
