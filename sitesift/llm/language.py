@@ -5,8 +5,8 @@ four-letter sequences of its documents give an interpolated Kneser-Ney model: th
 uses counts, the lower ones the number of different letters that can stand before a sequence. All
 probabilities are stored beside sorted arrays of sequence hashes. Every counted sequence is kept: a
 large model is cut into blocks by the two middle letters, and a block at a time is in memory. A document gets the language of
-the lowest cross-entropy per letter; one that no model explains better than half way to chance,
-measured from where the training documents of the language end, is rejected.
+the lowest cross-entropy per letter; one that no model explains better than half way to letters
+drawn one by one, measured from where the training documents of the language end, is rejected.
 """
 
 from __future__ import annotations
@@ -254,7 +254,7 @@ def build_model(levels: list[pd.DataFrame], discounts: pd.DataFrame, langs: list
 class LanguageModels:
     langs: list[str]
     blocks: list[Broadcast]  # of a LanguageModel each
-    chance: float  # entropy of letters drawn at random
+    chance: dict[str, float]  # entropy of each language's own letters, drawn one by one
 
     def loaded(self):
         """(number, model) of each block; of several, one at a time is in memory."""
@@ -312,6 +312,17 @@ def level_discounts(levels: list[DataFrame]) -> pd.DataFrame:
     return rows.pivot(index="order", columns="lang", values="discount")
 
 
+def letter_entropies(counts: DataFrame) -> dict[str, float]:
+    """Entropy per letter of each language's letters by their own frequency.
+
+    A letter that is rare in a language, or only in another one, moves it by next to nothing.
+    """
+    letter = counts.groupBy("lang", F.substring("gram", ORDER, 1).alias("letter")).agg(F.sum("n").alias("n"))
+    n, total = F.col("n"), F.sum("n")
+    found = letter.groupBy("lang").agg((F.log(total) - F.sum(n * F.log(n)) / total).alias("entropy"))
+    return {r["lang"]: r["entropy"] for r in found.collect()}  # a row per language
+
+
 def fit_language_models(training: DataFrame, model_cells: int = MODEL_CELLS) -> LanguageModels | None:
     """A model from (lang, text) rows, as broadcast blocks; None without any letter.
 
@@ -333,7 +344,7 @@ def fit_language_models(training: DataFrame, model_cells: int = MODEL_CELLS) ->
     for block in range(blocks):
         high = [_ordered(level.where(middle_block(F.col("gram"), blocks) == block)) for level in levels[-2:]]
         out.append(training.sparkSession.sparkContext.broadcast(build_model([*low, *high], discounts, langs, size)))
-    return LanguageModels(langs, out, math.log(size))
+    return LanguageModels(langs, out, letter_entropies(counts))
 
 
 def _ordered(level: DataFrame) -> pd.DataFrame:
@@ -399,16 +410,20 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds == 0
 
 
-def entropy_limits(scored: DataFrame, chance: float) -> DataFrame:
+def entropy_limits(scored: DataFrame, chance: dict[str, float]) -> DataFrame:
     """(lang_pred, limit) from the rows that were learned from.
 
     The limit lies half way between the entropy that all but a thousandth of a language's training
-    documents stay below, and that of letters drawn at random.
+    documents stay below, and that of the same language's letters drawn one by one. Other languages
+    and their letters have no part in it.
     """
+    of_lang = F.lit(None).cast("double")
+    for lang, value in sorted(chance.items()):
+        of_lang = F.when(F.col("lang_pred") == lang, value).otherwise(of_lang)
     top = F.percentile_approx("entropy", CALIBRATED, 10_000)
     learned = ~F.col("held_out") & (F.col("lang") == F.col("lang_pred"))
-    return scored.where((F.col("n_letters") >= SURE_LETTERS) & learned).groupBy("lang_pred").agg(
-        (top + F.greatest((F.lit(chance) - top) / 2, F.lit(0.0))).alias("limit")
+    return scored.where((F.col("n_letters") >= SURE_LETTERS) & learned).groupBy("lang_pred").agg(top.alias("top")).select(
+        "lang_pred", (F.col("top") + F.greatest((of_lang - F.col("top")) / 2, F.lit(0.0))).alias("limit")
     )
 
 
@@ -426,7 +441,7 @@ def identify_languages(
     """
     rows, model = _learned(documents, folds, model_cells)
     scored = write_and_read(add_scores(rows, model, "text"), "languages")
-    return _judged(scored, entropy_limits(scored, model.chance if model else 0.0))
+    return _judged(scored, entropy_limits(scored, model.chance if model else {}))
 
 
 ADDED = ("held_out", "lang_pred", "score", "entropy", "n_letters", "rejected")
@@ -456,6 +471,6 @@ def keep_identified(documents: DataFrame, folds: int = 5, model_cells: int = MOD
     named = sealed.withColumnsRenamed({at[c]: c for c in ("doc_id", "text", "lang")})
     rows, model = _learned(named, folds, model_cells)
     narrow = add_scores(rows.select("held_out", "lang", "text"), model, "text").drop("text")
-    limits = entropy_limits(write_and_read(narrow, "entropies"), model.chance if model else 0.0)
+    limits = entropy_limits(write_and_read(narrow, "entropies"), model.chance if model else {})
     kept = _judged(add_scores(rows, model, "text"), limits).where(~F.col("rejected"))
     return kept.withColumnsRenamed({c: at[c] for c in ("doc_id", "text", "lang")}).select(*own)
