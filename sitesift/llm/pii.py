@@ -192,7 +192,7 @@ def labelled_runs(documents: DataFrame, rows: int = LABELLED_RUNS) -> list[tuple
     """The labelled table: distinct runs, half of them with a base span, first in hash order."""
     table = documents.where(F.rlike("text", F.lit("[0-9@]"))).select("text").mapInArrow(
         _labelled, "words array<string>, marks array<int>"
-    ).withColumn("marked", F.array_max("marks") > 0)
+    ).distinct().withColumn("marked", F.array_max("marks") > 0)
     out = []
     for marked in (True, False):
         part = (
