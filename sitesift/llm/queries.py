@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitesift.llm import chat
+from sitesift.llm.bpe_chunks import decode_documents, encode_documents
 from sitesift.llm.chat import format_conversations
 from sitesift.llm.decontaminate import find_leaks
 from sitesift.llm.host_rules import HOST_LIMIT, LEAST_WORDS, MEASURES, REPEAT_PERCENT, host_rules
@@ -16,8 +19,10 @@ from sitesift.llm.kd_shards import kd_shards
 from sitesift.llm.language import identify_languages
 from sitesift.llm.pfair import pfair_mix
 from sitesift.llm.pii import KINDS, find_personal_data, spans_text
+from sitesift.llm.prefix_trie import prefix_trie
 from sitesift.llm.quality import quality_scores
 from sitesift.llm.simhash import simhash_components
+from sitesift.llm.spelling import LEAST_COUNT, LEAST_LENGTH, document_words, spelling_variants
 from sitesift.llm.warc import archive_pages
 
 SHARDS = 40
@@ -118,6 +123,31 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@F.arrow_udf(StringType())
+def _ids_digest(ids: pa.Array) -> pa.Array:
+    at, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+    return pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)])
+
+
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_prefix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(document_words(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -170,6 +200,55 @@ SELECT conv_id, count(*) AS n_turns,
 FROM l GROUP BY conv_id
 """
 
+def crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit."""
+    return f"""xor(4294967295, list_reduce(flatten(list_transform({codes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT))"""
+
+
+_DIGITS = "list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql(_DIGITS)} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = base AND t.pos < h
+  UNION ALL SELECT c.conv_id, t.pos + 10, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, length(text) AS chars, sha256(length(role) || ':' || role || text) AS said FROM b),
+p AS (SELECT conv_id, d, chars, list(said) OVER (PARTITION BY conv_id ORDER BY d) AS way FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+n AS (SELECT way, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY way, d),
+m AS (SELECT p.conv_id AS member, p.d, n.conv_id AS node FROM p JOIN n USING (way, d)),
+e AS (SELECT node, m.d, sha256(string_agg(member::VARCHAR, ',' ORDER BY member)) AS ends_sha256
+  FROM m JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) l ON l.conv_id = member AND l.d = m.d GROUP BY node, m.d),
+q AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.member = n.conv_id AND m.d = n.d - 1),
+k AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM q WHERE d > 0 GROUP BY parent, d),
+x AS (SELECT q.*, coalesce(n_children, 0) AS n_children FROM q LEFT JOIN k ON k.parent = q.conv_id AND k.d = q.d),
+s AS (SELECT m.node, m.d, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM x JOIN m ON m.member = x.conv_id AND m.d <= x.d GROUP BY m.node, m.d)
+SELECT x.conv_id, x.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM x JOIN s ON s.node = x.conv_id AND s.d = x.d LEFT JOIN e ON e.node = x.conv_id AND e.d = x.d
+"""
+
+_BYTES = """flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda s:
+      CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [192 + unicode(s) // 64, 128 + unicode(s) % 64] END))"""
+OP13_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, c, {crc32_sql(_BYTES)} AS h FROM (SELECT doc_id, run, count(*) AS c FROM r GROUP BY doc_id, run)),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM h GROUP BY word),
+k AS (SELECT * FROM w WHERE length(word) >= {LEAST_LENGTH} AND n >= {LEAST_COUNT}),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM k)),
+o AS (SELECT d.word, k.word AS other FROM d JOIN k ON k.word = d.rest),
+e AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, other FROM o UNION SELECT other, word FROM o),
+b AS (SELECT e.word, count(*) AS n_near, max(k.n) AS most, arg_min(other, (-k.n, other)) AS best FROM e JOIN k ON k.word = e.other GROUP BY e.word),
+f AS (SELECT k.word, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * k.n THEN best END AS form, CASE WHEN most >= 2 * k.n THEN most END AS form_n
+  FROM k LEFT JOIN b ON b.word = k.word),
+walk AS (SELECT word, word AS root, form FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.form)
+SELECT f.word, f.form, walk.root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND walk.form IS NULL
+"""
+
 QUERIES = {
     "op1_warc_normalise": op1_warc_normalise,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -181,6 +260,9 @@ QUERIES = {
     "op8_chat_round_trip": op8_chat_round_trip,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_subword_quality": op10_subword_quality,
+    "op11_chunked_bpe": op11_chunked_bpe,
+    "op12_prefix_rollup": op12_prefix_rollup,
+    "op13_spelling_pairs": op13_spelling_pairs,
     "pipeline": pipeline,
 }
 
@@ -188,4 +270,6 @@ ORACLES = {
     "op1_warc_normalise": OP1_SQL.strip(),
     "op6_host_rules": OP6_SQL.strip(),
     "op8_chat_round_trip": OP8_SQL.strip(),
+    "op12_prefix_rollup": OP12_SQL.strip(),
+    "op13_spelling_pairs": OP13_SQL.strip(),
 }
