@@ -11,12 +11,12 @@ one of the right chunk's own pieces ends: from there on both splits are the same
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +27,20 @@ MEAN_CHUNK = 512  # a cut falls on one of so many places
 LEAST_CHUNK = 128
 MOST_CHUNK = 4096  # a longer stretch without a cut is cut here
 PIECE = 1 << 20  # code points hashed at once
-LOOK = 12  # bytes behind the start of a piece that can decide where it ends besides its own run
-HEAD = 64  # bytes of the right chunk first encoded again
+LOOK = 4  # code points from the start of a piece that can decide where it ends, besides its own run
+HEAD = 12  # pieces of the right chunk first split again
+KNOWN_CHARS = 1 << 23  # pieces remembered in a worker
+# The split of the byte-level tokenizer, and characters of which every version of
+# Unicode in use says the same.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ALIKE = regex.compile("[\x00-\u052f\u2000-\u206f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 BATCH_CHARS = 1 << 22
 CHUNKS = "row long, doc_id long, seq long, special int, chunk string"
 ENCODED = "row long, doc_id long, seq long, special int, ids binary, starts binary"
 
 
 class Vocabulary:
-    """The tokenizer, the bytes of each id, and its special strings."""
+    """The tokenizer, the bytes of each id, its special strings, and the ids of pieces seen lately."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,12 +61,14 @@ class Vocabulary:
         plain = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), 256)]
         moved = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
+        self.names = {b: c for c, b in byte_of.items()}  # how the merges write bytes
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes_of = [bytes(byte_of[c] for c in name) for name in names]
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.ids_type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         longest = sorted(self.special, key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
+        self.known: dict[str, bytes] = {}
+        self.known_chars = 0
 
     def segments(self, text: str) -> Iterator[tuple[int, str]]:
         """(id of the special string before it or -1, text) of the parts between special strings."""
@@ -70,19 +77,37 @@ class Vocabulary:
         for mark, part in zip(parts[1::2], parts[2::2], strict=True):
             yield self.special[mark], part
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, which of them start a piece) of each text."""
-        out = []
-        for found in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            ids = np.array(found.ids, self.ids_type)
-            words = np.array(found.word_ids, np.int64)
-            starts = np.ones(len(ids), bool)
-            starts[1:] = words[1:] != words[:-1]
-            out.append((ids, starts))
-        return out
-
-    def text_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def pieces(self, text: str) -> list[str]:
+        """The tokenizer's split of a text; by its pattern where both classify the characters alike."""
+        if text.isascii() or ALIKE.fullmatch(text):
+            return SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes; those not known yet are encoded."""
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            if self.known_chars > KNOWN_CHARS:
+                self.known, self.known_chars = {}, 0
+            for piece in set(pieces):
+                if piece not in self.known:
+                    named = piece.encode().decode("latin-1").translate(self.names)
+                    ids = [token.id for token in self.tokenizer.model.tokenize(named)]
+                    self.known[piece] = np.array(ids, self.ids_type).tobytes()
+                    self.known_chars += len(piece) + 16
+            found = list(map(self.known.__getitem__, pieces))
+        return found
+
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """(ids, bits that say which of them start a piece) of a text."""
+        parts = self.ids_of(self.pieces(text))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // self.ids_type.itemsize
+        starts = np.zeros(int(counts.sum()), bool)
+        starts[np.cumsum(counts) - counts] = True
+        return b"".join(parts), np.packbits(starts).tobytes()
+
+    def text_of(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()
 
 
 @lru_cache(maxsize=2)
@@ -93,17 +118,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 def candidates(codes: np.ndarray) -> np.ndarray:
     """Ends of the windows whose hash calls for a cut behind them."""
-    factors = mixed_multipliers(WINDOW, 11)
+    factors = mixed_multipliers(WINDOW, 11).astype(np.uint32)  # odd
     found = []
     for low in range(0, max(len(codes) - WINDOW + 1, 0), PIECE):
-        part = codes[low: low + PIECE + WINDOW - 1].astype(np.uint64)
+        part = codes[low: low + PIECE + WINDOW - 1]
         count = len(part) - WINDOW + 1
-        mixed = np.zeros(count, np.uint64)
+        mixed = np.zeros(count, np.uint32)
         for place in range(WINDOW):
             mixed += part[place: place + count] * factors[place]
-        mixed ^= mixed >> np.uint64(31)
+        mixed ^= mixed >> np.uint32(15)
         mixed *= factors[0]
-        found.append(np.flatnonzero(mixed < np.uint64((1 << 64) // MEAN_CHUNK)) + low + WINDOW)
+        found.append(np.flatnonzero(mixed < np.uint32((1 << 32) // MEAN_CHUNK)) + low + WINDOW)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -159,20 +184,14 @@ def _encoded(path: str):
         for batch in batches:
             texts = batch.column("chunk").dictionary_encode()
             distinct = texts.dictionary.to_pylist()
-            fresh = [t for t in distinct if t not in last]
-            found = {
-                text: (ids.tobytes(), np.packbits(starts).tobytes())
-                for text, (ids, starts) in zip(fresh, words.encode(fresh), strict=True)
-            }
-            both = [last.get(t) or found[t] for t in distinct]
+            both = [last.get(t) or words.encode(t) for t in distinct]
             at = texts.indices
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(4)), *(pa.array([b[i] for b in both], pa.binary()).take(at) for i in (0, 1))],
                 ["row", "doc_id", "seq", "special", "ids", "starts"],
             )
             if distinct:
-                text = batch.column("chunk")[-1].as_py()
-                last = {text: last.get(text) or found[text]}
+                last = {distinct[at[-1].as_py()]: both[at[-1].as_py()]}
 
     return encode
 
@@ -182,63 +201,74 @@ class Joiner:
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        self.out: list[np.ndarray] = []
-        self.pending = b""  # the last pieces, whose end depends on what follows
-        self.own: np.ndarray | None = None  # their ids if nothing follows, where known
-        self.wait = 0  # bytes to gather before the next try
-
-    def push(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        if not len(ids):
+        self.out: list[bytes] = []
+        self.pending = ""  # the last pieces, whose end depends on what follows
+        self.own: bytes | None = None  # their ids if nothing follows, where known
+        self.wait = 0  # code points to gather before the next try
+
+    def push(self, ids: bytes, starts: bytes) -> None:
+        """Adds a chunk: its ids, and bits that say which of them start a piece."""
+        if not ids:
             return
+        step = self.words.ids_type.itemsize
+        tokens = np.frombuffer(ids, self.words.ids_type)
         if self.wait > 0:
-            added = self.words.text_bytes(ids)
+            added = self.words.text_of(tokens.tolist())
             self.pending, self.own, self.wait = self.pending + added, None, self.wait - len(added)
             return
-        begins = np.concatenate([[0], np.cumsum(self.words.lengths[ids])])
-        first = self._agree(ids, starts, begins) if self.pending else 0
+        whole = np.flatnonzero(np.unpackbits(np.frombuffer(starts, np.uint8), count=len(tokens)))
+        first = self._agree(tokens, whole) if self.pending else 0
         if first is None:
             return
-        whole = np.flatnonzero(starts)
-        settled = whole[begins[whole] + LOOK <= begins[-1]]
-        last = max(first, int(settled[-1]) if len(settled) else 0)
-        self.out.append(ids[first:last])
-        self.own = ids[last:]
-        self.pending = self.words.text_bytes(self.own)
-
-    def _agree(self, ids: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> int | None:
+        last, tail = len(whole), ""  # back to a piece with LOOK code points from its start
+        while last > 0 and whole[last - 1] >= first and len(tail) < LOOK:
+            high = whole[last] if last < len(whole) else len(tokens)
+            last -= 1
+            tail = self.words.text_of(tokens[whole[last]: high].tolist()) + tail
+        cut = step * (int(whole[last]) if last < len(whole) else len(tokens))
+        self.out.append(ids[step * first: cut])
+        self.pending, self.own = tail, ids[cut:]
+
+    def _agree(self, tokens: np.ndarray, whole: np.ndarray) -> int | None:
         """The token of the right chunk from which its own ids hold, or None if there is none."""
-        whole = np.append(np.flatnonzero(starts), len(ids))
-        own, old, reach = begins[whole], len(self.pending), HEAD
+        old, reach = len(self.pending), HEAD
         while True:
-            upto = whole[min(int(np.searchsorted(own, reach)), len(whole) - 1)]
-            again, piece = self.words.encode([(self.pending + self.words.text_bytes(ids[:upto])).decode()])[0]
-            ends = np.concatenate([[0], np.cumsum(self.words.lengths[again])])
-            heads = np.flatnonzero(piece)  # a piece ends where the next one starts
-            sure = heads[1:][ends[heads[:-1]] + LOOK <= ends[-1]]
-            same = sure[np.isin(ends[sure] - old, own)]
-            if len(same):
-                self.out.append(again[: same[0]])
-                return int(np.searchsorted(begins, ends[same[0]] - old))
-            if upto == len(ids):
-                done = int(sure[-1]) if len(sure) else 0
-                self.out.append(again[:done])
-                self.pending = self.words.text_bytes(again[done:])
+            bounds = [*whole[: reach + 1].tolist(), len(tokens)][: reach + 1]
+            heads = [self.words.text_of(tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+            own, at = {}, old
+            for bound, head in zip(bounds, [*heads, ""], strict=True):
+                own[at] = bound
+                at += len(head)
+            again = self.words.pieces(self.pending + "".join(heads))
+            begin, sure = 0, 0  # ``sure`` pieces end where they would whatever follows
+            for piece in again:
+                end = begin + len(piece)
+                if begin + LOOK > at or end == at:
+                    break
+                sure += 1
+                if end in own:
+                    self.out += self.words.ids_of(again[:sure])
+                    return own[end]
+                begin = end
+            if bounds[-1] == len(tokens):
+                self.out += self.words.ids_of(again[:sure])
+                self.pending = "".join(again[sure:])
                 self.own, self.wait = None, len(self.pending)
                 return None
             reach *= 2
 
     def end_segment(self) -> None:
         if self.pending:
-            self.out.append(self.own if self.own is not None else self.words.encode([self.pending.decode()])[0][0])
-        self.pending, self.own, self.wait = b"", None, 0
+            self.out += [self.own] if self.own is not None else self.words.ids_of(self.words.pieces(self.pending))
+        self.pending, self.own, self.wait = "", None, 0
 
     def special(self, number: int) -> None:
         self.end_segment()
-        self.out.append(np.array([number], self.words.ids_type))
+        self.out.append(np.array([number], self.words.ids_type).tobytes())
 
     def finish(self) -> np.ndarray:
         self.end_segment()
-        return np.concatenate([np.zeros(0, np.int32), *(part.astype(np.int32) for part in self.out)])
+        return np.frombuffer(b"".join(self.out), self.words.ids_type).astype(np.int32)
 
 
 def _joined(path: str):
@@ -271,9 +301,7 @@ def _joined(path: str):
                     current, doc, joiner = row, number, Joiner(words)
                 if special >= 0:
                     joiner.special(special)
-                tokens = np.frombuffer(ids, words.ids_type)
-                marks = np.unpackbits(np.frombuffer(starts, np.uint8), count=len(tokens)).astype(bool)
-                joiner.push(tokens, marks)
+                joiner.push(ids, starts)
         if joiner:
             done.append((doc, joiner.finish()))
             yield out()
@@ -302,7 +330,9 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     )
 
 
-def _decoded(path: str):
+def decoder(path: str):
+    """A function for mapInArrow over (doc_id, ids) that adds ``decoded``, the text of the ids."""
+
     def decode(batches):
         words = vocabulary(path)
         for batch in batches:
@@ -316,4 +346,4 @@ def _decoded(path: str):
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the text of the ids."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(decoder(path), "doc_id long, ids array<int>, decoded string")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from sitesift.llm import chat
-from sitesift.llm.bpe_chunks import decode_documents, encode_documents
+from sitesift.llm import bpe_chunks, chat
 from sitesift.llm.chat import format_conversations
 from sitesift.llm.decontaminate import find_leaks
 from sitesift.llm.host_rules import HOST_LIMIT, LEAST_WORDS, MEASURES, REPEAT_PERCENT, host_rules
@@ -123,21 +122,27 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@F.arrow_udf(StringType())
-def _ids_digest(ids: pa.Array) -> pa.Array:
-    at, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-    return pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)])
+def _digests(path: str):
+    def digest(batches):
+        for batch in bpe_chunks.decoder(path)(batches):
+            ids = batch.column("ids")
+            at, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.diff(at), pa.int64()),
+                pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()]),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
 
 
 def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_digest("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    encoded = bpe_chunks.encode_documents(table(spark, sf_dir, "documents"), path)
+    # The decoder and the digests in one pass, so that a task keeps one worker less.
+    return encoded.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op12_prefix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, row string, seq int, chunk string
 EXTRA = ("xx", "row", 1, "chunk", "ids", "word", "n")
 PARTS = [
     " ", "  ", "\n", "\n\n", "\t", "\r\n", "'re", "'r", "'", "'s", "it's", "we'll", " a", "the", " weather", "ß", "é",
-    "日本語", "🙂", "123", " 42", "...", "<|endoftext|>", "<|endof", "text|>", "   x", " ", "　", "0", "_", " -",
+    "日本語", "🙂", "123", " 42", "...", "<|endoftext|>", "<|endof", "text|>", "   x", " ", "　", "0", "_", " -", "\u0558", "\x1c", "\x85", "\u1680",
 ]
 
 
@@ -42,7 +42,7 @@ def joined(text, places):
         ends = [p for p in places if p < len(segment)] + [len(segment)]
         for low, high in zip([0, *ends], ends):
             if high > low:
-                joiner.push(*words.encode([segment[low:high]])[0])
+                joiner.push(*words.encode(segment[low:high]))
     return joiner.finish().tolist()
 
 
@@ -57,6 +57,16 @@ def test_joins_agree_with_the_library():
         assert joined(text, list(range(7, len(text), 13))) == expected_ids(text)
 
 
+def test_split_is_the_library_s():
+    """Every character that the pattern is used for is classified as the library does."""
+    words = vocabulary(PATH)
+    alike = [c for c in map(chr, range(0x10000)) if bpe_chunks.ALIKE.fullmatch(c)]
+    assert len(alike) > 30_000
+    for low in range(0, len(alike), 2000):
+        text = "".join(f"a{c}1{c}-{c} {c}!" for c in alike[low: low + 2000])
+        assert words.pieces(text) == [text[a:b] for _, (a, b) in words.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
 def test_cuts_depend_on_content():
     rng = random.Random(8)
     text = "".join(rng.choices("abcdefg hij", k=40_000))
