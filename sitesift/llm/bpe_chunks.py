@@ -1,15 +1,17 @@
 """Byte-pair ids of whole texts: content-defined chunks are encoded once, their joins repaired.
 
 A rolling hash over the code points cuts every text, so equal passages give equal chunks wherever
-they stand. Chunks are dealt by their hash, each distinct one is encoded once, and every document
-takes the ids of its chunks in order. The tokenizer splits a text into pieces from left to right and
-never merges across them. Where two chunks meet, the last pieces of the left one are encoded again
-together with the first pieces of the right one, over more and more of it, until a piece ends where
-one of the right chunk's own pieces ends: from there on both splits are the same.
+they stand. Documents are dealt by the smallest hash of their chunks, which brings copies and near
+copies together; a task encodes a chunk once and reuses its ids in every document that holds it.
+The tokenizer splits a text into pieces from left to right and never merges across them. Blanks and
+line ends behind a mark start a piece in every split, wherever it began, so the ids of a chunk hold
+between its first and its last such place. What lies between two chunks is encoded again, from the
+last place of the left one up to the first of the right one, over more chunks while there is none.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,48 +30,46 @@ MEAN_CHUNK = 512  # a cut falls on one of so many places
 LEAST_CHUNK = 128
 MOST_CHUNK = 4096  # a longer stretch without a cut is cut here
 PIECE = 1 << 20  # code points hashed at once
-LOOK = 4  # code points from the start of a piece that can decide where it ends, besides its own run
-HEAD = 12  # pieces of the right chunk first split again
-KNOWN_CHARS = 1 << 23  # pieces remembered in a worker
-# The split of the byte-level tokenizer, and characters of which every version of
-# Unicode in use says the same.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ALIKE = regex.compile("[\x00-\u052f\u2000-\u206f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+KNOWN_CHARS = 1 << 23  # chunks remembered in a task
 BATCH_CHARS = 1 << 22
-CHUNKS = "row long, doc_id long, seq long, special int, chunk string"
-ENCODED = "row long, doc_id long, seq long, special int, ids binary, starts binary"
+DEALT = "doc_id long, text string, ends array<int>, deal long"
+# Fixed value: the split of byte-level byte-pair vocabularies.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A blank or line end behind a character that no version of Unicode counts as white space.
+SURE = regex.compile("(?<=[!-~¡-ԯ‐-‧‰-⁞、-ゖァ-ヺ一-龥가-힣！-～])[ \n]")
 
 
 class Vocabulary:
-    """The tokenizer, the bytes of each id, its special strings, and the ids of pieces seen lately."""
+    """A byte-level vocabulary file, its special strings, and an encoder of the text between them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
-        from tokenizers.decoders import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as handle:
+            stated = json.load(handle)
         self.special = {}
-        for number, token in self.tokenizer.get_added_tokens_decoder().items():
-            if token.lstrip or token.rstrip or token.single_word or token.normalized:
-                raise ValueError(f"added token {token.content!r} takes part in the text around it")
-            self.special[token.content] = number
-        if not isinstance(self.tokenizer.decoder, ByteLevel) or self.tokenizer.normalizer is not None:
-            raise ValueError("only byte-level vocabularies without a normalizer are exact here")
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        plain = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), 256)]
-        moved = [b for b in range(256) if b not in plain]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
-        self.names = {b: c for c, b in byte_of.items()}  # how the merges write bytes
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.bytes_of = [bytes(byte_of[c] for c in name) for name in names]
-        self.ids_type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        for token in stated["added_tokens"]:
+            if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"]:
+                raise ValueError(f"added token {token['content']!r} takes part in the text around it")
+            self.special[token["content"]] = token["id"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in stated["model"]["merges"]]
+        names = {n: i for n, i in stated["model"]["vocab"].items() if n not in self.special}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if (
+            stated["normalizer"] is not None or not plain.items() <= stated["pre_tokenizer"].items()
+            or any(names[m.replace(" ", "")] != 256 + i for i, m in enumerate(merges)) or len(names) != 256 + len(merges)
+        ):
+            raise ValueError("only plain byte-level vocabularies numbered in the order of their merges are exact here")
+        shown = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), 256)]
+        byte_of = {chr(b): b for b in shown}
+        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte_of[c] for c in name): number for name, number in names.items()}
+        self.encoder = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
-        self.known: dict[str, bytes] = {}
-        self.known_chars = 0
 
     def segments(self, text: str) -> Iterator[tuple[int, str]]:
         """(id of the special string before it or -1, text) of the parts between special strings."""
@@ -77,42 +78,13 @@ class Vocabulary:
         for mark, part in zip(parts[1::2], parts[2::2], strict=True):
             yield self.special[mark], part
 
-    def pieces(self, text: str) -> list[str]:
-        """The tokenizer's split of a text; by its pattern where both classify the characters alike."""
-        if text.isascii() or ALIKE.fullmatch(text):
-            return SPLIT.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, as bytes; those not known yet are encoded."""
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            if self.known_chars > KNOWN_CHARS:
-                self.known, self.known_chars = {}, 0
-            for piece in set(pieces):
-                if piece not in self.known:
-                    named = piece.encode().decode("latin-1").translate(self.names)
-                    ids = [token.id for token in self.tokenizer.model.tokenize(named)]
-                    self.known[piece] = np.array(ids, self.ids_type).tobytes()
-                    self.known_chars += len(piece) + 16
-            found = list(map(self.known.__getitem__, pieces))
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids, bits that say which of them start a piece) of a text."""
-        parts = self.ids_of(self.pieces(text))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // self.ids_type.itemsize
-        starts = np.zeros(int(counts.sum()), bool)
-        starts[np.cumsum(counts) - counts] = True
-        return b"".join(parts), np.packbits(starts).tobytes()
-
-    def text_of(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode_ordinary(text), np.int32)
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary per worker process; its threads are not used, Spark has the cores."""
+    """One vocabulary per worker process."""
     return Vocabulary(path)
 
 
@@ -145,168 +117,98 @@ def cuts(text: str) -> list[int]:
     return out
 
 
-def _chunked(path: str):
-    def chunk(batches):
-        words = vocabulary(path)
-        rows: list[tuple] = []
-        held = 0
+def _chunked(batches):
+    """(doc_id, text, ends of its chunks, the smallest hash of a chunk)."""
+    for batch in batches:
+        texts = pa.array([t or "" for t in batch.column("text").to_pylist()], pa.string())
+        ends, deals = [], []
+        for text in texts.to_pylist():
+            places = cuts(text)
+            ends.append(places)
+            deals.append(min((xxhash.xxh64_intdigest(text[a:b]) for a, b in zip([0, *places], places, strict=False)), default=0))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), texts, pa.array(ends, pa.list_(pa.int32())), pa.array(np.array(deals, np.uint64).view(np.int64))],
+            ["doc_id", "text", "ends", "deal"],
+        )
 
-        def out():
-            columns = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                ["row", "doc_id", "seq", "special", "chunk"],
-            )
 
-        for batch in batches:
-            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seq = 0
-                for mark, segment in words.segments(text or ""):
-                    low = 0
-                    for high in cuts(segment) or [0]:
-                        rows.append((row, doc, seq, mark if low == 0 else -1, segment[low: high]))
-                        held += high - low + 40
-                        seq, low = seq + 1, high
-                        if held > BATCH_CHARS:
-                            yield out()
-                            rows, held = [], 0
-        if rows:
-            yield out()
+class Encoder:
+    """Ids of texts given in chunks. Chunks between special strings are remembered."""
 
-    return chunk
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        self.known: dict[str, tuple[int, int, np.ndarray] | None] = {}
+        self.known_chars = 0
+        self.encoded = 0
+
+    def chunk(self, text: str) -> tuple[int, int, np.ndarray] | None:
+        """(first, last, ids): the sure places of a chunk and the ids between them; None without two."""
+        if text not in self.known:
+            if self.known_chars > KNOWN_CHARS:
+                self.known, self.known_chars = {}, 0
+            first = SURE.search(text)
+            last = max(text.rfind(" "), text.rfind("\n"))
+            while last > 0 and not SURE.match(text, last):
+                last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
+            between = first is not None and last > first.start()
+            self.known[text] = (first.start(), last, self.words.ids(text[first.start(): last])) if between else None
+            self.known_chars += len(text) + 64
+            self.encoded += 1
+        return self.known[text]
+
+    def segment(self, chunks: list[str]) -> Iterator[np.ndarray]:
+        """Ids of a text without special strings, cut into ``chunks``."""
+        open_text: list[str] = []
+        for text in chunks:
+            found = self.chunk(text)
+            if found is None:
+                open_text.append(text)
+                continue
+            first, last, ids = found
+            yield self.words.ids("".join(open_text) + text[:first])
+            yield ids
+            open_text = [text[last:]]
+        yield self.words.ids("".join(open_text))
+
+    def document(self, text: str, ends: list[int]) -> np.ndarray:
+        """Ids of a whole text. Special strings cut it too, whatever chunks they lie in."""
+        parts = [np.zeros(0, np.int32)]
+        start = 0
+        for mark, segment in self.words.segments(text):
+            if mark >= 0:
+                parts.append(np.array([mark], np.int32))
+                start += len(self.words.tokenizer.id_to_token(mark))
+            inside = [e for e in ends if start < e < start + len(segment)] if segment is not text else ends[:-1]
+            places = [start, *inside, start + len(segment)]
+            parts.extend(self.segment([text[a:b] for a, b in zip(places, places[1:], strict=False)]))
+            start += len(segment)
+        return np.concatenate(parts)
 
 
 def _encoded(path: str):
     def encode(batches):
-        words = vocabulary(path)
-        last: dict[str, tuple[bytes, bytes]] = {}
-        for batch in batches:
-            texts = batch.column("chunk").dictionary_encode()
-            distinct = texts.dictionary.to_pylist()
-            both = [last.get(t) or words.encode(t) for t in distinct]
-            at = texts.indices
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), *(pa.array([b[i] for b in both], pa.binary()).take(at) for i in (0, 1))],
-                ["row", "doc_id", "seq", "special", "ids", "starts"],
-            )
-            if distinct:
-                last = {distinct[at[-1].as_py()]: both[at[-1].as_py()]}
-
-    return encode
-
-
-class Joiner:
-    """The ids of one text from the ids of its chunks, given in order."""
-
-    def __init__(self, words: Vocabulary):
-        self.words = words
-        self.out: list[bytes] = []
-        self.pending = ""  # the last pieces, whose end depends on what follows
-        self.own: bytes | None = None  # their ids if nothing follows, where known
-        self.wait = 0  # code points to gather before the next try
-
-    def push(self, ids: bytes, starts: bytes) -> None:
-        """Adds a chunk: its ids, and bits that say which of them start a piece."""
-        if not ids:
-            return
-        step = self.words.ids_type.itemsize
-        tokens = np.frombuffer(ids, self.words.ids_type)
-        if self.wait > 0:
-            added = self.words.text_of(tokens.tolist())
-            self.pending, self.own, self.wait = self.pending + added, None, self.wait - len(added)
-            return
-        whole = np.flatnonzero(np.unpackbits(np.frombuffer(starts, np.uint8), count=len(tokens)))
-        first = self._agree(tokens, whole) if self.pending else 0
-        if first is None:
-            return
-        last, tail = len(whole), ""  # back to a piece with LOOK code points from its start
-        while last > 0 and whole[last - 1] >= first and len(tail) < LOOK:
-            high = whole[last] if last < len(whole) else len(tokens)
-            last -= 1
-            tail = self.words.text_of(tokens[whole[last]: high].tolist()) + tail
-        cut = step * (int(whole[last]) if last < len(whole) else len(tokens))
-        self.out.append(ids[step * first: cut])
-        self.pending, self.own = tail, ids[cut:]
-
-    def _agree(self, tokens: np.ndarray, whole: np.ndarray) -> int | None:
-        """The token of the right chunk from which its own ids hold, or None if there is none."""
-        old, reach = len(self.pending), HEAD
-        while True:
-            bounds = [*whole[: reach + 1].tolist(), len(tokens)][: reach + 1]
-            heads = [self.words.text_of(tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
-            own, at = {}, old
-            for bound, head in zip(bounds, [*heads, ""], strict=True):
-                own[at] = bound
-                at += len(head)
-            again = self.words.pieces(self.pending + "".join(heads))
-            begin, sure = 0, 0  # ``sure`` pieces end where they would whatever follows
-            for piece in again:
-                end = begin + len(piece)
-                if begin + LOOK > at or end == at:
-                    break
-                sure += 1
-                if end in own:
-                    self.out += self.words.ids_of(again[:sure])
-                    return own[end]
-                begin = end
-            if bounds[-1] == len(tokens):
-                self.out += self.words.ids_of(again[:sure])
-                self.pending = "".join(again[sure:])
-                self.own, self.wait = None, len(self.pending)
-                return None
-            reach *= 2
-
-    def end_segment(self) -> None:
-        if self.pending:
-            self.out += [self.own] if self.own is not None else self.words.ids_of(self.words.pieces(self.pending))
-        self.pending, self.own, self.wait = "", None, 0
-
-    def special(self, number: int) -> None:
-        self.end_segment()
-        self.out.append(np.array([number], self.words.ids_type).tobytes())
-
-    def finish(self) -> np.ndarray:
-        self.end_segment()
-        return np.frombuffer(b"".join(self.out), self.words.ids_type).astype(np.int32)
-
-
-def _joined(path: str):
-    def join(batches):
-        words = vocabulary(path)
-        current, doc, joiner = None, None, None
-        done: list[tuple] = []
-        held = 0
+        encoder = Encoder(vocabulary(path))
+        docs, found, held = [], [], 0
 
         def out():
-            ids = [d[1] for d in done]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids), pa.int32())
+            offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int32)
+            values = pa.array(np.concatenate(found), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([d[0] for d in done], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                ["doc_id", "ids"],
+                [pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"]
             )
 
         for batch in batches:
-            for row, number, special, ids, starts in zip(
-                *(batch.column(c).to_pylist() for c in ("row", "doc_id", "special", "ids", "starts")), strict=True
-            ):
-                if row != current:
-                    if joiner:
-                        done.append((doc, joiner.finish()))
-                        held += len(done[-1][1]) + 10
-                        if held > BATCH_CHARS // 4:
-                            yield out()
-                            done, held = [], 0
-                    current, doc, joiner = row, number, Joiner(words)
-                if special >= 0:
-                    joiner.special(special)
-                joiner.push(ids, starts)
-        if joiner:
-            done.append((doc, joiner.finish()))
+            for doc, text, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ends")), strict=True):
+                docs.append(doc)
+                found.append(encoder.document(text, ends))
+                held += len(found[-1]) + 10
+                if held > BATCH_CHARS // 4:
+                    yield out()
+                    docs, found, held = [], [], 0
+        if docs:
             yield out()
 
-    return join
+    return encode
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
@@ -315,19 +217,14 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     ``path`` names a byte-level vocabulary file that every executor sees. Special strings in a text
     are their one id and end the pieces around them. A null or empty text has no ids; repeated rows
     and null doc_ids are rows of their own; other columns are not read; an empty table gives no rows.
-    Chunks are dealt by their hash, and partitions grown large by one chunk are split by AQE's
-    rebalancing, so that a passage found everywhere is encoded once in each split. A document's ids
-    are held by one task, as its text is.
+    Texts move once, to where their smallest chunk hash sends them. Partitions grown large by one
+    group of copies are split by AQE's rebalancing, so such a group is encoded once in each part; a
+    chunk of documents with different smallest hashes is encoded once in each of their tasks. A
+    document is held by one task, as its row is.
     """
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
-    chunks = rows.mapInArrow(_chunked(path), CHUNKS).withColumn("digest", F.xxhash64("chunk"))
-    dealt = chunks.hint("rebalance", F.col("digest")).sortWithinPartitions("digest").drop("digest")
-    encoded = dealt.mapInArrow(_encoded(path), ENCODED)
-    return encoded.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(
-        _joined(path), "doc_id long, ids array<int>"
-    )
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = rows.mapInArrow(_chunked, DEALT).hint("rebalance", F.col("deal")).sortWithinPartitions("deal")
+    return dealt.mapInArrow(_encoded(path), "doc_id long, ids array<int>")
 
 
 def decoder(path: str):

@@ -12,7 +12,7 @@ import pytest
 
 import public_tokenizers
 from sitesift.llm import bpe_chunks, prefix_trie, spelling
-from sitesift.llm.bpe_chunks import Joiner, cuts, decode_documents, encode_documents, vocabulary
+from sitesift.llm.bpe_chunks import Encoder, cuts, decode_documents, encode_documents, vocabulary
 from sitesift.llm.spelling import border_steps, document_words, roots, spelling_variants, trie_nodes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,21 +34,12 @@ def expected_ids(text):
 
 def joined(text, places):
     """Ids through the chunks between ``places``."""
-    words = vocabulary(PATH)
-    joiner = Joiner(words)
-    for mark, segment in words.segments(text):
-        if mark >= 0:
-            joiner.special(mark)
-        ends = [p for p in places if p < len(segment)] + [len(segment)]
-        for low, high in zip([0, *ends], ends):
-            if high > low:
-                joiner.push(*words.encode(segment[low:high]))
-    return joiner.finish().tolist()
+    return Encoder(vocabulary(PATH)).document(text, [*(p for p in places if p < len(text)), len(text)]).tolist()
 
 
 def test_joins_agree_with_the_library():
     rng = random.Random(3)
-    for _ in range(1500):
+    for _ in range(2500):
         text = "".join(rng.choices(PARTS, k=rng.randint(1, 60)))
         places = sorted(rng.sample(range(1, len(text) + 1), min(len(text), rng.randint(1, 12))))
         assert joined(text, places) == expected_ids(text), (text, places)
@@ -57,14 +48,20 @@ def test_joins_agree_with_the_library():
         assert joined(text, list(range(7, len(text), 13))) == expected_ids(text)
 
 
-def test_split_is_the_library_s():
-    """Every character that the pattern is used for is classified as the library does."""
+def test_encoder_classifies_characters_as_the_library():
     words = vocabulary(PATH)
-    alike = [c for c in map(chr, range(0x10000)) if bpe_chunks.ALIKE.fullmatch(c)]
-    assert len(alike) > 30_000
-    for low in range(0, len(alike), 2000):
-        text = "".join(f"a{c}1{c}-{c} {c}!" for c in alike[low: low + 2000])
-        assert words.pieces(text) == [text[a:b] for _, (a, b) in words.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 7 == 0 or c > 0xF900)]
+    for low in range(0, len(points), 500):
+        text = "".join(f"a{chr(c)}1{chr(c)}-{chr(c)} {chr(c)}!\n" for c in points[low: low + 500])
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_are_encoded_once():
+    encoder = Encoder(vocabulary(PATH))
+    text = "".join(random.Random(6).choices("abcde fgh\n", k=20_000))
+    for _ in range(5):
+        encoder.document(text, cuts(text))
+    assert encoder.encoded == len(set(cuts(text)))
 
 
 def test_cuts_depend_on_content():
