@@ -2,9 +2,10 @@
 
 Every document is a point in a space of metadata (language, source, log size, id). A node that must
 become k leaves is cut along the dimension in which its box is widest, at the point that has
-floor(k/2)/k of its bytes on the left. The cut is found for all nodes of a level at once, as four
-digits of a 32-bit position, each from a histogram of at most 256 sums per node; ties in the
-dimension are ordered by a hash, so one source with a third of all rows is cut like any other.
+floor(k/2)/k of its bytes on the left. The cut is found for all nodes of a level at once, as digits
+of a position, each from a histogram of at most 256 sums per node; ties in the dimension are ordered
+by a hash of the row's content, so one source with a third of all rows is cut like any other, and
+where equal rows still weigh much, two more digits order them by their number in the table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from sitesift.llm.common import numbered, numbered_as_written, seal
 from sitesift.session import write_and_read
 
 DIMENSIONS = 4
-DIGITS = (24, 16, 8, 0)  # bit offsets of the digits of a 32-bit position
+DIGITS = (40, 32, 24, 16, 8, 0)  # bit offsets of the digits of a 48-bit position
+ROW_DIGITS = 16  # below, positions tell apart rows that are equal in everything
+FINE = 1024  # and are looked at where equal rows weigh more than such a part of a cut's bytes
 ROW_BYTES = 16  # each row's size beside its text
 
 
@@ -41,13 +44,14 @@ def with_points(rows: DataFrame, at: dict[str, str]) -> DataFrame:
             F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(0)),
         ),
         "_tie": F.xxhash64(at["doc_id"], "text_crc32", "size").bitwiseAND(F.lit(0xFFFF)),
+        "_row": F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFF)),
     })
 
 
 def position(low: Column, high: Column, dimension: Column) -> Column:
-    """Place within a node's box, 16 bits along its widest dimension and 16 bits of hash."""
+    """Place within a node's box, 16 bits along its widest dimension, 16 of content, 16 of row number."""
     share = (F.get("_c", dimension) - low) / F.greatest(high - low, F.lit(1))
-    return F.floor(share * 65535).cast("long") * 65536 + F.col("_tie")
+    return (F.floor(share * 65535).cast("long") * 65536 + F.col("_tie")) * 65536 + F.col("_row")
 
 
 def lookup(numbers: list, kind: str) -> Column:
@@ -136,9 +140,15 @@ def _cuts(points: DataFrame, reached: Column, tree: Tree, goals: dict[int, float
     prefix, before, goal = [-1] * size, [0.0] * size, [goals.get(n, 0.0) for n in range(size)]
     for n in goals:
         prefix[n] = 0
-    cuts = {}
+    cuts, weight = {}, dict(goals)
     node = F.col("node")
     for shift in DIGITS:
+        if shift < ROW_DIGITS:
+            for n in goals:
+                if weight[n] * FINE <= goals[n]:
+                    prefix[n] = -1  # the cut stands
+            if max(prefix) < 0:
+                break
         upto = F.get(lookup(before, "double"), node) + F.sum("bytes").over(
             Window.partitionBy("node").orderBy("_digit")
         )
@@ -154,8 +164,8 @@ def _cuts(points: DataFrame, reached: Column, tree: Tree, goals: dict[int, float
         )
         for r in chosen:
             n, over = r["node"], r["_upto"] - goal[r["node"]]
-            prefix[n], before[n] = r["_digit"], r["_upto"] - r["bytes"]
-            cuts[n] = r["_digit"] + (over <= goal[n] - before[n])
+            prefix[n], before[n], weight[n] = r["_digit"], r["_upto"] - r["bytes"], r["bytes"]
+            cuts[n] = (r["_digit"] + (over <= goal[n] - before[n])) << shift
     return cuts
 
 
@@ -190,7 +200,8 @@ def kd_shards(
     Give the number of shards, or the bytes that a leaf may reach, from which the number follows.
     Shards are numbered from 0 in tree order; slots from 0 without gaps. A null text counts as
     empty; null languages, sources and ids lie at 0 of their dimension. Repeated rows are rows of
-    their own. With fewer rows than shards some shards stay empty; an empty table stays empty.
+    their own and are parted by their number in the table, so ``documents`` must be a table that reads
+    in the same order every time, as a file or a written table does. With fewer rows than shards some shards stay empty; an empty table stays empty.
     Columns of these four names are replaced; the tree is bounded by one row per shard.
 
     Slots follow a hash of the rows or, with ``as_written``, the order in which ``documents`` was
@@ -202,7 +213,7 @@ def kd_shards(
     rows, at, own = seal(documents, added)
     own = own[:-2] if as_written else own
     full = with_points(rows, at)
-    points = write_and_read(full.select("_c", "_tie", "size"), "points")
+    points = write_and_read(full.select("_c", "_tie", "_row", "size"), "points")
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
@@ -211,5 +222,5 @@ def kd_shards(
     if as_written:
         out = numbered_as_written(placed, "shard", at["_written_file"], at["_written_row"], "slot")
     else:
-        out = numbered(placed, "shard", ["_tie", at["doc_id"], "text_crc32"], "slot")
+        out = numbered(placed, "shard", ["_tie", "_row", at["doc_id"], "text_crc32"], "slot")
     return out.select(*own, "size", "text_crc32", "shard", "slot")

@@ -35,6 +35,7 @@ RATE = 0.5
 RIDGE = 1e-3
 
 MARKED_WORD = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+DECODED_WORDS = 1 << 18  # words decoded side by side
 NEAR = 48  # characters looked at for the word beside a run
 EDGE = " \t\n.,;:!?\"'[]{}<>|*#%&$"
 
@@ -54,7 +55,8 @@ def digits_of(text: str) -> str:
 def holds(kind: str, found: str) -> bool:
     """Whether a match of the kind's pattern counts."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") for p in found.split(".")]  # a part may have any number of zeros
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     if kind == "card":
         digits = digits_of(found)
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -232,11 +234,16 @@ def padded(sequences: list[np.ndarray], width: int, fill: float = 0.0) -> np.nda
 
 
 def viterbi(emissions: list[np.ndarray], steps: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Best labels of each sequence; sequences of a batch advance together, those that end stop."""
+    """Best labels of each sequence; sequences of a batch advance together, those that end stop.
+
+    A batch, filled up to its longest sequence, has at most DECODED_WORDS words, or one sequence.
+    """
     order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
     out: list[np.ndarray] = [np.empty(0, int)] * len(emissions)
-    for low in range(0, len(order), 512):
-        part = order[low: low + 512]
+    low = 0
+    while low < len(order):
+        part = order[low: low + max(1, min(512, DECODED_WORDS // max(1, len(emissions[order[low]]))))]
+        low += len(part)
         lengths = np.array([len(emissions[i]) for i in part])
         scores = padded([emissions[i] for i in part], len(first))
         best = first + scores[:, 0]
