@@ -22,6 +22,7 @@ from sitesift.plans.catalog.registry import query
 from sitesift.plans.catalog.url_queries import url_features_sql
 from sitesift.plans.training import combined_training
 from sitesift.session import shared_folder
+from sitesift.sources import archives as Z
 from sitesift.sources import tables as T
 
 
@@ -232,34 +233,83 @@ def _(spark, sf):
 
 # --- archives ----------------------------------------------------------------------------
 
-# Members made from pages: sites share short URLs, some lack a member, some metadata is broken.
-MEMBER_SQL = """sites AS (SELECT page_id, starts_with(url, 'http:')::INT AS label, 's' || lpad(page_id::VARCHAR, 9, '0') AS site, url, html, regexp_extract(url, '^[a-z]+://[^/]*') || '/home/' AS short FROM pages),
-meta AS (SELECT *, CASE WHEN label = 0 THEN CASE WHEN contains(url, '/es/') THEN '  ' ELSE short END WHEN contains(url, '/fr/') THEN '{''url'': }'
-  ELSE '{''url'': ''' || short || ''', ''family_id'': ' || CASE WHEN contains(url, '/de/') THEN 'None' ELSE length(url)::VARCHAR END || ', ''brand'': ''b'', ''isotime'': ''t''}' END AS metadata FROM sites),
+# Members made from pages: some sites repeat a page under a URL with another fragment, some lack a
+# member, some metadata is broken.
+MEMBER_SQL = f"""made AS (SELECT page_id, 's' || lpad(page_id::VARCHAR, 9, '0') AS site, url, html FROM pages
+  UNION ALL SELECT page_id, 'z' || lpad(page_id::VARCHAR, 9, '0'), url || CASE WHEN contains(url, '#') THEN 'b' ELSE '#again' END, html FROM pages WHERE page_id % 5 = 0),
+{canonical_sql('made', 'site', 'cs')},
+sites AS (SELECT made.*, starts_with(url, 'http:')::INT AS label, canonical FROM made JOIN (SELECT site, canonical FROM cs) USING (site)),
+meta AS (SELECT *, CASE WHEN label = 0 THEN CASE WHEN contains(url, '/es/') THEN '  ' ELSE url END WHEN contains(url, '/fr/') THEN '{{''url'': }}'
+  ELSE '{{''url'': ''' || url || ''', ''family_id'': ' || CASE WHEN contains(url, '/de/') THEN 'None' ELSE length(url)::VARCHAR END || ', ''brand'': ''b'', ''isotime'': ''t''}}' END AS metadata FROM sites),
 st0 AS (SELECT page_id, label, site, NOT ends_with(url, '#top') AS has_info, NOT contains(url, 'utm_source') AS has_html, metadata, html, CASE WHEN label = 1 AND contains(url, '/fr/') THEN 'invalid_metadata'
-   WHEN label = 0 AND contains(url, '/es/') THEN 'invalid_url' END AS bad, short, CASE WHEN label = 1 AND NOT contains(url, '/de/') THEN length(url)::VARCHAR ELSE '' END AS family FROM meta),
+   WHEN label = 0 AND contains(url, '/es/') THEN 'invalid_url' END AS bad, url, canonical, CASE WHEN label = 1 AND NOT contains(url, '/de/') THEN length(url)::VARCHAR ELSE '' END AS family FROM meta),
 st1 AS (SELECT *, CASE WHEN NOT (has_info AND has_html) THEN 'incomplete' ELSE bad END AS state FROM st0),
-status AS (SELECT *, CASE WHEN state IS NOT NULL THEN state WHEN row_number() OVER (PARTITION BY label, state, short ORDER BY site) = 1 THEN 'accepted' ELSE 'duplicate_url' END AS status FROM st1)"""
+status AS (SELECT *, CASE WHEN state IS NOT NULL THEN state WHEN row_number() OVER (PARTITION BY label, state, canonical ORDER BY site) = 1 THEN 'accepted' ELSE 'duplicate_url' END AS status FROM st1)"""
 
 
-def member_rows(spark, sf):
-    """(label, site, basename, length, metadata) from pages."""
+def site_members(spark, sf):
+    """(label, site, basename, content) from pages."""
     url = F.col("url")
+
+    def site(letter):
+        return F.concat(F.lit(letter), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("site")
+
+    again = F.concat(url, F.when(F.contains(url, F.lit("#")), "b").otherwise("#again")).alias("url")
+    sites = pages(spark, sf).select("html", F.explode(F.array_compact(F.array(
+        F.struct(site("s"), url), F.when(F.pmod("page_id", F.lit(5)) == 0, F.struct(site("z"), again))
+    ))).alias("s")).select("s.site", "s.url", "html")
     label = F.startswith(url, F.lit("http:")).cast("int")
-    short = F.concat(F.regexp_extract(url, "^[a-z]+://[^/]*", 0), F.lit("/home/"))
     family = F.when(F.contains(url, F.lit("/de/")), "None").otherwise(F.length(url).cast("string"))
-    literal = F.concat(F.lit("{'url': '"), short, F.lit("', 'family_id': "), family, F.lit(", 'brand': 'b', 'isotime': 't'}"))
-    metadata = F.when(label == 0, F.when(F.contains(url, F.lit("/es/")), "  ").otherwise(short)).otherwise(
+    literal = F.concat(F.lit("{'url': '"), url, F.lit("', 'family_id': "), family, F.lit(", 'brand': 'b', 'isotime': 't'}"))
+    metadata = F.when(label == 0, F.when(F.contains(url, F.lit("/es/")), "  ").otherwise(url)).otherwise(
         F.when(F.contains(url, F.lit("/fr/")), "{'url': }").otherwise(literal)
     )
+
+    def member(name, content):
+        return F.struct(F.lit(name).alias("basename"), content.alias("content"))
+
     members = F.array_compact(F.array(
-        F.when(~F.endswith(url, F.lit("#top")), F.struct(F.lit("info.txt").alias("basename"), F.length(metadata).alias("length"), metadata.alias("metadata"))),
-        F.when(~F.contains(url, F.lit("utm_source")), F.struct(F.lit("html.txt").alias("basename"), F.length("html").alias("length"), F.lit(None).cast("string").alias("metadata"))),
-        F.struct(F.lit("shot.png").alias("basename"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("metadata")),
+        F.when(~F.endswith(url, F.lit("#top")), member("info.txt", metadata)),
+        F.when(~F.contains(url, F.lit("utm_source")), member("html.txt", F.col("html"))),
+        member("shot.png", F.lit("")),
     ))
-    return pages(spark, sf).select(
-        label.alias("label"), F.concat(F.lit("s"), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("site"), F.explode(members).alias("m")
-    ).select("label", "site", "m.*")
+    return sites.select(label.alias("label"), "site", F.explode(members).alias("m")).select("label", "site", "m.*")
+
+
+def member_rows(spark, sf):
+    """(label, site, basename, length, metadata) from pages."""
+    info = F.when(F.col("basename") == "info.txt", F.col("content"))
+    return site_members(spark, sf).select("label", "site", "basename", F.length("content").alias("length"), info.alias("metadata"))
+
+
+def written_archives(spark, sf):
+    """The members of all pages, written as archives; returns the folders of both classes."""
+    folder = shared_folder(spark, "archives")
+    Z.write_site_archives(site_members(spark, sf), folder)
+    return f"{folder}/1", f"{folder}/0"
+
+
+@query("zip_members", f"WITH {MEMBER_SQL}, m AS (SELECT label, site, 'info.txt' AS basename, metadata AS content FROM status WHERE has_info UNION ALL SELECT label, site, 'html.txt', html FROM status WHERE has_html UNION ALL SELECT label, site, 'shot.png', '' FROM status) SELECT label, site, basename, strlen(content) AS length, sha256(content) AS digest FROM m")
+def _(spark, sf):
+    phishing, benign = written_archives(spark, sf)
+    names = "info.txt,html.txt,shot.png"
+    members = Z.read_members(spark, phishing, 1, names).unionByName(Z.read_members(spark, benign, 0, names))
+    return members.select("label", "site", "basename", "length", F.sha2("content", 256).alias("digest"))
+
+
+@query("scan_site_archives", f"""WITH RECURSIVE {MEMBER_SQL}, {TITLE_SQL.replace('FROM rich', 'FROM pages')}, ok AS (SELECT * FROM status WHERE status = 'accepted'), {host_sql('ok', 'site')},
+g AS (SELECT ok.*, domain FROM ok JOIN (SELECT site, domain FROM hosts) USING (site)),
+e AS (SELECT DISTINCT 'domain:' || domain AS d, CASE WHEN family = '' THEN 'domain:' || domain ELSE 'family:' || family END AS f FROM g),
+dd AS (SELECT DISTINCT a.d AS x, b.d AS y FROM e a JOIN e b USING (f)),
+reach(x, y) AS (SELECT x, y FROM dd UNION SELECT r.x, dd.y FROM reach r JOIN dd ON dd.x = r.y),
+root AS (SELECT x, min(y) AS "group" FROM reach GROUP BY x)
+SELECT site AS source_member, label, url, sha256(canonical) AS sample_id, title, domain AS registrable_domain, family AS source_family_id, "group", length(url)::DOUBLE AS dom_url_length
+FROM g JOIN titles USING (page_id) JOIN root ON root.x = 'domain:' || domain""")
+def _(spark, sf):
+    records, _ = Z.load_site_archives(spark, *written_archives(spark, sf))
+    return records.select(
+        "source_member", "label", "url", "sample_id", "title", "registrable_domain", "source_family_id", "group", "dom_url_length"
+    )
 
 
 @query("pair_members", f"WITH {MEMBER_SQL} SELECT label, site, CASE WHEN has_info THEN length(metadata) END AS info_length, CASE WHEN has_html THEN length(html) END AS html_length FROM status")
@@ -279,7 +329,7 @@ def _(spark, sf):
     return sides.where(F.col("user_length").isNotNull() & F.col("assistant_length").isNotNull())
 
 
-@query("metadata_parse", f"WITH {MEMBER_SQL} SELECT site, bad IS NULL OR bad <> 'invalid_metadata' AS ok, CASE WHEN bad IS NULL THEN short ELSE '' END AS url, CASE WHEN bad IS NULL THEN family ELSE '' END AS source_family_id FROM status WHERE has_info")
+@query("metadata_parse", f"WITH {MEMBER_SQL} SELECT site, bad IS NULL OR bad <> 'invalid_metadata' AS ok, CASE WHEN bad IS NULL THEN url ELSE '' END AS url, CASE WHEN bad IS NULL THEN family ELSE '' END AS source_family_id FROM status WHERE has_info")
 def _(spark, sf):
     info = member_rows(spark, sf).where(F.col("basename") == "info.txt")
     parsed = info.withColumn("m", A.metadata_parse(F.col("label"), F.col("metadata")))
@@ -323,11 +373,19 @@ def _(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
-@query("top_member_names", """WITH c AS (SELECT (url LIKE 'http:%')::INT AS label, n.n AS basename, count(*) AS files FROM pages, (VALUES ('info.txt'), ('html.txt'), ('shot.png')) n(n)
-  WHERE (n = 'info.txt' AND NOT ends_with(url, '#top')) OR (n = 'html.txt' AND NOT contains(url, 'utm_source')) OR n = 'shot.png' GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY files DESC, basename) AS rank FROM c) SELECT label, basename, files, rank::INT AS rank FROM r WHERE rank <= 2""")
+@query("top_member_names", f"""WITH {MEMBER_SQL}, m AS (SELECT label, 'info.txt' AS basename FROM status WHERE has_info UNION ALL SELECT label, 'html.txt' FROM status WHERE has_html UNION ALL SELECT label, 'shot.png' FROM status
+  UNION ALL SELECT label, regexp_extract(url, '^[a-z]+://([^/]*)', 1) || '.txt' FROM status),
+c AS (SELECT label, basename, count(*) AS files FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY files DESC, basename) AS rank FROM c)
+SELECT label, basename, files, rank::INT AS rank FROM r WHERE rank <= 10""")
 def _(spark, sf):
-    return A.top_member_names(member_rows(spark, sf), 2)
+    # A fourth member is named after the page's host, so there are more names than the report shows.
+    members = site_members(spark, sf).select("label", "site", "basename")
+    twice = pages(spark, sf).select("url", F.explode(F.array_repeat(F.lit(1), F.when(F.pmod("page_id", F.lit(5)) == 0, 2).otherwise(1))))
+    hosts = twice.select(
+        F.startswith("url", F.lit("http:")).cast("int").alias("label"), F.lit("h").alias("site"),
+        F.concat(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1), F.lit(".txt")).alias("basename"),
+    )
+    return A.top_member_names(members.unionByName(hosts), 10)
 
 
 # --- sinks read back ---------------------------------------------------------------------

@@ -133,16 +133,50 @@ def _(spark, sf):
     return tabs.stream_stale_results(events, shared_folder(spark, "offsets"), shared_folder(spark, "stale"))
 
 
-@query("train_stream")
+TRAINING = StreamConfig(source="pages")
+FOLDERS = 3  # the stream's files arrive in so many folders, one after the other
+
+
+def training_run(spark, sf):
+    """Pages arrive folder by folder, by page number; the trainer stops and resumes between them."""
+    folder, state = shared_folder(spark, "arriving"), shared_folder(spark, "training")
+    pages, result = table(spark, sf, "pages").select("page_id", "url", "html"), None
+    for k in range(FOLDERS):
+        pages.where(F.pmod("page_id", F.lit(FOLDERS)) == k).write.parquet(f"{folder}/{k}")
+        arrived = rich_html(S.stream_pages(spark, f"{folder}/*", PAGE_SCHEMA))
+        result = train_stream(S.stream_records(raw_from(arrived)), state, TRAINING, resume=k > 0)
+    return state, result
+
+
+def _training_sql(config: StreamConfig) -> str:
+    """The trainer's rule in SQL: a state table per pass of each batch."""
+    steps = ["s0 AS (SELECT 0 AS idx, 0.0::DOUBLE AS weight, 0.0::DOUBLE AS accum WHERE false)"]
+    for k in range(FOLDERS):
+        for _ in range(config.passes):
+            i = len(steps)
+            steps.append(f"""l{i} AS MATERIALIZED (SELECT page_id, label, sum(coalesce(weight, 0) * value) AS logit FROM x LEFT JOIN s{i - 1} USING (idx) WHERE page_id % {FOLDERS} = {k} GROUP BY page_id, label),
+g{i} AS MATERIALIZED (SELECT idx, sum(value * (1 / (1 + exp(-logit)) - l{i}.label)) / (SELECT count(*) FROM l{i}) AS g FROM x JOIN l{i} USING (page_id) GROUP BY idx),
+d{i} AS (SELECT coalesce(s.idx, g.idx) AS idx, coalesce(weight, 0) AS weight, coalesce(accum, 0) AS accum, coalesce(g, 0) + CASE WHEN coalesce(s.idx, g.idx) = -1 THEN 0 ELSE {config.alpha} * coalesce(weight, 0) END AS g
+  FROM s{i - 1} s FULL JOIN g{i} g ON s.idx = g.idx),
+s{i} AS MATERIALIZED (SELECT idx, weight - {config.step} * g / (sqrt(accum + g * g) + 1e-8) AS weight, accum + g * g AS accum FROM d{i})""")
+    last = len(steps) - 1
+    return f"""WITH {VECTOR_SQL}, raw AS (SELECT page_id, CASE WHEN ends_with(url, '#top') OR contains(url, 'utm_source') THEN NULL WHEN starts_with(url, 'http:') THEN 1 ELSE 0 END AS label FROM rich),
+x AS MATERIALIZED (SELECT page_id, label, idx, value::FLOAT::DOUBLE AS value FROM vec JOIN raw USING (page_id) WHERE label IS NOT NULL
+  UNION ALL SELECT page_id, label, -1, 1.0 FROM raw WHERE label IS NOT NULL),
+{", ".join(steps)}
+SELECT idx::INT AS idx, CASE WHEN abs(weight) < 0.00005 THEN 0 ELSE round(weight::FLOAT::DOUBLE, 4) END AS weight, round((SELECT weight FROM s{last} WHERE idx = -1), 6) AS intercept FROM s{last} WHERE idx >= 0 AND weight::FLOAT <> 0"""
+
+
+@query("train_stream", _training_sql(TRAINING))
 def _(spark, sf):
-    state = shared_folder(spark, "training")
-    weights, intercept = train_stream(record_stream(spark, sf), state, StreamConfig(source="pages"))
-    return weights.where(F.col("weight") != 0).withColumn("intercept", F.lit(intercept))
+    _, (weights, intercept) = training_run(spark, sf)
+    shown = F.when(F.abs("weight") < 0.00005, 0.0).otherwise(F.round(F.col("weight").cast("double"), 4))
+    return weights.where(F.col("weight") != 0).select(
+        "idx", shown.alias("weight"), F.round(F.lit(intercept), 6).alias("intercept")
+    )
 
 
 @query("stream_training_counts", f"WITH {_COUNTERS} SELECT kind, reason, n FROM counters")
 def _(spark, sf):
-    state = shared_folder(spark, "training")
-    train_stream(record_stream(spark, sf), state, StreamConfig(passes=1, source="pages"))
+    state, _ = training_run(spark, sf)
     return read_counts(spark, state)
-

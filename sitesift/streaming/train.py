@@ -2,8 +2,9 @@
 
 State after batch N is a table in ``state_dir``: weights (idx, weight, accum) and counters. A batch
 reads the state of N - 1 and writes that of N, so a replayed batch gives the same result, and the
-stream's own checkpoint resumes at the right row. The gradient is a grouped sum over the batch's
-vector entries; the weights table has at most 262,183 rows, so it is broadcast.
+stream's own checkpoint resumes at the right row. A task sums the gradient of its rows in place and
+hands on one number per touched weight; these partial sums are merged by index. Rows need no id, and
+no entry of a vector is shuffled. A model has at most 262,183 weights (2 MB), which every task holds.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.constants import HASH_DIM, NUMERIC_FEATURES
 from sitesift.operators.records import counter_rows
 from sitesift.operators.validate import accept_record
-from sitesift.operators.vectors import sigmoid, vectorize
+from sitesift.operators.vectors import add_vector_parts
 from sitesift.session import write_and_read
 from sitesift.streaming.pages import drain
 
@@ -79,21 +82,56 @@ def _counts_path(state_dir: str, batch_id: int) -> str:
     return f"{state_dir}/counts/batch_id={batch_id}"
 
 
-def gradient_step(entries: DataFrame, labels: DataFrame, state: DataFrame, rows: int, config: StreamConfig) -> DataFrame:
-    """One full-batch step with per-weight step sizes. ``state`` holds touched weights only."""
-    weights = F.broadcast(state.select("idx", "weight"))
-    logits = (
-        entries.join(weights, "idx", "left").groupBy("row_id")
-        .agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")).alias("logit"))
-    )
-    residuals = logits.join(labels, "row_id").select(
-        "row_id", ((sigmoid(F.col("logit")) - F.col("label")) * F.col("copies") / F.lit(float(rows))).alias("r")
-    )
-    gradient = (
-        entries.join(residuals, "row_id").groupBy("idx").agg(F.sum(F.col("value") * F.col("r")).alias("g"))
-    )
+def state_array(state: DataFrame, width: int) -> np.ndarray:
+    """All weights, the intercept behind them; ``state`` has a row per touched weight."""
+    table = state.select("idx", "weight").toArrow()
+    out = np.zeros(width + 1)
+    out[table["idx"].to_numpy()] = table["weight"].to_numpy()  # the intercept's index is -1
+    return out
+
+
+def partial_gradients(vectors: DataFrame, state: DataFrame, config: StreamConfig) -> DataFrame:
+    """(idx, g): for every task, the sum of value * (probability - label) of its rows per weight.
+
+    ``vectors`` has label, buckets and, with page features, numeric: a row per page.
+    """
+    width, dim = config.width, config.hash_dim
+    shared = vectors.sparkSession.sparkContext.broadcast(state_array(state, width))
+
+    def run(batches):
+        weights, total = shared.value, np.zeros(width + 1)
+        for batch in batches:
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            buckets = batch.column("buckets")
+            rows = np.repeat(np.arange(len(label)), np.diff(buckets.offsets.to_numpy()))
+            at = buckets.flatten().to_numpy()
+            logit = weights[width] + np.bincount(rows, weights=weights[at], minlength=len(label))
+            if width > dim:
+                numeric = batch.column("numeric").flatten().to_numpy(zero_copy_only=False)
+                numeric = numeric.astype(np.float32).astype(np.float64).reshape(len(label), width - dim)
+                logit += numeric @ weights[dim:width]
+            decayed = np.exp(-np.abs(logit))
+            miss = np.where(logit >= 0, 1.0, decayed) / (1.0 + decayed) - label
+            total[:dim] += np.bincount(at, weights=miss[rows], minlength=dim)
+            if width > dim:
+                total[dim:width] += miss @ numeric
+            total[width] += miss.sum()
+        touched = np.flatnonzero(total)
+        index = np.where(touched == width, INTERCEPT, touched).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(total[touched])], ["idx", "g"])
+
+    return vectors.mapInArrow(run, "idx int, g double")
+
+
+def gradient_step(vectors: DataFrame, state: DataFrame, rows: int, config: StreamConfig) -> DataFrame:
+    """One full-batch step with per-weight step sizes. ``state`` holds touched weights only.
+
+    With g the mean gradient plus alpha * weight (not for the intercept) and accum the sum of all
+    g * g so far, a weight moves by -step * g / (sqrt(accum) + 1e-8).
+    """
+    gradient = partial_gradients(vectors, state, config).groupBy("idx").agg(F.sum("g").alias("g"))
     decay = F.when(F.col("idx") == INTERCEPT, 0.0).otherwise(config.alpha * F.coalesce("weight", F.lit(0.0)))
-    g = F.coalesce("g", F.lit(0.0)) + decay
+    g = F.coalesce(F.col("g") / rows, F.lit(0.0)) + decay
     accum = F.coalesce("accum", F.lit(0.0)) + g * g
     return state.join(gradient, "idx", "full_outer").select(
         "idx",
@@ -104,8 +142,11 @@ def gradient_step(entries: DataFrame, labels: DataFrame, state: DataFrame, rows:
 
 def _train_batch(batch: DataFrame, batch_id: int, state_dir: str, config: StreamConfig) -> None:
     spark = batch.sparkSession
-    gated = accept_record(batch)
-    kept = write_and_read(gated, "train-batch")
+    parts = ["buckets", *(["numeric"] if config.include_dom else [])]
+    gated = add_vector_parts(accept_record(batch), config.include_dom, config.hash_dim)
+    kept = write_and_read(
+        gated.select("label", "parse_status", "reject_reason", "drop_reason", *parts), "train-batch"
+    )
     rejected = kept.withColumn("reject_reason", F.col("drop_reason"))
     counts = counter_rows(rejected).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
     if batch_id > 0:
@@ -114,17 +155,11 @@ def _train_batch(batch: DataFrame, batch_id: int, state_dir: str, config: Stream
         counts = counts.unionByName(earlier).groupBy("kind", "reason").agg(F.sum("n").alias("n"))
     else:
         state = spark.createDataFrame([], STATE_SCHEMA)
-    accepted = kept.where(F.col("drop_reason").isNull()).withColumn("row_id", F.xxhash64("sample_id", "url", "title", "label"))
-    rows = accepted.count()
+    vectors = kept.where(F.col("drop_reason").isNull()).select("label", *parts)
+    rows = vectors.count()
     if rows:
-        # Equal rows share an id and are trained on once, weighted by their number of copies.
-        labels = accepted.groupBy("row_id").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("copies"))
-        entries = vectorize(accepted.dropDuplicates(["row_id"]), "row_id", config.include_dom, config.hash_dim)
-        ones = labels.select("row_id", F.lit(INTERCEPT).alias("idx"), F.lit(1.0).cast("float").alias("value"))
-        entries = write_and_read(entries.unionByName(ones), "train-entries")
-        labels = write_and_read(labels, "train-labels")
         for _ in range(config.passes):
-            state = write_and_read(gradient_step(entries, labels, state, rows, config), "train-state")
+            state = write_and_read(gradient_step(vectors, state, rows, config), "train-state")
     state.write.mode("overwrite").parquet(_weights_path(state_dir, batch_id))
     counts.write.mode("overwrite").parquet(_counts_path(state_dir, batch_id))
 

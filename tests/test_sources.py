@@ -78,7 +78,7 @@ def test_archives(spark, tmp_path):
         ("s5/shot.png", "x"), ("s6/info.txt", GOOD % ("one.com/a/", "'None'")), ("s6/html.txt", "x"), ("top.txt", "x"),
     ])
     benign = make_zip(tmp_path / "b.zip", [("g1/info.txt", "https://good.example/\n"), ("g1/html.txt", b"<title>G\xff</title>"), ("g2/html.txt", "x")])
-    records, audit = load_site_archives(spark, phish, benign, entries=3)
+    records, audit = load_site_archives(spark, phish, benign)
     got = {r["source_member"]: r for r in records.collect()}
     assert set(got) == {"s1", "s2", "g1"}
     assert got["s1"]["group"] == got["s2"]["group"] == "domain:one.com" and got["g1"]["group"] == "domain:good.example"
@@ -95,6 +95,32 @@ def test_archives(spark, tmp_path):
     assert (row["scanned_directories"], row["sample_directories"], row["scan_capped"]) == (1, 6, True)
 
 
+def test_archives_in_parts_and_damage(spark, tmp_path, monkeypatch):
+    """A folder of archives, members far apart, stored and deflated; a damaged member fails."""
+    import zlib
+
+    from sitesift.sources import archives as Z
+
+    rows = [(n % 2, f"s{n}", "html.txt", f"<title>{n}</title>" + "x" * n * 100) for n in range(50)]
+    rows += [(n % 2, f"s{n}", "info.txt", f"https://h{n}.example/" if n % 2 == 0 else GOOD % (f"p{n}.example", n)) for n in range(50)]
+    folder = f"file://{tmp_path}/zips"
+    assert Z.write_site_archives(spark.createDataFrame(rows, "label int, site string, basename string, content string").repartition(7), folder) == 100
+    monkeypatch.setattr(Z, "RANGE_BYTES", 64)
+    got = {r["site"]: bytes(r["content"]) for r in read_members(spark, f"{folder}/0", 0, "html.txt").where("content is not null").collect()}
+    assert got == {s: c.encode() for label, s, b, c in rows if label == 0 and b == "html.txt"}
+    records, audit = load_site_archives(spark, f"{folder}/1", f"{folder}/0")
+    assert records.count() == 50 and {r["accepted"] for r in audit.collect()} == {25}
+    path = make_zip(tmp_path / "d.zip", [("s/html.txt", "some text that will be damaged"), ("s/info.txt", "u")])
+    data = bytearray(open(path, "rb").read())
+    at = data.index(b"some text")
+    data[at] ^= 1
+    open(path, "wb").write(data)
+    assert zlib.crc32(bytes(data[at:at + 30])) != zlib.crc32(b"some text that will be damaged")
+    with pytest.raises(Exception, match="damaged member"):
+        read_members(spark, path, 1, "html.txt").count()
+    assert read_members(spark, path, 1, "info.txt").where("content is not null").count() == 1
+
+
 def test_archive_errors(spark, tmp_path):
     one = make_zip(tmp_path / "1.zip", [("s/info.txt", GOOD % ("same.com", "1")), ("s/html.txt", "x")])
     same = make_zip(tmp_path / "2.zip", [("s/info.txt", "https://same.com"), ("s/html.txt", "x")])
@@ -212,6 +238,11 @@ def test_reports_and_manifest(spark, tmp_path):
     assert len(DOM_FEATURES) == 22
 
 
+def test_large_html_member_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="too large"):
+        read_members(spark, make_zip(tmp_path / "i.zip", [("s/html.txt", "x" * (16 * 1024 * 1024 + 1))]), 1).count()
+
+
 def test_nested_html_files_are_found(spark, tmp_path):
     root = tmp_path / "html"
     for name in ("a.html", "site/html/b.html", "rawhtml/c.html"):

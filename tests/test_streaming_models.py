@@ -155,3 +155,38 @@ def test_candidates_and_failures(spark, monkeypatch):
     assert T.best_candidate(report).first()["alpha"] == 1e-4
     both = T.combined_training(toy(spark), toy(spark, 60, 90))
     assert {r["source"] for r in both.select("source").distinct().collect()} == {"first", "second"}
+
+
+def test_gradient_is_that_of_all_rows(spark):
+    """Rows equal but for their page features, and repeated rows, each count; against numpy."""
+    import numpy as np
+
+    from sitesift.constants import NUMERIC_FEATURES
+    from sitesift.operators.vectors import add_vector_parts
+    from sitesift.streaming.train import STATE_SCHEMA, gradient_step
+
+    rows = toy(spark, 0, 12).drop("group")
+    other = rows.limit(4).withColumn("dom_iframe_count", F.lit(7.0))
+    every = rows.unionByName(other).unionByName(rows.limit(3)).unionByName(rows.limit(3)).repartition(5)
+    config = StreamConfig(hash_dim=64, alpha=0.01, passes=1)
+    vectors = add_vector_parts(every, True, 64).select("label", "buckets", "numeric").cache()
+    got = vectors.collect()
+    width = 64 + len(NUMERIC_FEATURES)
+    x = np.zeros((len(got), width + 1))
+    for i, r in enumerate(got):
+        x[i, r["buckets"]] = 1
+        x[i, 64:width] = np.float32(r["numeric"])
+        x[i, width] = 1
+    y = np.array([r["label"] for r in got])
+    w, seen = np.zeros(width + 1), np.zeros(width + 1)
+    state = spark.createDataFrame([], STATE_SCHEMA)
+    for _ in range(3):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(got)
+        g[:width] += 0.01 * w[:width]
+        seen += g * g
+        w = w - 0.5 * g / (np.sqrt(seen) + 1e-8)
+        state = spark.createDataFrame(gradient_step(vectors, state, len(got), config).collect(), STATE_SCHEMA)
+    found = np.zeros(width + 1)
+    for r in state.collect():
+        found[r["idx"]] = r["weight"]
+    assert len(got) == 21 and found == pytest.approx(w, abs=1e-9)
