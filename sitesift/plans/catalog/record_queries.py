@@ -23,6 +23,7 @@ from sitesift.plans.catalog.url_queries import url_features_sql
 from sitesift.plans.training import combined_training
 from sitesift.session import shared_folder
 from sitesift.sources import archives as Z
+from sitesift.sources import files as Y
 from sitesift.sources import tables as T
 
 
@@ -458,7 +459,67 @@ def _(spark, sf):
     return combined_training(first, second)
 
 
-@query("file_manifest")
-def _(spark, sf):
-    return T.file_manifest(spark, sf)
+def html_files(spark, sf):
+    """The HTML of all pages as files by class, but for those with a tracking parameter; the folder."""
+    folder = shared_folder(spark, "html")
+    named = pages(spark, sf).where(~F.contains("url", F.lit("utm_source"))).select(
+        F.concat_ws("/", F.startswith("url", F.lit("http:")).cast("int").cast("string"), F.pmod("page_id", F.lit(16)).cast("string"),
+                    F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("file"), F.col("html").alias("content"),
+    )
+    Y.write_files(named, folder)
+    return folder
+
+
+@query("file_manifest", """WITH f AS (SELECT page_id || '.html' AS file, html, hex(encode(html)) AS h, strlen(html) AS bytes FROM pages WHERE NOT contains(url, 'utm_source')),
+l AS (SELECT file, any_value(bytes) AS bytes, count(*) AS ranges, list(sha256(unhex(substr(h, 8192 * k + 1, 8192))) ORDER BY k) AS leaves
+  FROM (SELECT *, unnest(range(greatest(1, (bytes + 4095) // 4096))) AS k FROM f) GROUP BY file)
+SELECT file, bytes, ranges, CASE WHEN ranges = 1 THEN leaves[1] ELSE sha256(array_to_string(leaves, '')) END AS sha256 FROM l""")
+def _(spark, sf):
+    # Ranges of 4 KB, so that most pages have several.
+    return Y.file_manifest(spark, html_files(spark, sf), leaf_bytes=4096)
+
+
+# Every seventh page stands twice, the second time under another fragment; one row in eleven has no URL.
+_SPLIT_CSV = f"""r AS (SELECT 2 * page_id AS ord, page_id, url, html FROM pages UNION ALL SELECT 2 * page_id + 1, page_id, url || CASE WHEN contains(url, '#') THEN 'b' ELSE '#again' END, html FROM pages WHERE page_id % 7 = 0),
+k AS (SELECT * FROM r WHERE ord % 11 <> 0 AND NOT contains(url, 'utm_source')), {canonical_sql('k', 'ord', 'kc')},
+f AS (SELECT min(ord) AS ord FROM kc GROUP BY canonical), u AS (SELECT k.*, canonical FROM f JOIN k USING (ord) JOIN (SELECT ord, canonical FROM kc) USING (ord))"""
+
+
+def split_csv(spark, sf):
+    """(csv folder, html folder) of all pages, rows in page order."""
+    again = F.concat("url", F.when(F.contains("url", F.lit("#")), "b").otherwise("#again")).alias("url")
+    number = F.col("page_id")
+    rows = pages(spark, sf).select(number, F.explode(F.array_compact(F.array(
+        F.struct((number * 2).alias("ord"), F.col("url")),
+        F.when(F.pmod(number, F.lit(7)) == 0, F.struct((number * 2 + 1).alias("ord"), again)),
+    ))).alias("r")).select("page_id", "r.*")
+    label = F.startswith("url", F.lit("http:")).cast("int")
+    folder = shared_folder(spark, "split-csv")
+    rows.orderBy("ord").select(
+        F.concat_ws("/", F.pmod("page_id", F.lit(16)).cast("string"), F.concat(number.cast("string"), F.when(label == 1, ".html").otherwise(""))).alias("file_name"),
+        F.when(F.pmod("ord", F.lit(11)) != 0, F.col("url")).otherwise(" ").alias("url"), label.alias("label"),
+        F.when(label == 1, "phishing").alias("type"), F.when(F.pmod("page_id", F.lit(3)) == 0, "test").otherwise("train").alias("split"),
+    ).write.option("header", True).csv(folder)
+    return folder, html_files(spark, sf)
+
+
+@query("scan_csv_with_html", f"""WITH {_SPLIT_CSV}, {TITLE_SQL.replace('FROM rich', 'FROM pages')}, {host_sql('u', 'ord')}
+SELECT u.url, title, starts_with(u.url, 'http:')::INT AS label, sha256(canonical) AS sample_id, domain AS "group", length(u.url)::DOUBLE AS dom_url_length,
+  CASE WHEN page_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM u JOIN titles USING (page_id) JOIN (SELECT ord, domain FROM hosts) USING (ord)""")
+def _(spark, sf):
+    csv, html = split_csv(spark, sf)
+    return T.scan_csv_with_html(spark, csv, f"{html}/1", f"{html}/0").select(
+        "url", "title", "label", "sample_id", "group", "dom_url_length", "split"
+    )
 
+
+@query("csv_to_html_join", f"""WITH {_SPLIT_CSV} SELECT count(*) AS matched, sum(strlen(html))::BIGINT AS bytes FROM k""")
+def _(spark, sf):
+    # Names first: what is read are the files of matched rows, byte for byte.
+    csv, html = split_csv(spark, sf)
+    rows = T.read_csv(spark, csv).where(F.trim("url") != "").select(
+        F.concat_ws("/", "label", F.concat(F.regexp_replace("file_name", "[.]html$", ""), F.lit(".html"))).alias("file")
+    )
+    files = Y.list_files(spark, html).select(F.substr("path", F.lit(len(T.qualified(spark, html)) + 2)).alias("file"), "path", "length")
+    read = Y.read_contents(rows.join(files, "file"))
+    return read.agg(F.count(F.lit(1)).alias("matched"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))

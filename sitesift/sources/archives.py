@@ -8,14 +8,12 @@ archive's path may name a file, a folder or a pattern, wherever Spark and pyarro
 
 from __future__ import annotations
 
-import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -29,21 +27,17 @@ from sitesift.operators.groups import connected_groups, label_conflicts
 from sitesift.operators.records import all_features
 from sitesift.operators.validate import oversize_guard
 from sitesift.session import write_and_read
+from sitesift.sources.files import BATCH_BYTES, list_files, opened, reading_tasks
 
 LIMITS = {"info.txt": MAX_METADATA_BYTES, "html.txt": MAX_HTML_BYTES}
 RANGE_BYTES = 16 << 20  # members that start in one such range are fetched by one task
 HEADER, EXTRA = 30, 512  # fixed part of a member's own header, and what is read ahead for its names
-BATCH_BYTES = 8 << 20
 PLACE = ("offset", "stored", "method", "crc")
 DIRECTORY = (
     "path string, site string, basename string, offset long, stored long, method int, crc long, length long"
 )
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-
-
 def _list(batches) -> Iterator[pa.RecordBatch]:
     names = ["path", "site", "basename", "offset", "stored", "method", "crc", "length"]
     types = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2
@@ -70,7 +64,7 @@ def _list(batches) -> Iterator[pa.RecordBatch]:
 
 def list_members(spark: SparkSession, path: str, label: int) -> DataFrame:
     """One row per member of two-part name: its archive, place, sizes, method and checksum."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    files = list_files(spark, path).select("path")
     return files.mapInArrow(_list, DIRECTORY).withColumn("label", F.lit(label))
 
 
@@ -124,7 +118,8 @@ def fetch_members(directory: DataFrame) -> DataFrame:
     """
     near = F.floor(F.col("offset") / RANGE_BYTES)
     kept = [f for f in directory.schema.fields if f.name not in PLACE]
-    return directory.repartition("path", near).sortWithinPartitions("path", "offset").mapInArrow(
+    dealt = directory.repartition(reading_tasks(directory.sparkSession), "path", near)
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(
         _fetch, StructType([*kept, StructField("content", BinaryType())])
     )
 

@@ -23,8 +23,9 @@ from sitesift.operators.validate import (
     prediction_row_checks, require_columns,
 )
 from sitesift.operators.vectors import finite_number
-from sitesift.session import shared_folder
+from sitesift.session import shared_folder, write_and_read
 from sitesift.sources.archives import utf8
+from sitesift.sources.files import file_manifest, list_files, read_contents, relative_to  # noqa: F401
 
 PREDICTION_COLUMNS = ["sample_id", "label", "score", "model", "source_commit"]
 FEATURE_VERSION = "sitesift-features-v1"
@@ -78,7 +79,8 @@ def scan_csv_with_html(
 ) -> DataFrame:
     """Split CSV joined to '<root by label>/<file_name>.html'. Rows without URL or file are skipped.
 
-    ``file_name`` may name nested folders below the root. An invalid URL fails.
+    ``file_name`` may name nested folders below the root. An invalid URL fails. Rows meet the names
+    of the files; only files of rows that are kept are opened, once.
     """
     raw = read_csv(spark, csv_path)
     require_columns(raw, ["file_name", "url", "label"], "split CSV")
@@ -96,12 +98,8 @@ def scan_csv_with_html(
 
     def tree(root: str, label_value: int) -> DataFrame:
         base = qualified(spark, root)
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.html").load(base)
-        )
-        relative = F.substr(F.col("path"), F.lit(len(base) + 2))
-        return files.select(relative.alias("file"), F.lit(label_value).alias("label"), utf8(F.col("content")).alias("html"))
+        files = list_files(spark, base, "*.html")
+        return files.select(relative_to(F.col("path"), base).alias("file"), F.lit(label_value).alias("label"), "path")
 
     html = tree(phish_root, 1).unionByName(tree(benign_root, 0))
     joined = ordered.join(html, ["file", "label"])
@@ -109,12 +107,13 @@ def scan_csv_with_html(
         joined = limit_scan(joined, "_ord", limit)
     fail_on_values(joined, canonicalize_url(F.col("url")).isNull(), F.col("url"), "invalid urls")
     identified = joined.withColumn("sample_id", F.sha2(canonicalize_url(F.col("url")), 256))
-    unique = all_features(dedupe_keep_first(identified, "sample_id", "_ord"))
-    out = unique.select(
+    wanted = dedupe_keep_first(identified, "sample_id", "_ord").drop("_ord", "file")
+    pages = read_contents(wanted).withColumn("html", utf8(F.col("content"))).drop("content", "path")
+    out = write_and_read(all_features(pages).select(
         "url", "title", "label", "sample_id",
         registrable_domain(strict_host(F.col("url"))).alias("group"),
         *["dom_" + n for n in NUMERIC_FEATURES], *(["split"] if "split" in raw.columns else []),
-    )
+    ), "csv-records")
     if out.isEmpty():
         raise ValueError("no usable rows")
     return out
@@ -263,15 +262,6 @@ def model_params(
 # --- manifests and reports -----------------------------------------------------------
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-
-
 def check_metadata(metadata: Mapping) -> None:
     """Metadata of a model is one flat table: names with text, flags or finite numbers."""
     refused = [

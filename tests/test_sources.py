@@ -252,3 +252,34 @@ def test_nested_html_files_are_found(spark, tmp_path):
     (tmp_path / "rows.csv").write_text("file_name,url,label\na,http://a.com/,1\nsite/html/b,http://b.com/,1\nrawhtml/c.html,http://c.com/,1\n")
     rows = T.scan_csv_with_html(spark, str(tmp_path / "rows.csv"), str(root), str(tmp_path / "benign"))
     assert sorted(r["url"] for r in rows.select("url").collect()) == ["http://a.com/", "http://b.com/", "http://c.com/"]
+
+
+def test_only_matched_files_are_opened(spark, tmp_path):
+    """An unreadable file that no row names does no harm; its bytes are never asked for."""
+    for side in ("p", "b"):
+        (tmp_path / side).mkdir()
+    (tmp_path / "p" / "a b%.html").write_text("<title>A</title>")
+    (tmp_path / "p" / "gone.html").symlink_to(tmp_path / "p" / "a b%.html")
+    path = write_csv(tmp_path / "s.csv", ["file_name", "url", "label"], [["a b%", "http://a.com/", "1"]])
+    (tmp_path / "b" / "secret.html").write_text("x")
+    rows = T.scan_csv_with_html(spark, path, str(tmp_path / "p"), str(tmp_path / "b")).collect()
+    assert [(r["url"], r["title"]) for r in rows] == [("http://a.com/", "A")]
+
+
+def test_manifest_of_ranges(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "m").mkdir()
+    data = bytes(range(256)) * 50
+    for name, content in (("long.bin", data), ("exact.bin", data[:1000])):
+        (tmp_path / "m" / name).write_bytes(content)
+    got = {r["file"]: (r["bytes"], r["ranges"], r["sha256"]) for r in T.file_manifest(spark, str(tmp_path / "m"), 1000).collect()}
+    leaves = [hashlib.sha256(data[i: i + 1000]).hexdigest() for i in range(0, len(data), 1000)]
+    assert got == {
+        "long.bin": (12800, 13, hashlib.sha256("".join(leaves).encode()).hexdigest()),
+        "exact.bin": (1000, 1, leaves[0])}
+    with open(tmp_path / "m" / "huge.bin", "wb") as handle:
+        handle.truncate(5 << 30)  # a hole: takes no disk
+    huge = T.file_manifest(spark, str(tmp_path / "m"), 1 << 30).where("file = 'huge.bin'").first()
+    zero = hashlib.sha256(bytes(1 << 20) * 1024).hexdigest()
+    assert (huge["bytes"], huge["ranges"], huge["sha256"]) == (5 << 30, 5, hashlib.sha256((zero * 5).encode()).hexdigest())
