@@ -63,17 +63,30 @@ def _(spark, sf):
     return S.drain_to_table(kept, shared_folder(spark, "offsets"), shared_folder(spark, "before"))
 
 
+FOLDERS = 3  # where order matters, files arrive in so many folders, one after the other
+
+
+def arriving(spark, frame, part, drained):
+    """Write ``frame`` part by part and drain the stream after each; every drain is a restart."""
+    folder, checkpoint, path = (shared_folder(spark, n) for n in ("arriving", "offsets", "out"))
+    out = None
+    for k in range(FOLDERS):
+        frame.where(part == k).write.parquet(f"{folder}/{k}")
+        out = drained(S.stream_pages(spark, f"{folder}/*", frame.schema), checkpoint, path)
+    return out
+
+
 @query("stream_dedupe", f"""WITH twice AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, url || '#again' FROM pages), {canonical_sql('twice', 'page_id')}
-SELECT sha256(canonical) AS sample_id, min(page_id) AS ord FROM canon GROUP BY canonical""")
+SELECT sha256(canonical) AS sample_id, arg_min(page_id, (page_id % 1000000000 % {FOLDERS}, page_id)) AS ord FROM canon GROUP BY canonical""")
 def _(spark, sf):
     twice = F.array(
         F.struct("url", F.col("page_id").alias("ord")),
         F.struct(F.concat("url", F.lit("#again")).alias("url"), (F.col("page_id") + 1000000000).alias("ord")),
     )
-    stream = S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet").select(F.explode(twice).alias("p")).select(
+    rows = table(spark, sf, "pages").select(F.explode(twice).alias("p")).select(
         F.sha2(canonicalize_url(F.col("p.url")), 256).alias("sample_id"), "p.ord"
     )
-    return S.stream_dedupe(stream, shared_folder(spark, "offsets"), shared_folder(spark, "unique"))
+    return arriving(spark, rows, F.col("ord") % 1000000000 % FOLDERS, S.stream_dedupe)
 
 
 # Live records: page title, three page features; some are refused.
@@ -126,16 +139,25 @@ def _(spark, sf):
     return tabs.latest_state_per_key(tab_events(table(spark, sf, "events"))).select("tab", "event_id", "url")
 
 
+def tab_stream(spark, sf, drained):
+    """Tab events arrive in time order, a third of the time span in each folder."""
+    events = tab_events(table(spark, sf, "events"))
+    span = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    step = (span["high"] - span["low"]) // FOLDERS + 1
+    return arriving(spark, events, F.floor((F.unix_micros("ts") - span["low"]) / step), drained)
+
+
 @query("stream_stale_results", f"WITH {_TABS} SELECT tab, event_id, url, coalesce(current, '') <> url AS stale FROM cur WHERE kind = 'result'")
 def _(spark, sf):
-    schema = table(spark, sf, "events").schema
-    events = tab_events(S.stream_pages(spark, sf, schema, "events.parquet"))
-    return tabs.stream_stale_results(events, shared_folder(spark, "offsets"), shared_folder(spark, "stale"))
+    return tab_stream(spark, sf, tabs.stream_stale_results)
 
 
-TRAINING = StreamConfig(source="pages")
-FOLDERS = 3  # the stream's files arrive in so many folders, one after the other
+@query("stream_latest_state", f"""WITH {_TABS} SELECT tab, max(event_id) AS event_id, max_by(url, event_id) AS url FROM cur WHERE kind = 'result' AND current = url AND ts > moved GROUP BY tab""")
+def _(spark, sf):
+    return tab_stream(spark, sf, tabs.stream_latest_state).select("tab", "event_id", "url")
+
 
+TRAINING = StreamConfig(source="pages")
 
 def training_run(spark, sf):
     """Pages arrive folder by folder, by page number; the trainer stops and resumes between them."""

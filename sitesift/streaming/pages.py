@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sitesift.constants import DOM_FEATURES
-from sitesift.operators.groups import dedupe_keep_first
 from sitesift.operators.records import RAW_COLUMNS, canonical_records, counter_rows
 from sitesift.operators.scoring import score_pages
 from sitesift.operators.validate import accept_record, page_record_problem, require_columns, temporal_filter
+from sitesift.streaming.keyed import FirstSight, by_key, rocksdb_state
 
 
 def stream_pages(
@@ -107,23 +107,14 @@ def live_scan_scores(
 def stream_dedupe(
     stream: DataFrame, checkpoint: str, path: str, id_column: str = "sample_id", order: str = "ord"
 ) -> DataFrame:
-    """First sight of every id over the whole stream. Rejected rows have no id and are left out.
+    """First sight of every id over the whole stream. Rows without an id are rejects and left out.
 
-    Each batch is reduced to its first rows with a map-side minimum, then ids already written are
-    dropped by an anti join; seen ids live in a table, not in task memory.
+    Seen ids are keyed state, so a batch costs what it brings; of several rows of an id in one batch
+    the smallest in ``order`` is kept.
     """
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = dedupe_keep_first(batch.where(F.col(id_column).isNotNull()), id_column, order)
-        if batch_id > 0:
-            seen = spark.read.schema(f"{id_column} string, batch_id bigint").option("basePath", path).parquet(path)
-            earlier = seen.where(F.col("batch_id") < batch_id).select(id_column)
-            first = first.join(earlier, id_column, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    drain(stream, checkpoint, write)
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+    named = stream.where(F.col(id_column).isNotNull())
+    with rocksdb_state(stream.sparkSession):
+        return drain_to_table(by_key(named, id_column, FirstSight(order), stream.schema), checkpoint, path)
 
 
 def stream_dedupe_watermark(

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.operators.skew import skewed_lookup
-from sitesift.streaming.pages import drain
+from sitesift.streaming.keyed import LatestResult, ShownPage, by_key, rocksdb_state
+from sitesift.streaming.pages import drain_to_table
 
 
 def _marked(events: DataFrame, bucket: Column) -> DataFrame:
@@ -71,30 +72,21 @@ def latest_state_per_key(events: DataFrame, bucket: Column | None = None) -> Dat
 
 
 def stream_stale_results(events: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """Streaming form: each micro-batch starts from the URLs that the one before it left behind.
+    """Streaming form: the page a tab shows is keyed state, and a closed tab has none.
 
-    The carried table (tab, url) is written per batch id, so a replayed batch gives the same result;
-    closed tabs leave it. Batches must arrive in time order; inside a batch any order will do.
+    Batches must arrive in time order; inside a batch any order will do.
     """
-    spark = events.sparkSession
-    schema = "tab bigint, url string"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        carried = spark.createDataFrame([], schema)
-        if batch_id > 0:
-            carried = spark.read.schema(schema).parquet(f"{path}/carried/batch_id={batch_id - 1}")
-        stale_results(batch, carried=carried).select("tab", "event_id", "url", "stale").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/results/batch_id={batch_id}")
-        moved = batch.where(F.col("kind").isin("navigate", "close")).groupBy("tab").agg(
-            F.max_by(F.struct("kind", "url"), F.struct("ts", "event_id")).alias("m")
-        )
-        carried.withColumnRenamed("url", "_old").join(moved, "tab", "full_outer").select(
-            "tab",
-            F.when(F.col("m").isNull(), F.col("_old")).when(F.col("m.kind") == "navigate", F.col("m.url")).alias("url"),
-        ).where(F.col("url").isNotNull()).write.mode("overwrite").parquet(f"{path}/carried/batch_id={batch_id}")
-
-    drain(events, checkpoint, write)
-    return spark.read.schema("tab bigint, event_id bigint, url string, stale boolean").parquet(
-        f"{path}/results"
-    ).select("tab", "event_id", "url", "stale")
+    schema = "tab bigint, event_id bigint, url string, stale boolean"
+    with rocksdb_state(events.sparkSession):
+        return drain_to_table(by_key(events, "tab", ShownPage(), schema), checkpoint, path)
+
+
+def stream_latest_state(events: DataFrame, checkpoint: str, path: str) -> DataFrame:
+    """Streaming form of ``latest_state_per_key``: each batch writes the tabs it touched, the last
+    one of a tab holds. Navigating and closing delete what was there."""
+    spark, schema = events.sparkSession, "tab bigint, ts timestamp, event_id bigint, url string"
+    with rocksdb_state(spark):
+        drain_to_table(by_key(events, "tab", LatestResult(), schema), checkpoint, path)
+    written = spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
+    newest = written.groupBy("tab").agg(F.max_by(F.struct("ts", "event_id", "url"), "batch_id").alias("r"))
+    return newest.where(F.col("r.event_id").isNotNull()).select("tab", "r.ts", "r.event_id", "r.url")

@@ -113,6 +113,20 @@ def test_stale_results_batch_and_stream(spark, tmp_path):
     source = spark.readStream.schema(tab_frame(spark).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
     out = tabs.stream_stale_results(source, str(tmp_path / "c"), str(tmp_path / "o"))
     assert {(r["tab"], r["event_id"]): r["stale"] for r in out.collect()} == STALE
+    newest = tabs.stream_latest_state(source, str(tmp_path / "c3"), str(tmp_path / "o3"))
+    assert {r["tab"]: (r["event_id"], r["url"]) for r in newest.collect()} == latest
+
+
+def test_state_outlives_restarts(spark, tmp_path):
+    """Drained after every file, as over one run; what a closed tab had is gone."""
+    folder, got = str(tmp_path / "in"), None
+    for n, event in enumerate([*EVENTS, (1, 7, "close", ""), (3, 8, "navigate", "z"), (3, 9, "result", "z")]):
+        tab_frame(spark, [event]).coalesce(1).write.parquet(f"{folder}/{n:02d}")
+        if n % 5 == 4 or n == 13:
+            source = spark.readStream.schema(tab_frame(spark).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+            got = tabs.stream_latest_state(source, str(tmp_path / "c"), str(tmp_path / "o"))
+    assert {r["tab"]: (r["event_id"], r["url"]) for r in got.collect()} == {3: (9, "z")}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def toy(spark, start=0, stop=60):
