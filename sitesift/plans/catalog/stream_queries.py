@@ -18,6 +18,7 @@ from sitesift.plans.catalog.vector_queries import _SCORE, VECTOR_SQL
 from sitesift.session import shared_folder
 from sitesift.streaming import pages as S
 from sitesift.streaming import tabs
+from sitesift.streaming.positions import train_positions
 from sitesift.streaming.train import StreamConfig, read_counts, train_stream
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
@@ -202,3 +203,21 @@ def _(spark, sf):
 def _(spark, sf):
     state, _ = training_run(spark, sf)
     return read_counts(spark, state)
+
+
+@query("resume_position", f"""WITH {_COUNTERS} SELECT kind, reason, n, (SELECT count(*) FROM pages) AS position FROM counters""")
+def _(spark, sf):
+    # Five files, batches that end inside them, and a first run that stops after half of the rows.
+    folder, state = shared_folder(spark, "numbered"), shared_folder(spark, "training")
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    pages.repartition(5, "page_id").write.parquet(folder)
+    rows = pages.count()
+    batch = rows // 4 + 1
+
+    def prepare(raw):
+        return S.stream_records(raw_from(rich_html(raw)))
+
+    config = StreamConfig(source="pages")
+    train_positions(spark, folder, PAGE_SCHEMA, prepare, state, config, batch, limit=rows // 2)
+    _, position = train_positions(spark, folder, PAGE_SCHEMA, prepare, state, config, batch, resume=True)
+    return read_counts(spark, state).withColumn("position", F.lit(position).cast("long"))

@@ -58,10 +58,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def check_config(spark: SparkSession, state_dir: str, config: StreamConfig, resume: bool) -> None:
+def check_config(
+    spark: SparkSession, state_dir: str, config: StreamConfig, resume: bool, more: dict | None = None
+) -> None:
     """Store the settings on the first run; later runs must ask to resume with equal settings."""
     path = f"{state_dir}/config"
-    wanted = json.dumps(asdict(config), sort_keys=True)
+    wanted = json.dumps(asdict(config) | (more or {}), sort_keys=True)
     if not _exists(spark, path):
         spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(path)
         return
@@ -70,7 +72,7 @@ def check_config(spark: SparkSession, state_dir: str, config: StreamConfig, resu
     found = spark.read.text(path).first()["value"]
     if found != wanted:
         was, now = json.loads(found), json.loads(wanted)
-        changed = sorted(k for k in now if was.get(k) != now[k])
+        changed = sorted(k for k in now.keys() | was.keys() if was.get(k) != now.get(k))
         raise ValueError(f"training settings mismatch: {changed}")
 
 
@@ -140,7 +142,7 @@ def gradient_step(vectors: DataFrame, state: DataFrame, rows: int, config: Strea
     )
 
 
-def _train_batch(batch: DataFrame, batch_id: int, state_dir: str, config: StreamConfig) -> None:
+def train_batch(batch: DataFrame, batch_id: int, state_dir: str, config: StreamConfig) -> None:
     spark = batch.sparkSession
     parts = ["buckets", *(["numeric"] if config.include_dom else [])]
     gated = add_vector_parts(accept_record(batch), config.include_dom, config.hash_dim)
@@ -168,7 +170,7 @@ def train_stream(records: DataFrame, state_dir: str, config: StreamConfig, resum
     """Train on everything the stream has now; returns (weights idx / weight, intercept)."""
     spark = records.sparkSession
     check_config(spark, state_dir, config, resume)
-    drain(records, f"{state_dir}/stream", lambda batch, batch_id: _train_batch(batch, batch_id, state_dir, config))
+    drain(records, f"{state_dir}/stream", lambda batch, batch_id: train_batch(batch, batch_id, state_dir, config))
     return read_state(spark, state_dir, config)
 
 

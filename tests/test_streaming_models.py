@@ -204,3 +204,40 @@ def test_gradient_is_that_of_all_rows(spark):
     for r in state.collect():
         found[r["idx"]] = r["weight"]
     assert len(got) == 21 and found == pytest.approx(w, abs=1e-9)
+
+
+def test_killed_inside_a_file_and_resumed(spark, tmp_path):
+    """Killed in a batch that ends inside a file: resumed, weights and counters are those of one run."""
+    from sitesift.streaming.positions import committed, file_positions, rows_between, train_positions
+    from sitesift.streaming.train import read_state
+
+    folder = str(tmp_path / "rows")
+    for n, (low, high) in enumerate(((0, 17), (17, 18), (18, 45), (45, 60))):
+        put(spark, folder, f"part-{n}", low, high)
+    files = file_positions(spark, folder)
+    assert [(r["rows"], r["start"]) for r in files.orderBy("start").collect()] == [(17, 0), (1, 17), (27, 18), (15, 45)]
+    part = rows_between(files, SCHEMA, 16, 47).collect()
+    assert sorted((r["position"], r["ord"]) for r in part) == [(i, i) for i in range(16, 47)]
+    runs = 0
+
+    def dying(raw):
+        nonlocal runs
+        runs += 1
+        if runs == 3:
+            raise RuntimeError("killed")
+        return S.stream_records(raw)
+
+    whole, cut = str(tmp_path / "s1"), str(tmp_path / "s2")
+    assert train_positions(spark, folder, SCHEMA, S.stream_records, whole, CONFIG, 13) == (5, 60)
+    with pytest.raises(RuntimeError, match="killed"):
+        train_positions(spark, folder, SCHEMA, dying, cut, CONFIG, 13)
+    assert committed(spark, cut) == (2, 26)
+    for settings, rows in ((CONFIG, 12), (StreamConfig(hash_dim=256, passes=1, source="toy"), 13)):
+        with pytest.raises(ValueError, match="mismatch"):
+            train_positions(spark, folder, SCHEMA, S.stream_records, cut, settings, rows, resume=True)
+    assert train_positions(spark, folder, SCHEMA, S.stream_records, cut, CONFIG, 13, resume=True) == (5, 60)
+    (left, bias), (right, again) = read_state(spark, whole, CONFIG), read_state(spark, cut, CONFIG)
+    assert bias == pytest.approx(again)
+    assert {r["idx"]: r["weight"] for r in left.collect()} == pytest.approx({r["idx"]: r["weight"] for r in right.collect()}, abs=1e-6)
+    batch = as_dict(reason_counts(canonical_records(raw_rows(spark, 0, 60))))
+    assert as_dict(read_counts(spark, cut)) == as_dict(read_counts(spark, whole)) == batch
