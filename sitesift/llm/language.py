@@ -51,8 +51,19 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def padded(codes: np.ndarray, starts: np.ndarray, owners: np.ndarray):
-    """(letters with ORDER - 1 spaces before each part, positions to score, owner of each)."""
+def context(text: str, place: int) -> int:
+    """Code points before a place that hold the letters on which what follows depends."""
+    length = 16 * ORDER
+    while length < place and sum(map(str.isalpha, text[place - length: place])) < ORDER:
+        length *= 2
+    return min(length, place)
+
+
+def padded(codes: np.ndarray, starts: np.ndarray, owners: np.ndarray, skip: np.ndarray, stop: np.ndarray):
+    """(letters with ORDER - 1 spaces before each part, positions to score, owner of each).
+
+    The first ``skip`` code points of a part are context only.
+    """
     plain = letters()[codes]
     is_letter = plain != SPACE
     before = np.empty_like(is_letter)
@@ -63,6 +74,9 @@ def padded(codes: np.ndarray, starts: np.ndarray, owners: np.ndarray):
     part = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))[keep]
     out = np.insert(plain[keep], np.repeat(kept_before[starts], ORDER - 1), SPACE)
     positions = np.arange(len(part)) + (part + 1) * (ORDER - 1)
+    if skip.any():
+        own = np.flatnonzero(keep) - starts[part] >= skip[part]
+        positions, part = positions[own], part[own]
     return out, positions, owners[part]
 
 
@@ -115,8 +129,8 @@ def _counts(batches):
     for batch in batches:
         frame = batch.to_pandas()
         for lang, part in frame.groupby("lang"):
-            for codes, starts, owners in pieces(part["text"].tolist()):
-                values, positions, _ = padded(codes, starts, owners)
+            for parts in pieces(part["text"].tolist(), before=context):
+                values, positions, _ = padded(*parts)
                 if not len(positions):
                     continue
                 grams, counts = piece_counts(values, positions)
@@ -361,8 +375,8 @@ def score_texts(models: LanguageModels, texts: list[str | None]) -> tuple[np.nda
     blocks = len(models.blocks)
 
     def parts():
-        for codes, starts, owners in pieces(texts):
-            values, positions, owner = padded(codes, starts, owners)
+        for part in pieces(texts, before=context):
+            values, positions, owner = padded(*part)
             yield values, positions, owner, blocks_of(values, positions, blocks) if blocks > 1 else None
 
     ready = list(parts()) if blocks > 1 else parts()

@@ -39,27 +39,31 @@ def bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed * FINAL) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
-def features(codes: np.ndarray, starts: np.ndarray, owners: np.ndarray):
-    """(bucket, owner) of every word and n-gram of parts that lie side by side."""
+def features(codes: np.ndarray, starts: np.ndarray, owners: np.ndarray, skip: np.ndarray, stop: np.ndarray):
+    """(bucket, owner) of every word and n-gram that begins before ``stop`` in its part.
+
+    Parts lie side by side; what follows ``stop`` is there for the n-grams that reach over it.
+    """
     lengths = np.diff(np.r_[starts, len(codes)])
+    counts = np.arange(len(codes)) - np.repeat(starts, lengths) < np.repeat(stop, lengths)
     owner = np.repeat(owners, lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # code points to the part's end
     wide = codes.astype(np.uint64)
     total = np.zeros(len(codes), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        total[: len(codes) - n + 1] += wide[n - 1:] * GRAM_FACTORS[n - 1]
+        total[: max(0, len(codes) - n + 1)] += wide[n - 1:] * GRAM_FACTORS[n - 1]
         if n in GRAMS:
-            inside = np.flatnonzero(left >= n)
+            inside = np.flatnonzero((left >= n) & counts)
             yield bucket(total[inside], n), owner[inside]
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     first = ~space
     first[1:] &= space[:-1] | (left[:-1] == 1)
-    begin = np.flatnonzero(first)
+    begin = np.flatnonzero(first & counts)
     if len(begin):
         word = np.zeros(len(codes), np.int64)
         word[begin] = begin
         in_word = np.arange(len(codes)) - np.maximum.accumulate(word)
-        weighted = np.where(space, np.uint64(0), wide * WORD_FACTORS[in_word & 63])
+        weighted = np.where(space | ~counts, np.uint64(0), wide * WORD_FACTORS[in_word & 63])
         yield bucket(np.add.reduceat(weighted, begin), 0), owner[begin]
 
 
@@ -104,7 +108,7 @@ def _counted(batches):
         ids, counts = [], []
         for text in batch.column(2).to_pylist():
             total: dict[int, int] = {}
-            for part in pieces([text]):
+            for part in pieces([text], after=max(GRAMS) - 1, at_space=True):
                 found, n = np.unique(np.concatenate([b for b, _ in features(*part)]), return_counts=True)
                 for key, count in zip(found.tolist(), n.tolist(), strict=True):
                     total[key] = total.get(key, 0) + count
@@ -147,7 +151,7 @@ def fit_quality(
 
 def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:
     sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for part in pieces(texts):
+    for part in pieces(texts, after=max(GRAMS) - 1, at_space=True):
         for buckets, owner in features(*part):
             sums += np.bincount(owner, model.weights[buckets].astype(np.float64), len(texts))
             counts += np.bincount(owner, minlength=len(texts))
