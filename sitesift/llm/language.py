@@ -450,8 +450,8 @@ def identify_languages(
     for a prediction. A null text, or one without a letter, is ``und`` with score 0 and rejected; so
     is every text if nothing could be learned. Texts of fewer than SURE_LETTERS letters are not
     rejected for their entropy. Repeated rows are rows of their own. Columns of these names are
-    replaced; an empty table stays empty. Texts beyond half a million characters are read in parts,
-    each of which begins like a text.
+    replaced; an empty table stays empty. Long texts are read in parts that carry the letters before
+    them, so they score as whole ones.
     """
     rows, model = _learned(documents, folds, model_cells)
     scored = write_and_read(add_scores(rows, model, "text"), "languages")
