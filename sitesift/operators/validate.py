@@ -144,10 +144,10 @@ def accept_reason(frame: DataFrame) -> Column:
 def accept_record(frame: DataFrame) -> DataFrame:
     """Adds ``drop_reason``. A boolean label column or a label other than 0 / 1 fails the job."""
     if dict(frame.dtypes)["label"] == "boolean":
-        raise ValueError("training label must be 0 or 1, found a boolean")
+        raise ValueError("a boolean column cannot train: label must be 0 or 1")
     bad = F.col("label").isNotNull() & ~F.col("label").isin(0, 1)
     checked = F.when(
-        bad, F.raise_error(F.concat(F.lit("training label must be 0 or 1, found "), F.col("label")))
+        bad, F.raise_error(F.concat(F.lit("a label to train on must be 0 or 1, this one is "), F.col("label")))
     ).otherwise(F.col("label"))
     return frame.withColumn("drop_reason", accept_reason(frame)).withColumn(
         "label", F.when(F.col("drop_reason").isNull(), checked).otherwise(F.col("label"))
