@@ -4,12 +4,13 @@ A mask says which of eight neighbouring words are hashed and which are ignored,
 under a zero leaves the seed intact. Seeds of the benchmark are matched with the seeds at every
 position of every document; at a hit the two texts are laid side by side, and of the stretches of
 words around it the best must agree but for a few replacements. Wherever in a stretch the replaced
-words stand, at least one seed is free of them.
+words stand, at least one seed is free of them. Items too short for that are matched whole.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,10 @@ def seed(mask: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item, words, ids): distinct word sequences of at least SPAN words, with the ids they stand for."""
+    """(item, words, ids): distinct word sequences of one word at least, with the ids they stand for."""
     return (
         benchmark.select(F.col("item_id").cast("long"), tokens(F.col("text")).alias("words"))
-        .where(F.size("words") >= SPAN)
+        .where(F.get("words", F.lit(0)) != "")
         .groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
         .select(F.xxhash64(F.concat_ws(" ", "words")).alias("item"), "words", "ids")
     )
@@ -115,32 +116,68 @@ def _leaks_of_block(windows: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _short_leaks_of_block(texts: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Documents in which a short item of a block stands whole; the items are broadcast.
+
+    ``lengths`` are the different numbers of words of the items. Every run of that many words of a
+    document is hashed; equal hashes are compared word by word.
+    """
+    runs = F.flatten(F.transform(
+        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size("_words")),
+        lambda n: F.transform(
+            F.sequence(F.lit(0), F.size("_words") - n),
+            lambda i: F.struct(i.alias("_at"), F.xxhash64(F.slice("_words", i + 1, n)).alias("_run")),
+        ),
+    ))
+    return (
+        texts.select("*", F.inline(runs))
+        .join(F.broadcast(items.withColumn("_run", F.xxhash64("words"))), "_run")
+        .where(F.slice("_words", F.col("_at") + 1, F.size("words")) == F.col("words"))
+        .groupBy("doc_id", "text_key", "item")
+        .agg(
+            F.first("ids").alias("ids"), F.max(F.size("words")).alias("matched"),
+            F.count(F.lit(1)).alias("seeds"), F.min("_at").alias("first_word"),
+        )
+        .withColumn("compared", F.col("matched"))
+    )
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, ids, matched, compared, seeds, first_word) of each leak.
 
     A leak is a stretch of WINDOW words of an item (all, if it has fewer) that stands in a document
     with at least LEAST_SHARE of its words in place; all are found. ``ids`` are the items with these words.
-    Items below SPAN words are too short to be evidence and match nothing, as do null and empty
-    texts. Documents of one id and one text are one; a null id is kept as null. The benchmark is
-    taken in blocks of about BLOCK_SEEDS seeds, so what is broadcast is bounded; each block reads
-    the documents once. Other columns are not read.
+    Items below SPAN words are too short to bear a replaced word: they must stand whole, word for
+    word. Null texts and texts without a word match nothing. Documents of one id and one text are
+    one; a null id is kept as null. The benchmark is taken in blocks of about BLOCK_SEEDS seeds (or
+    short items), so what is broadcast is bounded; each block reads the documents once. Other
+    columns are not read.
     """
     items = write_and_read(benchmark_items(benchmark), "items")
-    seeds = items.agg(F.sum(F.size("words") - (SPAN - 1))).first()[0] or 0
-    blocks = max(1, math.ceil(seeds / BLOCK_SEEDS))
-    windows = with_windows(
-        documents.select(
-            F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"),
-            tokens(F.col("text")).alias("_words"),
-        ),
-        "_words",
+    short = F.size("words") < SPAN
+    sizes = items.agg(
+        F.sum(F.when(~short, F.size("words") - (SPAN - 1))).alias("seeds"), F.count_if(short).alias("short"),
+        F.sort_array(F.collect_set(F.when(short, F.size("words")))).alias("lengths"),
+    ).first()
+    texts = documents.select(
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"),
+        tokens(F.col("text")).alias("_words"),
     )
-    leaks = None
-    for block in range(blocks):
-        part = items.where(F.pmod("item", F.lit(blocks)) == block)
-        found = _leaks_of_block(windows, part)
-        leaks = found if leaks is None else leaks.unionByName(found)
-    return leaks.select("doc_id", "text_key", "ids", "matched", "compared", "seeds", "first_word")
+    windows = with_windows(texts, "_words")
+    found = []
+    for part in _blocks(items.where(~short), sizes["seeds"] or 0):
+        found.append(_leaks_of_block(windows, part))
+    if sizes["short"]:
+        for part in _blocks(items.where(short), sizes["short"]):
+            found.append(_short_leaks_of_block(texts, part, sizes["lengths"]))
+    names = ["doc_id", "text_key", "ids", "matched", "compared", "seeds", "first_word"]
+    return reduce(DataFrame.unionByName, [leaks.select(*names) for leaks in found])
+
+
+def _blocks(items: DataFrame, entries: int) -> list[DataFrame]:
+    """The items dealt into blocks of about BLOCK_SEEDS of their ``entries``; one block at least."""
+    blocks = max(1, math.ceil(entries / BLOCK_SEEDS))
+    return [items.where(F.pmod("item", F.lit(blocks)) == block) for block in range(blocks)]
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
