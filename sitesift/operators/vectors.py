@@ -94,12 +94,9 @@ def vectorize(
     )
 
 
-def _sparse_struct(parts: DataFrame, width: int, fold_to: int | None, include_dom: bool) -> Column:
+def _sparse_struct(base: int, include_dom: bool) -> Column:
     """The stored form of a sparse ML vector: (type, size, indices, values)."""
     hashed = F.col("buckets")
-    if fold_to:
-        hashed = F.array_sort(F.array_distinct(F.transform(hashed, lambda b: F.pmod(b, F.lit(fold_to)))))
-    base = fold_to or width
     ones = F.transform(hashed, lambda _: F.lit(1.0))
     extra = len(NUMERIC_FEATURES) if include_dom else 0
     indices, values = hashed, ones
@@ -113,22 +110,20 @@ def _sparse_struct(parts: DataFrame, width: int, fold_to: int | None, include_do
 
 
 def to_ml_vectors(
-    frame: DataFrame, outputs: dict[str, int | None], include_dom: bool = True, dim: int = HASH_DIM
+    frame: DataFrame, output: str = "features", include_dom: bool = True, dim: int = HASH_DIM
 ) -> DataFrame:
-    """id, label, split and group columns plus ML sparse vectors, written once to the shared folder.
+    """id, label, split and group columns, ``buckets`` and an ML sparse vector, written once to the
+    shared folder.
 
-    ``outputs`` maps a column to a folded width (buckets modulo it) or None for the full width. A
-    vector is stored in Parquet as a plain struct; reading it back with the vector type needs no
+    A vector is stored in Parquet as a plain struct; reading it back with the vector type needs no
     per-row Python.
     """
     spark = frame.sparkSession
     keep = [c for c in ("sample_id", "label", "split", "group") if c in frame.columns]
     parts = add_vector_parts(frame, include_dom, dim)
     path = shared_folder(spark, "vectors")
-    parts.select(
-        *keep, *[_sparse_struct(parts, dim, fold, include_dom).alias(c) for c, fold in outputs.items()]
-    ).write.parquet(path)
+    parts.select(*keep, "buckets", _sparse_struct(dim, include_dom).alias(output)).write.parquet(path)
     schema = StructType(
-        [frame.schema[c] for c in keep] + [StructField(c, VectorUDT()) for c in outputs]
+        [*(frame.schema[c] for c in keep), parts.schema["buckets"], StructField(output, VectorUDT())]
     )
     return spark.read.schema(schema).parquet(path)

@@ -125,6 +125,41 @@ def _(spark, sf):
     return suffix_longest_match(urls, _suffix_table(spark, sf)).select("source", "id", F.coalesce("suffix", F.lit("")).alias("suffix"))
 
 
+# The same table with rules that cross: every name below a top-level suffix is one, example.com is not,
+# and neither is the first customer's name.
+RULE_TABLE_SQL = f"""{SUFFIX_TABLE_SQL}, rules AS (SELECT suffix AS rule FROM suffixes
+  UNION SELECT '*.' || suffix FROM suffixes WHERE NOT contains(suffix, '.') UNION SELECT '!example.com' FROM nation
+  UNION SELECT '!' || lower(replace(min(c_name), '#', '-')) || '.com' FROM customer WHERE c_mktsegment = 'BUILDING')"""
+
+
+def _rule_table(spark, sf):
+    plain = _suffix_table(spark, sf)
+    below = plain.where(~F.contains("suffix", F.lit("."))).select(F.concat(F.lit("*."), "suffix"))
+    first = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
+        F.concat(F.lit("!"), F.lower(F.replace(F.min("c_name"), F.lit("#"), F.lit("-"))), F.lit(".com"))
+    )
+    fixed = table(spark, sf, "nation").select(F.lit("!example.com"))
+    return plain.union(below).union(fixed).union(first).distinct()
+
+
+@query("registrable_domain_rules", f"""
+WITH {SHOP_SQL}, {RULE_TABLE_SQL}, {host_sql('pages', 'page_id', 'ph')}, {host_sql('shop', 'c_custkey')},
+allh AS (SELECT 'page' AS source, page_id AS id, host FROM ph UNION ALL SELECT 'shop', c_custkey, host FROM hosts),
+hit AS (
+  SELECT source, id, host, rule AS suffix, 0 AS exception FROM allh JOIN rules ON ends_with(host, '.' || rule)
+  UNION ALL SELECT source, id, host, regexp_extract(left(host, length(host) - length(rule) + 1), '[^.]+$') || substr(rule, 2), 0
+    FROM allh JOIN rules ON starts_with(rule, '*.') AND regexp_matches(left(host, length(host) - length(rule) + 1), '^.+[.][^.]+$') AND ends_with(host, substr(rule, 2))
+  UNION ALL SELECT source, id, host, regexp_replace(rule, '^![^.]+[.]', ''), 1
+    FROM allh JOIN rules ON starts_with(rule, '!') AND (host = substr(rule, 2) OR ends_with(host, '.' || substr(rule, 2)))),
+m AS (SELECT source, id, any_value(host) AS host, max_by(suffix, exception * 1000 + length(suffix)) AS suffix FROM hit GROUP BY source, id)
+SELECT a.source, a.id, CASE WHEN m.suffix IS NULL THEN a.host
+  ELSE regexp_extract(left(m.host, length(m.host) - length(m.suffix) - 1), '[^.]*$') || '.' || m.suffix END AS domain
+FROM allh a LEFT JOIN m USING (source, id)""")
+def _(spark, sf):
+    urls = _all_urls(spark, sf).withColumn("host", strict_host(F.col("url")))
+    return registrable_domain_psl(urls, _rule_table(spark, sf)).select("source", "id", "domain")
+
+
 def _all_urls(spark, sf):
     return shop_urls(spark, sf).select(F.lit("shop").alias("source"), F.col("c_custkey").alias("id"), "url").unionByName(
         table(spark, sf, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), "url")

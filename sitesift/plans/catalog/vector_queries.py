@@ -12,6 +12,7 @@ from sitesift.functions.html import page_title
 from sitesift.functions.normalize import fold_text
 from sitesift.operators import scoring as S
 from sitesift.operators.records import all_features
+from sitesift.operators.screening import screen_columns
 from sitesift.operators.vectors import sigmoid, transform_numeric, vectorize
 from sitesift.operators import metrics as M
 from sitesift.plans.catalog.html_queries import TITLE_SQL, page_features_sql
@@ -19,6 +20,7 @@ from sitesift.plans.catalog.inputs import (
     LINE_SQL, RICH_SQL, WEIGHTS_SQL, formula_weights, line_scores, rich_pages, spread, table,
 )
 from sitesift.plans.catalog.registry import query
+from sitesift.plans.models import TREE_HASH_DIM
 
 
 @query("normalize_text", "SELECT doc_id, md5(lower(text)) AS folded FROM documents")
@@ -60,6 +62,22 @@ def _(spark, sf):
     return titled.select("page_id", F.explode(hashed_buckets(F.col("url"), F.col("title"))).alias("bucket"))
 
 
+@query("screen_columns", f"""WITH {RICH_SQL}, {_BUCKETS}, lab AS (SELECT page_id, starts_with(url, 'http:') AS hit FROM rich),
+n AS (SELECT count_if(hit)::DOUBLE AS p, count_if(NOT hit)::DOUBLE AS q FROM lab),
+ab AS (SELECT bucket, count_if(hit)::DOUBLE AS a, count_if(NOT hit)::DOUBLE AS b FROM buckets JOIN lab USING (page_id) GROUP BY bucket),
+t AS (SELECT bucket, a, b, p - a AS c, q - b AS d FROM ab, n),
+x AS (SELECT *, (a + b) * (c + d) * (a + c) * (b + d) AS spread FROM t),
+s AS (SELECT bucket, a, b, CASE WHEN spread > 0 THEN (a + b + c + d) * pow(a * d - b * c, 2) / spread ELSE 0.0 END AS chi FROM x)
+SELECT bucket::INT AS idx, a::BIGINT AS positive, b::BIGINT AS negative, round(chi, 9) AS chi_square FROM s ORDER BY chi DESC, bucket LIMIT 1024""")
+def _(spark, sf):
+    titled = rich_pages(spark, sf).withColumn("title", page_title(F.col("html")))
+    rows = titled.select(
+        F.startswith("url", F.lit("http:")).cast("int").alias("label"),
+        hashed_buckets(F.col("url"), F.col("title")).alias("buckets"),
+    )
+    return screen_columns(rows, TREE_HASH_DIM).withColumn("chi_square", F.round("chi_square", 9))
+
+
 def _transform_sql(name: str, column: str) -> str:
     if name in COUNT_FEATURES:
         return f"ln(1 + greatest({column}, 0))"

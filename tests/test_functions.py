@@ -14,6 +14,7 @@ from sitesift.functions.urls import (
     add_url_features, authority_host, canonicalize_url, is_ip_literal, registrable_domain,
     suffix_info, url_domain,
 )
+from sitesift.operators.suffixes import registrable_domain_psl, suffix_longest_match
 
 
 def one(spark, values, column, kind="string"):
@@ -68,6 +69,22 @@ def test_suffixes_and_domains(spark):
     assert one(spark, ["http://u@m.shop.com.au:1/x"], url_domain) == ["shop.com.au"]
 
 
+def test_suffix_rules(spark):
+    """Wildcards, exceptions and the plain suffix, as the published list of public suffixes defines them."""
+    rules = spark.createDataFrame([(r,) for r in ("jp", "co.jp", "*.kobe.jp", "!city.kobe.jp", "com", "*.ck", "!www.ck")], "suffix string")
+    cases = {
+        "a.b.c.kobe.jp": ("c.kobe.jp", "b.c.kobe.jp"), "b.c.kobe.jp": ("c.kobe.jp", "b.c.kobe.jp"),
+        "c.kobe.jp": ("jp", "kobe.jp"), "x.city.kobe.jp": ("kobe.jp", "city.kobe.jp"), "city.kobe.jp": ("kobe.jp", "city.kobe.jp"),
+        "www.x.co.jp": ("co.jp", "x.co.jp"), "y.jp": ("jp", "y.jp"), "www.ck": ("ck", "www.ck"), "a.www.ck": ("ck", "www.ck"),
+        "a.b.ck": ("b.ck", "a.b.ck"), "b.ck": (None, "b.ck"), "jp": (None, "jp"), "x.net": (None, "x.net"), "10.0.0.1": (None, "10.0.0.1"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in cases] * 2, "host string")
+    matched = {r["host"]: r["suffix"] for r in suffix_longest_match(hosts, rules).collect()}
+    domains = {r["host"]: r["domain"] for r in registrable_domain_psl(hosts, rules).collect()}
+    assert {h: (matched[h], domains[h]) for h in cases} == cases
+    assert registrable_domain_psl(hosts, rules.limit(0)).where("domain <> host").count() == 0
+
+
 def test_url_features(spark):
     url = "http://192.0.2.1/login?token=%2Fabc&step=2"
     row = add_url_features(spark.createDataFrame([(url,), (None,), ("http://é٣𠮷.com",)], "url string")).collect()

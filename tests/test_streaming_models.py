@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitesift.operators.records import canonical_records, reason_counts
+from sitesift.operators.screening import column_scores, screen_columns
 from sitesift.plans import models as M
 from sitesift.plans import training as T
 from sitesift.session import shared_folder
@@ -155,6 +156,35 @@ def test_models_learn(spark):
         M.check_training(toy(spark).limit(0))
 
 
+def test_screening_by_brute_force(spark):
+    """Against the textbook sum over the four cells; the choice is stored and decides the vector."""
+    rows = [(i, int(i % 3 == 0), [b for b in range(20) if (i * (b + 3)) % (b + 2) < 2 or b == 7]) for i in range(60)]
+    frame = spark.createDataFrame([*rows, (99, None, [1, 2])], "id int, label int, buckets array<int>")
+    want = {}
+    for b in range(20):
+        cells = [[sum((b in s) == on and y == lab for _, y, s in rows) for lab in (1, 0)] for on in (True, False)]
+        if not sum(cells[0]):
+            continue
+        expected = [[sum(r) * sum(c[k] for c in cells) / 60 for k in (0, 1)] for r in cells]
+        chi = sum((o - e) ** 2 / e for r, s in zip(cells, expected) for o, e in zip(r, s) if e)
+        want[b] = (*cells[0], pytest.approx(chi, abs=1e-9))
+    got = {r["idx"]: (r["positive"], r["negative"], r["chi_square"]) for r in column_scores(frame).collect()}
+    assert got == want and got[7][2] == 0
+    best = [r["idx"] for r in screen_columns(frame, 5).collect()]
+    assert best == sorted(got, key=lambda b: (-got[b][2], b))[:5]
+    assert screen_columns(frame.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        screen_columns(frame, 0)
+
+    linear, tree = M.LinearConfig(hash_dim=256), M.TreeConfig(n_estimators=1, max_depth=2, hash_dim=12)
+    vectors = M.with_vectors(toy(spark), linear, tree)
+    model = M.fit_tree(vectors, tree)
+    chosen = {r["idx"] for r in screen_columns(vectors, 12).collect()}
+    assert set(model.columns[:12]) == chosen and model.columns[12:] == list(range(256, 256 + 39))
+    full, part = M._tree_input(vectors, model.columns).select("features", "tree_features").first()
+    assert part.toArray().tolist() == [full[i] for i in model.columns]
+
+
 def test_candidates_and_failures(spark, monkeypatch):
     real = T.fit_linear
 
