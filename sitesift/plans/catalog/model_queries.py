@@ -15,7 +15,7 @@ from sitesift.plans.catalog.registry import query
 from sitesift.session import shared_folder, write_and_read
 from sitesift.sources import tables as S
 
-LINEAR = M.LinearConfig(max_iter=10)
+LINEAR = M.LinearConfig()
 NARROW = M.LinearConfig(max_iter=5, hash_dim=4096)
 TREE = M.TreeConfig(n_estimators=3, max_depth=3, hash_dim=128)
 
@@ -61,14 +61,14 @@ def _(spark, sf):
 @query("fit_hybrid")
 def _(spark, sf):
     train, validation, _ = parts(spark, sf)
-    model = M.fit_hybrid(M.with_vectors(train, NARROW, TREE), M.HybridConfig(folds=2), NARROW, TREE)
+    model = M.fit_hybrid(M.with_vectors(train, NARROW, TREE), M.HybridConfig(), NARROW, TREE)
     return M.score_hybrid(model, M.with_vectors(validation, NARROW, TREE)).select("sample_id", "label", "score")
 
 
 @query("train_candidates")
 def _(spark, sf):
     train, validation, _ = parts(spark, sf)
-    report, failures, _ = T.train_candidates(train, validation, alphas=[1e-4, 1e-3], max_iter=5, hash_dim=4096)
+    report, failures, _ = T.train_candidates(train, validation)
     return report.withColumn("failures", F.lit(len(failures)))
 
 
@@ -84,9 +84,10 @@ def _(spark, sf):
 @query("cross_dataset_report")
 def _(spark, sf):
     train, validation, test = parts(spark, sf)
-    linear = M.fit_linear(M.linear_vectors(train, NARROW), NARROW)
+    hybrid = M.fit_hybrid(M.with_vectors(train, NARROW, TREE), M.HybridConfig(), NARROW, TREE)
+    models = {"linear": hybrid.linear, "tree": hybrid.tree, "hybrid": hybrid}
     scores = {
-        name: write_and_read(T.score_frozen({"linear": linear}, M.linear_vectors(side, NARROW)), name)
+        name: write_and_read(T.score_frozen(models, M.with_vectors(side, NARROW, TREE)), name)
         for name, side in (("validation", validation), ("test", test))
     }
     chosen = write_and_read(T.thresholds(scores["validation"]), "thresholds")
@@ -94,4 +95,4 @@ def _(spark, sf):
     report = T.cross_dataset_report(
         T.report_at(scores["validation"], chosen), chosen, scores["test"], comparator, replicates=20
     )
-    return report["bootstrap"].join(report["delta"], "variant")
+    return report["bootstrap"].join(report["delta"], "variant").join(report["metrics"], "variant")
