@@ -102,19 +102,22 @@ def write_monolithic(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:
 
 
 def inflated(stream, chunk: int = CHUNK) -> Iterator[bytes]:
-    """Pieces of a gzip file of one or many members, of bounded size."""
-    machine = zlib.decompressobj(31)
+    """Pieces of a gzip file of one or many members, of bounded size; a file cut inside a member fails."""
+    machine, begun = zlib.decompressobj(31), False
     while data := stream.read(chunk):
         while data:
+            begun = True
             piece = machine.decompress(data, chunk)
             if piece:
                 yield piece
             data = machine.unconsumed_tail
             if machine.eof:
                 data = machine.unused_data
-                machine = zlib.decompressobj(31)
+                machine, begun = zlib.decompressobj(31), False
     if piece := machine.flush():
         yield piece
+    if begun and not machine.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
