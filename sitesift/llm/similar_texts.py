@@ -9,8 +9,10 @@ three of them, made of independent bits of the same shingle hashes.
 Each fingerprint is listed under the 20 byte triples of ``simhash.index_triples``. Of a pair in a
 list the equal bytes are tallied; three must be equal and at most 10 bits differ. A pair with up to
 14 differing bits of the 192 has a fingerprint with at most 4, hence four equal bytes, so it is sure
-to meet. The shingle sets of the pairs that are left decide. A list of more than SHORT_RUN texts is
+to meet in a list. The shingle sets of the pairs that are left decide. A list of more than SHORT_RUN texts is
 searched breadth first, smallest first, so that a group gives links that connect it, not its pairs.
+There a text leaves the search with its first link, before the exact check: a pair is missed if in
+each list that it shares a third text, itself below the similarity, has taken one of the two.
 """
 
 from __future__ import annotations
