@@ -149,15 +149,19 @@ def missing_extra_ids(left: DataFrame, right: DataFrame, key: str = "sample_id")
     )
 
 
-def align_by_id(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
+def align_by_id(
+    left: DataFrame, right: DataFrame, key: str = "sample_id", order: str | None = None
+) -> DataFrame:
     """(key, label, left_score, right_score, left_label, status) over the union of ids.
 
     ``status`` is 'ok', 'missing' (no right row), 'extra' (no left row) or 'label_conflict'.
+    ``order`` is a column of the right side that is carried along, null for 'missing'.
     """
+    carried = [order] if order else []
     joined = left.select(
         key, F.col("label").alias("left_label"), F.col("score").alias("left_score")
     ).join(
-        right.select(key, F.col("label").alias("label"), F.col("score").alias("right_score")),
+        right.select(key, F.col("label").alias("label"), F.col("score").alias("right_score"), *carried),
         key, "full_outer",
     )
     return joined.withColumn(
@@ -169,18 +173,24 @@ def align_by_id(left: DataFrame, right: DataFrame, key: str = "sample_id") -> Da
     )
 
 
-def aligned_or_fail(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Aligned scores; raises if ids repeat or if the id sets or labels differ."""
+def aligned_or_fail(
+    left: DataFrame, right: DataFrame, key: str = "sample_id", order: str | None = None
+) -> DataFrame:
+    """Aligned scores; raises if ids repeat or if the id sets or labels differ.
+
+    With ``order``, a column of the right side, rows come in its order and carry it.
+    """
     for side, frame in (("left", left), ("right", right)):
         if not frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
             raise ValueError(f"repeated {key} in the {side} scores")
-    aligned = align_by_id(left, right, key)
+    aligned = align_by_id(left, right, key, order)
     bad = aligned.where(F.col("status") != "ok")
     counts = {r["status"]: r["count"] for r in bad.groupBy("status").count().collect()}
     if counts:
         examples = [f"{r[key]} ({r['status']})" for r in bad.orderBy(key).limit(5).collect()]
         raise ValueError(f"sample_id set or label mismatch: {counts}, e.g. {', '.join(examples)}")
-    return aligned.select(key, "label", "left_score", "right_score")
+    columns = [key, "label", "left_score", "right_score"]
+    return aligned.orderBy(order).select(*columns, order) if order else aligned.select(*columns)
 
 
 def delta_join(validation: DataFrame, test: DataFrame, keys: Sequence[str] = ("variant",)) -> DataFrame:

@@ -262,6 +262,18 @@ def test_alignment_errors(spark):
         aligned_or_fail(left, make([("a", 1, 0.8), ("b", 1, 0.2)]))
 
 
+def test_alignment_keeps_the_right_order(spark):
+    rows = [(f"s{i}", i % 2, i / 100) for i in range(60)]
+    left = spark.createDataFrame(rows, "sample_id string, label int, score double").repartition(5)
+    right = spark.createDataFrame(
+        [(s, label, 1 - x, (i * 37) % 60) for i, (s, label, x) in enumerate(rows)],
+        "sample_id string, label int, score double, position int",
+    ).repartition(3)
+    got = aligned_or_fail(left, right, order="position").collect()
+    assert [r.position for r in got] == list(range(60))
+    assert all(r.left_score + r.right_score == pytest.approx(1) for r in got)
+
+
 def test_vector_values(spark):
     frame = spark.createDataFrame([("k", "https://x.example", "", 9.0)], "sample_id string, url string, title string, dom_image_count double")
     values = {r["idx"]: r["value"] for r in vectorize(frame).collect()}
