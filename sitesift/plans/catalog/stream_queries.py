@@ -24,9 +24,14 @@ from sitesift.streaming.train import StreamConfig, read_counts, train_stream
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
+def arrived(sf, name):
+    """The path of a table as a stream's source: one file, or a folder of files (a pattern may be either)."""
+    return f"{sf}/{{{name}.parquet}}"
+
+
 def page_stream(spark, sf):
     cores = spark.sparkContext.defaultParallelism
-    return rich_html(S.stream_pages(spark, sf, PAGE_SCHEMA, "pages.parquet", partitions=cores))
+    return rich_html(S.stream_pages(spark, arrived(sf, "pages"), PAGE_SCHEMA, partitions=cores))
 
 
 def record_stream(spark, sf):
@@ -59,7 +64,7 @@ SELECT event_id, event_type FROM events, c WHERE ts < cutoff""")
 def _(spark, sf):
     schema = table(spark, sf, "events").schema
     cutoff = temporal_cutoff(table(spark, sf, "events")).first()["cutoff"]
-    events = S.stream_pages(spark, sf, schema, "events.parquet").withColumn("date", F.col("ts").cast("timestamp"))
+    events = S.stream_pages(spark, arrived(sf, "events"), schema).withColumn("date", F.col("ts").cast("timestamp"))
     kept = S.stream_cutoff_filter(events, F.lit(cutoff), "before").select("event_id", "event_type")
     return S.drain_to_table(kept, shared_folder(spark, "offsets"), shared_folder(spark, "before"))
 

@@ -271,3 +271,14 @@ def test_killed_inside_a_file_and_resumed(spark, tmp_path):
     assert {r["idx"]: r["weight"] for r in left.collect()} == pytest.approx({r["idx"]: r["weight"] for r in right.collect()}, abs=1e-6)
     batch = as_dict(reason_counts(canonical_records(raw_rows(spark, 0, 60))))
     assert as_dict(read_counts(spark, cut)) == as_dict(read_counts(spark, whole)) == batch
+
+
+@pytest.mark.parametrize("name", ["stream_pages", "stream_counts", "score_stream", "live_scan_scores", "stream_cutoff_filter"])
+def test_stream_tables_may_be_folders(spark, tmp_path, name):
+    from sitesift.plans.catalog import QUERIES
+
+    source, folder = "/root/testdata/sf0.001", str(tmp_path / "folders")
+    for table in ("pages", "events"):
+        spark.read.parquet(f"{source}/{table}.parquet").repartition(3).write.parquet(f"{folder}/{table}.parquet")
+    rows = [sorted(map(str, QUERIES[name](spark, path).collect())) for path in (source, folder)]
+    assert rows[0] and rows[0] == rows[1]
