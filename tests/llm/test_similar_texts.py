@@ -106,3 +106,18 @@ def test_exact_check_decides(spark):
     got = {(r.a, r.b) for r in S.verified(links, texts, 5, 0.8).collect()}
     assert got == {(a, b) for a, b in [(0, 1), (0, 2), (1, 2), (0, 3)] if similar(rows[a][1], rows[b][1])}
     assert (0, 1) in got and (0, 3) not in got
+
+
+def test_refused_links_hide_no_pair(spark):
+    """Texts of one base with up to five replaced words: near in every list, below and above the similarity."""
+    rng = random.Random(34)
+    base = prose(rng, 150)
+    changed = [replaced(rng, base, 5) for _ in range(150)]
+    texts = [" ".join(w) for w in changed] + [" ".join(replaced(rng, w, 2)) for w in changed]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    table = spark.createDataFrame([(i, t, None, "s", 0, "n", 1, "w") for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in S.keep_one_of_similar(table).collect()}
+    firsts = {min(i for i, r in root.items() if r == g) for root in [classes(texts)] for g in set(root.values())}
+    assert kept == firsts
