@@ -212,10 +212,11 @@ def _(spark, sf):
 
 @query("resume_position", f"""WITH {_COUNTERS} SELECT kind, reason, n, (SELECT count(*) FROM pages) AS position FROM counters""")
 def _(spark, sf):
-    # Five files, batches that end inside them, and a first run that stops after half of the rows.
+    # Batches that end inside files, and a first run that stops after half of the rows. Five files, or
+    # one for each core, so that they are not written by five tasks.
     folder, state = shared_folder(spark, "numbered"), shared_folder(spark, "training")
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
-    pages.repartition(5, "page_id").write.parquet(folder)
+    pages.repartition(max(5, spark.sparkContext.defaultParallelism), "page_id").write.parquet(folder)
     rows = pages.count()
     batch = rows // 4 + 1
 

@@ -41,7 +41,11 @@ def file_positions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rows_between(files: DataFrame, schema, low: int, high: int) -> DataFrame:
-    """The rows at positions low to high - 1, with ``position``."""
+    """The rows at positions low to high - 1, with ``position``.
+
+    Rows of fewer files than cores are dealt over all cores: a file is read in as many tasks as it has
+    row groups, and what follows costs far more than a shuffle of raw rows.
+    """
     spark = files.sparkSession
     held = files.where((F.col("start") < high) & (F.col("start") + F.col("rows") > low)).select("path", "start").collect()
     parts = [
@@ -54,7 +58,9 @@ def rows_between(files: DataFrame, schema, low: int, high: int) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.where((F.col("position") >= low) & (F.col("position") < high))
+    out = out.where((F.col("position") >= low) & (F.col("position") < high))
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores, "position") if len(parts) < cores else out
 
 
 def committed(spark: SparkSession, state_dir: str) -> tuple[int, int]:

@@ -282,3 +282,14 @@ def test_stream_tables_may_be_folders(spark, tmp_path, name):
         spark.read.parquet(f"{source}/{table}.parquet").repartition(3).write.parquet(f"{folder}/{table}.parquet")
     rows = [sorted(map(str, QUERIES[name](spark, path).collect())) for path in (source, folder)]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_rows_of_one_file_use_all_cores(spark, tmp_path):
+    from sitesift.streaming.positions import file_positions, rows_between
+
+    folder = str(tmp_path / "in")
+    put(spark, folder, "a", 0, 50)
+    files = file_positions(spark, folder)
+    got = rows_between(files, SCHEMA, 5, 45)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r["position"], r["ord"]) for r in got.collect()) == [(i, i) for i in range(5, 45)]
