@@ -248,3 +248,20 @@ def test_pages_without_tags_are_kept(spark):
     pages = spark.createDataFrame([(1, "http://x.com", "plain text"), (2, "http://x.com", "<p><a href=/a>")], "page_id int, url string, html string")
     assert [(r["page_id"], len(r["tags"])) for r in H.with_tags(pages).orderBy("page_id").collect()] == [(1, 0), (2, 2)]
     assert [[x["class"] for x in r["refs"]] for r in H.with_references(pages).orderBy("page_id").collect()] == [[], ["self"]]
+
+
+def test_buckets_of_a_batch_are_hashed_in_blocks():
+    import tracemalloc
+
+    from sitesift.functions.hashing import BLOCK_CHARS, bucket_lists
+
+    urls = [f"https://h{i}.example/{'ab' * (i % 40)}" for i in range(12000)] + [None, "", "x" * (BLOCK_CHARS + 5), "ü\U0001F600" * 9]
+    titles = [None if i % 3 else f"Title {i} " * (i % 9) for i in range(len(urls))]
+    tracemalloc.start()
+    whole = bucket_lists(urls, titles, 4096)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 40e6 + 3 * whole.nbytes
+    some = [*range(0, 12000, 97), *range(11998, len(urls))]
+    assert [whole[i].as_py() for i in some] == [bucket_lists([urls[i]], [titles[i]], 4096)[0].as_py() for i in some]
+    assert bucket_lists([], [], 4096).to_pylist() == []
