@@ -293,3 +293,19 @@ def test_rows_of_one_file_use_all_cores(spark, tmp_path):
     got = rows_between(files, SCHEMA, 5, 45)
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted((r["position"], r["ord"]) for r in got.collect()) == [(i, i) for i in range(5, 45)]
+
+
+def test_keyed_state_works_on_rows(spark, tmp_path):
+    """Also without a value in the order; a data frame for each key of a batch is too slow for many keys."""
+    from sitesift.streaming import keyed
+
+    assert not hasattr(keyed, "pd")
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([("x", None), ("x", 4), ("y", None), ("x", 3)], "sample_id string, ord long").coalesce(1).write.parquet(f"{folder}/a")
+    source = spark.readStream.schema("sample_id string, ord long").parquet(f"{folder}/*")
+    got = S.stream_dedupe(source, str(tmp_path / "c"), str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got)) == [("x", 3), ("y", None)]
+    tab_frame(spark).coalesce(1).write.parquet(f"{folder}-ev/a")
+    source = spark.readStream.schema(tab_frame(spark).schema).parquet(f"{folder}-ev/*")
+    newest = tabs.stream_latest_state(source, str(tmp_path / "c2"), str(tmp_path / "o2"))
+    assert newest.collect() == tabs.latest_state_per_key(tab_frame(spark)).select(*newest.columns).collect()
