@@ -283,3 +283,22 @@ def test_manifest_of_ranges(spark, tmp_path):
     huge = T.file_manifest(spark, str(tmp_path / "m"), 1 << 30).where("file = 'huge.bin'").first()
     zero = hashlib.sha256(bytes(1 << 20) * 1024).hexdigest()
     assert (huge["bytes"], huge["ranges"], huge["sha256"]) == (5 << 30, 5, hashlib.sha256((zero * 5).encode()).hexdigest())
+
+
+def test_archives_end_between_sites(spark, tmp_path, monkeypatch):
+    """A task that writes many members starts further archives; the members of a site stay together."""
+    import pyarrow as pa
+
+    from sitesift.sources import archives as Z
+
+    monkeypatch.setattr(Z, "ARCHIVE_MEMBERS", 5)
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    rows = [{"label": x, "site": f"s{n:03d}", "basename": b, "content": f"{n} {b}"} for x in (0, 1) for n in range(300) for b in ("html.txt", "info.txt")]
+    batches = [pa.RecordBatch.from_pylist(rows[i: i + 400]) for i in range(0, len(rows), 400)]
+    assert [b.to_pylist() for b in Z._store(str(tmp_path))(iter(batches))] == [[{"members": 1200}]]
+    for label in (0, 1):
+        members = Z.read_members(spark, str(tmp_path / str(label)), label, "html.txt,info.txt").select("site", "basename", "content").collect()
+        assert sorted((r.site, r.basename, bytes(r.content).decode()) for r in members) == [(r["site"], r["basename"], r["content"]) for r in rows if r["label"] == label]
+        listed = Z.list_members(spark, str(tmp_path / str(label)), label).groupBy("path").agg(F.count("*").alias("n")).collect()
+        assert len(listed) == 100 and max(r["n"] for r in listed) == 6
+        assert Z.list_members(spark, str(tmp_path / str(label)), label).select("site", "path").distinct().count() == 300
