@@ -29,3 +29,12 @@ def test_registry_and_entry(spark):
     assert set(ORACLES) <= set(queries)
     assert all(re.fullmatch("[a-z][a-z0-9_]*", name) for name in queries)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_customer_urls_use_all_cores(spark):
+    from sitesift.plans.catalog.inputs import shop_urls
+
+    source = "/root/testdata/sf0.001"
+    urls = shop_urls(spark, source)
+    assert urls.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert urls.count() == spark.read.parquet(f"{source}/customer.parquet").count()
