@@ -121,3 +121,27 @@ def test_refused_links_hide_no_pair(spark):
     kept = {r.doc_id for r in S.keep_one_of_similar(table).collect()}
     firsts = {min(i for i, r in root.items() if r == g) for root in [classes(texts)] for g in set(root.values())}
     assert kept == firsts
+
+
+def test_late_links_of_texts_below_the_similarity(spark):
+    """Texts with three words of their own each meet in all shingles, yet no pair of them is searched for a link."""
+    rng = random.Random(35)
+    base = prose(rng, 150)
+    texts = [" ".join(replaced(rng, base, 3)) for _ in range(120)]
+    texts += [" ".join(replaced(rng, texts[i].split(), 1)) for i in range(5)]
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    grouped = spark.createDataFrame([(i, f"{i:016X}") for i in range(len(texts))], "node long, root string")
+    tried = spark.createDataFrame([(i, i + 1) for i in range(len(texts) - 1)], "a long, b long")
+    late = {(r.a, r.b) for r in S.late_links(table, grouped, tried, tried.limit(0), 5, 0.8).collect()}
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similar(texts[i], texts[j])}
+    assert near - {(i, i + 1) for i in range(len(texts))} <= late
+    assert len(late) <= 2 * len(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(36)
+    hashes = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(hashes, n)) for n in (0, 1, 40, 300, 2500)]
+    sketches = [S.set_sketch(s) for s in sets]
+    for (x, a), (y, b) in itertools.product(zip(sets, sketches, strict=True), repeat=2):
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
