@@ -86,7 +86,7 @@ def _(spark, sf):
         F.concat(F.lit("domain:"), "registrable_domain").alias("a"),
         F.when(F.col("source_family_id") == "", F.concat(F.lit("domain:"), "registrable_domain"))
         .otherwise(F.concat(F.lit("family:"), "source_family_id")).alias("b"),
-    ).distinct()
+    )
     nodes = G.connected_components(edges).where(F.startswith("node", F.lit("domain:")))
     return nodes.groupBy("root").agg(F.count(F.lit(1)).alias("domains"))
 

@@ -170,6 +170,31 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_components_over_batches(spark, monkeypatch):
+    """Batches are connected where they are read; the rounds see only roots that batches disagree about."""
+    rng = random.Random(5)
+    edges = [(f"é{i // 4:04d}", f"{'f' if i % 9 else 'ü'}{i // 5:04d}") for i in range(800)] + [("hub", f"q{i}") for i in range(300)]
+    edges += [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(200)] + [("alone", None), (None, "other"), (None, None)]
+    label = {}
+    for a, b in edges:
+        a, b = a or b, b or a
+        if a is not None:
+            x, y = sorted((label.setdefault(a, {a}), label.setdefault(b, {b})), key=len)
+            y |= x
+            label.update(dict.fromkeys(x, y))
+    seen, rounds = [], G.star_rounds
+    monkeypatch.setattr(G, "star_rounds", lambda links, *more: seen.append(links.count()) or rounds(links, *more))
+    frame = spark.createDataFrame(edges, "a string, b string").coalesce(1)
+    for size in ("10000", "50", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {r["node"]: r["root"] for r in G.connected_components(frame).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {x: min(group) for x, group in label.items()}
+    assert len(seen) == 2 and seen[0] < 200  # one batch needs no round; of batches of 50 few roots meet
+
+
 def test_dedupe_keeps_first(spark):
     frame = spark.createDataFrame([("x", 3, "c"), ("x", 1, "a"), ("y", 2, "b"), ("x", 2, "d")], "sample_id string, ord int, v string")
     assert sorted(r["v"] for r in G.dedupe_keep_first(frame, "sample_id", "ord").collect()) == ["a", "b"]
