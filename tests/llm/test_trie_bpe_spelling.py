@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers
@@ -74,6 +76,21 @@ def test_cuts_depend_on_content():
     assert cuts("") == [] and cuts("ab") == [2] and cuts("a" * 9000) == [4096, 8192, 9000]
 
 
+def test_decoding_costs_little_beside_the_library():
+    words, rng = vocabulary(PATH), random.Random(9)
+    ids = [words.ids("".join(rng.choices("abcde fgh\n", k=40_000))) for _ in range(20)]
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), column], ["doc_id", "ids"])
+    start = time.process_time()
+    plain = [words.tokenizer.decode(i.tolist(), skip_special_tokens=False) for i in ids]
+    library = time.process_time() - start
+    start = time.process_time()
+    parts = list(bpe_chunks.decoder(PATH)([whole.slice(0, 7), whole.slice(7)]))  # offsets that begin inside the values
+    assert time.process_time() - start < 2 * library + 0.05
+    assert [t for part in parts for t in part.column("decoded").to_pylist()] == plain
+
+
 def test_documents_encode_as_whole_texts(spark):
     rng = random.Random(1)
     passage = "".join(rng.choices(PARTS[:-5], k=700))
