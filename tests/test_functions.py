@@ -36,6 +36,19 @@ def test_canonical_url(spark, url, expected):
     assert one(spark, [url], canonicalize_url) == [expected]
 
 
+def test_a_scan_is_written_once_however_often_its_result_is_used(spark):
+    scan = F.regexp_replace(F.col("x"), "marker", "")
+    assert str(H.unescape(scan)).count("marker") == 1
+    assert str(fold_text(F.col("x"))).lower().count("rlike") == 1
+    assert str(canonicalize_url(F.col("x"))).lower().count("regexp_extract") <= 9  # four parts, a host, a port and its digits
+
+
+def test_line_lengths_at_every_kind_of_break(spark):
+    pages = ["", "\n", "a\r\nbc\n", "a\rb\x0bcc\x0cd\x1ce\x1df\x1eg\x85hhh\u2028i\u2029j", "é🙂\r\r\n\n", "x\x85", "\u2029"]
+    expected = [[len(line) for line in page.splitlines()] for page in pages]
+    assert [list(v) for v in one(spark, pages, H.line_lengths)] == expected
+
+
 def test_ip_literals(spark):
     cases = {
         "http://192.0.2.1/login": True, "http://256.0.2.1/login": False, "http://192.0.02.1/login": False,
