@@ -43,6 +43,14 @@ def test_a_scan_is_written_once_however_often_its_result_is_used(spark):
     assert str(canonicalize_url(F.col("x"))).lower().count("regexp_extract") <= 9  # four parts, a host, a port and its digits
 
 
+def test_a_host_is_held_against_the_patterns_of_its_kind_alone(spark):
+    assert str(is_ip_literal(F.col("x"))).startswith("Column<'CASE WHEN contains(x, ':') THEN")
+    hosts = ["1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "::", "1::", ":::", "1::2::3", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4",
+             "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.256", "1.2.3.4:", "a", "", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", "12345::", None]
+    expected = [True, True, False, True, True, False, False, True, True, False, False, False, False, False, True, False, False, None]
+    assert one(spark, hosts, is_ip_literal) == expected
+
+
 def test_line_lengths_at_every_kind_of_break(spark):
     pages = ["", "\n", "a\r\nbc\n", "a\rb\x0bcc\x0cd\x1ce\x1df\x1eg\x85hhh\u2028i\u2029j", "é🙂\r\r\n\n", "x\x85", "\u2029"]
     expected = [[len(line) for line in page.splitlines()] for page in pages]
