@@ -38,3 +38,13 @@ def test_customer_urls_use_all_cores(spark):
     urls = shop_urls(spark, source)
     assert urls.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert urls.count() == spark.read.parquet(f"{source}/customer.parquet").count()
+
+
+def test_split_reads_stored_features_and_fits_use_all_cores(spark, monkeypatch):
+    from sitesift.plans.catalog import model_queries
+
+    read, split = [], model_queries.grouped_split
+    monkeypatch.setattr(model_queries, "grouped_split", lambda frame: read.extend(frame.inputFiles()) or split(frame))
+    parts = model_queries.parts(spark, "/root/testdata/sf0.001")
+    assert read and all("/features-" in path for path in read)
+    assert all(part.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for part in parts)
