@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitesift.constants import BASE_RATE_PREVALENCES
+from sitesift.constants import BASE_RATE_PREVALENCES, VARIANTS
+from sitesift.operators.sampling import base_rate_reports
 from sitesift.operators.scoring import delta_join
 from sitesift.plans import training as T
 from sitesift.plans.catalog.group_queries import _SAMPLE
-from sitesift.plans.catalog.inputs import AP_EXPR, AUC_EXPR, ORDER_SQL, order_scores, ranking_sql, table
+from sitesift.plans.catalog.inputs import AP_EXPR, AUC_EXPR, ORDER_SQL, order_scores, ranking_sql
 from sitesift.plans.catalog.metric_queries import _AT, _METRICS, rounded
 from sitesift.plans.catalog.registry import query
 from sitesift.session import write_and_read
@@ -28,17 +29,21 @@ chosen AS (SELECT variant, score AS threshold FROM (SELECT *, row_number() OVER
 
 
 def sides(spark, sf):
-    """Scores of the validation side, thresholds, scores of the new data."""
-    validation = F.concat(F.lit("o"), "o_orderkey").alias("sample_id"), (F.dayofmonth("o_orderdate") <= 15).alias("validation")
-    rows = order_scores(spark, sf).join(table(spark, sf, "orders").select(*validation), "sample_id")
-    long = write_and_read(rows.select(
-        "sample_id", "label", "validation",
-        F.explode(F.create_map(
-            F.lit("linear"), F.col("score"), F.lit("tree"), F.col("other"), F.lit("hybrid"), (F.col("score") + F.col("other")) / 2,
-        )).alias("variant", "score"),
-    ), "variants")
-    first = long.where("validation").drop("validation")
-    return first, write_and_read(T.thresholds(first), "thresholds"), long.where("not validation").drop("validation")
+    """Scores of the validation side, thresholds, scores of the new data: a column per variant."""
+    early = F.dayofmonth("o_orderdate") <= 15
+    rows = order_scores(spark, sf, early.alias("validation")).where("sample_id is not null").select(
+        "sample_id", "label", "validation", F.col("score").alias("linear"), F.col("other").alias("tree"),
+        ((F.col("score") + F.col("other")) / 2).alias("hybrid"),
+    )
+    first, new = rows.where("validation").drop("validation"), rows.where("not validation").drop("validation")
+    return first, write_and_read(T.thresholds(long(first)), "thresholds"), new
+
+
+def long(scores):
+    """(variant, label, score) of each score column."""
+    return scores.select("label", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.col(v).alias("score")) for v in VARIANTS
+    ])).alias("s")).select("s.variant", "label", "s.score")
 
 
 @query("cross_dataset_metrics", f"""WITH {_SIDES},
@@ -51,8 +56,8 @@ FROM a JOIN r t ON t.variant = a.variant AND NOT t.validation JOIN r v ON v.vari
 JOIN f ft ON ft.variant = a.variant AND NOT ft.validation JOIN f fv ON fv.variant = a.variant AND fv.validation WHERE NOT a.validation""")
 def _(spark, sf):
     validation, chosen, new = sides(spark, sf)
-    report = write_and_read(T.report_at(new, chosen), "cross-report")
-    return rounded(report.join(delta_join(T.report_at(validation, chosen), report), "variant"))
+    report = write_and_read(T.report_at(long(new), chosen), "cross-report")
+    return rounded(report.join(delta_join(T.report_at(long(validation), chosen), report), "variant"))
 
 
 @query("cross_dataset_base_rates", f"""WITH {_SIDES}, later AS (SELECT * EXCLUDE (validation) FROM sided WHERE NOT validation),
@@ -65,5 +70,5 @@ SELECT variant, rate AS requested_prevalence, tp + fn + tn + fp AS total, tn + f
   average_precision, roc_auc FROM a JOIN r USING (variant, rate)""")
 def _(spark, sf):
     _, chosen, new = sides(spark, sf)
-    report = T.base_rates(new, chosen, rates=BASE_RATE_PREVALENCES + [0.6])
+    report = base_rate_reports(new, T.variant_limits(chosen), BASE_RATE_PREVALENCES + [0.6])
     return rounded(report.drop("manifest", "actual_prevalence"))

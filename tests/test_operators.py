@@ -1,11 +1,13 @@
 """Ordering, metrics, sampling, groups, splits, bootstrap and validation against brute force."""
 
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitesift.constants import VARIANTS
 from sitesift.operators import bootstrap as B
 from sitesift.operators import groups as G
 from sitesift.operators import metrics as M
@@ -19,6 +21,9 @@ from sitesift.operators.scoring import (
 )
 from sitesift.operators.skew import skewed_lookup
 from sitesift.operators.vectors import transform_numeric, vectorize
+from sitesift.plans import training as T
+from sitesift.plans.catalog import report_queries
+from sitesift.session import write_and_read
 
 
 def scored(spark, labels, scores):
@@ -336,6 +341,74 @@ def test_base_rate_sample_refuses_repeated_ids(spark):
         P.base_rate_sample(frame.where("label = 0"), [0.5])
 
 
+def base_rate_sides(spark, n=1500):
+    """(variant, sample_id, label, score) of two variants and their thresholds."""
+    rng = random.Random(5)
+    rows = [(f"s{i}", int(rng.random() < 0.3)) for i in range(n)]
+    values = {v: [round(rng.random(), 2) for _ in rows] for v in ("linear", "tree")}
+    data = [(v, i, y, x) for v in values for (i, y), x in zip(rows, values[v])]
+    scores = spark.createDataFrame(data, "variant string, sample_id string, label int, score double")
+    return data, scores, spark.createDataFrame([("linear", 0.4), ("tree", 0.7)], "variant string, threshold double")
+
+
+def brute_base_rate(data, variant, rate, threshold):
+    """Confusion counts, AP and AUC of one variant at one prevalence."""
+    side = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i, y, x) for v, i, y, x in data if v == variant)
+    low, high = ([r for r in side if r[2] == label] for label in (0, 1))
+    want = round(rate * len(low) / (1 - rate))
+    kept = low + high[:want] if want <= len(high) else low[: round(len(high) * (1 - rate) / rate)] + high
+    labels, scores = [r[2] for r in kept], [r[3] for r in kept]
+    at = lambda label, hit: sum(y == label and (x >= threshold) == hit for y, x in zip(labels, scores))
+    return (at(0, False), at(0, True), at(1, False), at(1, True)), brute(labels, scores)[:2]
+
+
+def check_base_rates(data, report, variants):
+    got = {(r["variant"], r["requested_prevalence"]): r for r in report.collect()}
+    assert set(got) == {(v, p) for v in variants for p in (0.01, 0.05, 0.6)}
+    for (variant, rate), row in got.items():
+        (tn, fp, fn, tp), (ap, auc) = brute_base_rate(data, variant, rate, variants[variant])
+        assert (row["benign"], row["phishing"], row["total"]) == (tn + fp, fn + tp, tn + fp + fn + tp)
+        assert row["recall"] == pytest.approx(tp / (tp + fn)) and row["false_positive_rate"] == pytest.approx(fp / (fp + tn))
+        assert (row["average_precision"], row["roc_auc"]) == (pytest.approx(ap), pytest.approx(auc))
+        assert len(row["manifest"]) == 64
+    return got
+
+
+def test_base_rates_hash_an_id_once_for_all_variants_and_rates(spark, monkeypatch):
+    data, scores, chosen = base_rate_sides(spark)
+    written = []
+
+    def recorded(frame, purpose):
+        out = write_and_read(frame, purpose)
+        written.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(P, "write_and_read", recorded)
+    report = T.base_rates(scores, chosen, rates=[0.01, 0.05, 0.6])
+    check_base_rates(data, report, {"linear": 0.4, "tree": 0.7})
+    # 1,500 ids, and at most 101 scores in each of two variants.
+    assert dict(written)["base-rates"] == 1500 and [p for p, _ in written].count("base-rates") == 1
+    assert sum(n for _, n in written) <= 1500 + 2 * 101
+
+
+def test_base_rates_of_variants_with_other_ids(spark):
+    data, scores, chosen = base_rate_sides(spark)
+    left_out = {f"s{i}" for i in range(0, 1500, 7)}
+    data = [r for r in data if r[0] == "linear" or r[1] not in left_out]
+    some = scores.where((F.col("variant") == "linear") | ~F.col("sample_id").isin(*left_out))
+    got = check_base_rates(data, T.base_rates(some, chosen, rates=[0.01, 0.05, 0.6]), {"linear": 0.4, "tree": 0.7})
+    assert got["linear", 0.05]["manifest"] != got["tree", 0.05]["manifest"]
+    twice = scores.unionByName(scores.where("variant = 'tree'").limit(1))
+    with pytest.raises(ValueError, match="unique"):
+        T.base_rates(twice, chosen)
+
+
+def test_report_sides_are_columns_of_the_orders(spark):
+    _, _, new = report_queries.sides(spark, "/root/testdata/sf0.001")
+    assert set(VARIANTS) < set(new.columns)
+    assert "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_windows(spark):
     frame = spark.createDataFrame([("a", 300), ("b", 128), ("c", 127), ("d", 0)], "k string, n int")
     tokens = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
