@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from sitesift.llm import chat, pii
+from sitesift.llm import chat, decontaminate, pii
 from sitesift.llm.decontaminate import find_leaks, without_leaks
 from sitesift.llm.host_rules import host_rules
 from sitesift.llm.kd_shards import kd_shards
@@ -212,6 +212,22 @@ def test_every_pair_of_replaced_words_is_found(spark):
     assert all(r.matched == in_place(items[r.ids[0]], texts[r.doc_id][1]) for r in got)
 
 
+def test_broadcasts_do_not_grow_with_the_benchmark(spark, monkeypatch):
+    """Blocks of the benchmark run one after the other; joined by broadcast or by shuffle, leaks are the same."""
+    rng = random.Random(21)
+    items = [words(rng, n) for n in (40, 20, 13, 9, 5, 2) * 4]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{words(rng, 20)} {' '.join(t.split()[:17])} {words(rng, 5)}" for t in items]
+    table = documents(spark, [(i, t, "xx", "s") for i, t in enumerate(texts)])
+    want = sorted(find_leaks(table, bench).collect())
+    assert {i for r in want for i in r.ids} == set(range(len(items)))
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 50)
+    monkeypatch.setattr(decontaminate, "SIEVE_SEEDS", 150, raising=False)
+    leaks = find_leaks(table, bench)
+    assert sorted(leaks.collect()) == want
+    assert leaks._jdf.queryExecution().executedPlan().toString().count("Broadcast") == 0
+
+
 def test_kd_shards(spark, odd, none):
     rng = random.Random(4)
     table = documents(spark, [(i, words(rng, rng.randint(5, 60)), rng.choice("ab"), "hot" if i % 3 else f"s{i}")
