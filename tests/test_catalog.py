@@ -1,5 +1,6 @@
 """Every registered query with reference SQL, compared on the smallest tables."""
 
+import inspect
 import os
 import re
 
@@ -48,3 +49,25 @@ def test_split_reads_stored_features_and_fits_use_all_cores(spark, monkeypatch):
     parts = model_queries.parts(spark, "/root/testdata/sf0.001")
     assert read and all("/features-" in path for path in read)
     assert all(part.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for part in parts)
+
+
+def test_train_variants_runs_the_whole_grid(spark, monkeypatch):
+    from sitesift.constants import HASH_DIM, LINEAR_ALPHAS, TREE_ESTIMATORS
+    from sitesift.plans.catalog import model_queries
+
+    signature, called = inspect.signature(model_queries.T.train_variants), []
+
+    def record(*args, **settings):
+        bound = signature.bind(*args, **settings)
+        bound.apply_defaults()
+        called.append(bound.arguments)
+        report = spark.createDataFrame([("linear",)], "variant string")
+        return {"validation_report": report, "holdout_report": report, "primary": "linear"}
+
+    monkeypatch.setattr(model_queries, "parts", lambda spark, sf: ["train", "validation", "test"])
+    monkeypatch.setattr(model_queries.T, "train_variants", record)
+    assert __spark_entry__.queries()["train_variants"](spark, SF_DIR).count() == 2
+    settings = called[0]
+    assert [settings[k] for k in ("train", "validation", "holdout")] == ["train", "validation", "test"]
+    assert list(settings["alphas"]) == LINEAR_ALPHAS and list(settings["estimators"]) == TREE_ESTIMATORS
+    assert settings["max_iter"] == 30 and settings["hash_dim"] == HASH_DIM
