@@ -228,6 +228,25 @@ def test_broadcasts_do_not_grow_with_the_benchmark(spark, monkeypatch):
     assert leaks._jdf.queryExecution().executedPlan().toString().count("Broadcast") == 0
 
 
+def test_stage_holds_one_block_of_the_benchmark_at_once(spark, monkeypatch, tmp_path):
+    rng = random.Random(22)
+    items = [words(rng, 30) for _ in range(12)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = documents(spark, [(i, t if i < 12 else words(rng, 30), "xx", "s") for i, t in enumerate(items * 2)])
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 60)
+    monkeypatch.setattr(decontaminate, "SIEVE_SEEDS", 60, raising=False)
+    write, broadcasts = decontaminate.write_and_read, []
+
+    def record(frame, purpose):
+        broadcasts.append(frame._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast"))
+        return write(frame, purpose)
+
+    monkeypatch.setattr(decontaminate, "write_and_read", record)
+    rest = corpus_pipeline.keep_unleaked(spark, table, str(tmp_path))
+    assert sorted(r.doc_id for r in rest.collect()) == list(range(12, 24))
+    assert 1 <= max(broadcasts) <= 4
+
+
 def test_kd_shards(spark, odd, none):
     rng = random.Random(4)
     table = documents(spark, [(i, words(rng, rng.randint(5, 60)), rng.choice("ab"), "hot" if i % 3 else f"s{i}")
